@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, ngram_jaccard, sharding, topk, url_filter
+from tessera.llm import bpe, langid, ngram_jaccard, quality, sharding, topk, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,16 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), 40)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    return langid.identify(_table(spark, sf_dir, "documents"), public.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in batch.column("ids").to_pylist()]
@@ -71,6 +81,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_sharding": op3_sharding,
+        "op4_quality": op4_quality,
+        "op5_langid": op5_langid,
         "op8_bpe": op8_bpe,
         "op10_top_k": op10_top_k,
     }
