@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import bloom
 from tessera.llm import exchange as X
 from tessera.llm.session import materialize, prepare
 from tessera.llm.tokens import U, chunks, hash_spans, mix, raw, spans
@@ -211,5 +212,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, question: f
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
     """The documents that hold no item, columns as they were."""
-    hit = leaks(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+    return bloom.without(docs, materialize(leaks(docs, benchmark, **options).select("doc_id").distinct()))

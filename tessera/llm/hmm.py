@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import exchange as X
-from tessera.llm.session import materialize, partitions, prepare
+from tessera.llm.session import materialize, partitions, prepare, stable
 from tessera.llm.tokens import U, chunks, words
 
 #: Words with a symbol of their own; states; bytes of text in a block; slices of expected counts.
@@ -320,6 +320,7 @@ def _finish(held: list[tuple], vocab: Vocabulary, trained: bool) -> Iterator[tup
 def score(docs: DataFrame, **options: int) -> DataFrame:
     """One row of SCHEMA for each row of ``docs(doc_id, text)``."""
     spark = prepare(docs.sparkSession)
+    docs = stable(docs.select("doc_id", "text"))
     vocab, table = vocabulary(docs)
     model = train(docs, vocab, **options) if vocab.tokens else None
     p = partitions(spark)

@@ -189,7 +189,8 @@ def fit(table: Pieces, texts: dict[str, list[str]], rounds: int = 3, floor: floa
     return langs, p
 
 
-def _score(batches: Iterable[pa.RecordBatch], path: str, langs: list[str], p: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterable[pa.RecordBatch], path: str, langs: list[str], p: np.ndarray, least: float | None = None) -> Iterator[pa.RecordBatch]:
+    """Predictions; or, with ``least``, the rows themselves whose language is known with that score."""
     table = pieces(path)
     known, values, has = np.zeros(0, U), np.zeros((0, len(langs))), np.zeros(0, bool)
     for chunk in chunks(batches, "text"):
@@ -230,6 +231,9 @@ def _score(batches: Iterable[pa.RecordBatch], path: str, langs: list[str], p: np
         posterior = np.exp(top)
         posterior /= posterior.sum(axis=1, keepdims=True)
         best = posterior.argmax(axis=1)
+        if least is not None:
+            yield chunk.filter(pa.array((n > 0) & (posterior.max(axis=1) >= least)))
+            continue
         names = [langs[b] if m else UND for b, m in zip(best, n, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [chunk.column("doc_id").cast(pa.int64()), pa.array(names, pa.string()), pa.array(np.where(n > 0, posterior.max(axis=1), 0.0))], schema=_OUT
@@ -269,3 +273,13 @@ def identify(docs: DataFrame, path: str, **options: int) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+
+
+def accept(docs: DataFrame, path: str, least: float = 0.5, **options: int) -> DataFrame:
+    """The rows of ``docs`` in a learned language with a score of ``least`` or more, columns as they were."""
+    prepare(docs.sparkSession)
+    model = learn(docs, path, **options)
+    if model is None:
+        return docs.where(F.lit(False))
+    langs, p = model
+    return docs.mapInArrow(lambda it: _score(it, path, langs, p, least), docs.schema)

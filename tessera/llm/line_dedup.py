@@ -39,14 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import bloom
 from tessera.llm import exchange as X
-from tessera.llm.session import materialize, partitions, prepare
+from tessera.llm.session import materialize, partitions, prepare, stable
 from tessera.llm.tokens import U, chunks, hash_spans, mix, raw, spans
 
 #: Words ordered by count; pairs that a line proposes from one list at first; bytes of text in a block.
 HEAD, FIRST, BLOCK_BYTES = 1 << 16, 3, 8 << 20
-#: Bits of the Bloom filter and its slices.
-BLOOM, SLICES = 1 << 25, 64
 #: Widest bitmap in 64-bit words; a line of n tokens has about n bits.
 WIDEST = 32
 PAIRS = "doc_id long, line long, other_doc long, other_line long, sure boolean, more boolean"
@@ -319,40 +318,11 @@ def _shared(own: tuple[np.ndarray, ...], side: np.ndarray | None = None) -> tupl
     return tuple(x[keep] for x in own)
 
 
-def _marks(doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(mix(doc.astype(np.int64).view(U)) + line.astype(U))
-    return (h % U(BLOOM)).astype(np.int64), ((h >> U(32)) % U(BLOOM)).astype(np.int64)
-
-
-def _bloom(refs: DataFrame) -> np.ndarray:
-    """A Bloom filter of lines, as bytes; tasks send set bits in slices, of which each is united by one task."""
-    size = BLOOM // 8 // SLICES
-
-    def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM, bool)
-        for batch in batches:
-            for at in _marks(np.asarray(batch.column("doc_id")), np.asarray(batch.column("line"))):
-                bits[at] = True
-        packed = np.packbits(bits).reshape(SLICES, size)
-        return X.rows((k, 0, 0, X.pack(packed[k], level=1)) for k in range(SLICES) if packed[k].any())
-
-    def unite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return X.rows((k, 0, 0, np.bitwise_or.reduce([X.unpack(p)[0] for *_, p in held]).tobytes()) for k, held in X.runs(batches))
-
-    met = refs.mapInArrow(part, X.ENVELOPE).repartition(SLICES, "route").sortWithinPartitions("route")
-    out = np.zeros((SLICES, size), np.uint8)
-    for r in met.mapInArrow(unite, X.ENVELOPE).collect():
-        out[r["route"]] = np.frombuffer(r["payload"], np.uint8)
-    return out.ravel()
-
-
-def _sets(batches: Iterable[pa.RecordBatch], bloom: np.ndarray) -> Iterator[tuple]:
+def _sets(batches: Iterable[pa.RecordBatch], bits: np.ndarray) -> Iterator[tuple]:
     """Distinct words of the lines that the filter lets through."""
     for chunk in chunks(batches, "text", BLOCK_BYTES):
         lines = Lines(chunk)
-        hit = lines.known.copy()
-        for at in _marks(lines.doc, lines.number):
-            hit &= (bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+        hit = lines.known & bloom.contains(bits, lines.doc, lines.number)
         for i in np.flatnonzero(hit).tolist():
             part = lines.buf[lines.begin[i] : lines.end[i]]
             if len(part):
@@ -364,9 +334,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
     """The pairs whose sets are similar."""
     spark = docs.sparkSession
     refs = pairs.select("doc_id", "line").unionAll(pairs.select("other_doc", "other_line"))
-    bloom = spark.sparkContext.broadcast(_bloom(refs))  # BLOOM / 8 bytes
+    bits = spark.sparkContext.broadcast(bloom.build(refs))  # of fixed size
     kind = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("words", pa.binary())])
-    sets = docs.select("doc_id", "text").mapInArrow(lambda it: X.rows(_sets(it, bloom.value), kind), "doc_id long, line long, words binary")
+    sets = docs.select("doc_id", "text").mapInArrow(lambda it: X.rows(_sets(it, bits.value), kind), "doc_id long, line long, words binary")
     sets = materialize(sets).dropDuplicates(["doc_id", "line"])
     own = pairs.join(sets, ["doc_id", "line"])
     both = own.join(sets.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("others")), ["other_doc", "other_line"])
@@ -386,6 +356,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
 def later_matches(docs: DataFrame, num: int = 75, den: int = 100, least: int = 5, first: int = FIRST) -> DataFrame:
     """``doc_id, line, other_doc, other_line``: each line to remove and an earlier one that it matches."""
     spark = prepare(docs.sparkSession)
+    docs = stable(docs)
     head, rank = frequent_words(docs)
     p = partitions(spark)
     count = 4 * p
@@ -414,11 +385,11 @@ def later_matches(docs: DataFrame, num: int = 75, den: int = 100, least: int = 5
 def _exhaustive(plain: DataFrame, rest: DataFrame, order, least: int, num: int, den: int, count: int, tried: DataFrame) -> DataFrame:  # noqa: ANN001
     """All pairs of the lines of ``rest``; a Bloom filter of them picks the proposers, false ones do no harm."""
     p = partitions(plain.sparkSession)
-    asked = plain.sparkSession.sparkContext.broadcast(_bloom(rest))
+    asked = plain.sparkSession.sparkContext.broadcast(bloom.build(rest))
 
     class Asked:
         def __contains__(self, ref: tuple[int, int]) -> bool:
-            return all(asked.value[a >> 3] >> (7 - (a & 7)) & 1 for a in (int(x[0]) for x in _marks(np.array([ref[0]]), np.array([ref[1]]))))
+            return bool(bloom.contains(asked.value, np.array([ref[0]]), np.array([ref[1]]))[0])
 
     sent = plain.mapInArrow(lambda it: X.rows(_postings(it, *order.value, least, num, den, count)), X.ENVELOPE)
     found = X.routed(sent, p).mapInArrow(lambda it: X.rows(_meet(it, num, den, 0, Asked()), _PAIRS), PAIRS)
@@ -429,10 +400,13 @@ def _exhaustive(plain: DataFrame, rest: DataFrame, order, least: int, num: int,
 
 def dedup_lines(docs: DataFrame, **options: int) -> DataFrame:
     """``docs`` with the matched lines cut from ``text``; ``n_lines`` and ``removed`` (line numbers from 0) are added."""
-    gone = later_matches(docs, **options).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    docs = stable(docs)
+    gone = materialize(later_matches(docs, **options).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed")))
     lines = F.split("text", "\n", -1)
-    none = F.array().cast("array<bigint>")
-    out = docs.join(gone.hint("shuffle_hash"), "doc_id", "left").withColumn("removed", F.coalesce("removed", none))
+    size = F.coalesce(F.size(lines), F.lit(0)).alias("n_lines")
+    hit = bloom.maybe_in(gone.select("doc_id"), "doc_id")
+    same = docs.where(~hit).select(*docs.columns, size, F.array().cast("array<bigint>").alias("removed"))
+    joined = docs.where(hit).join(gone.hint("shuffle_hash"), "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("removed"), i.cast("long")))
-    out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)))
-    return out.withColumn("text", F.when(F.size("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).select(*docs.columns, "n_lines", "removed")
+    text = F.when(F.size("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text")
+    return same.unionByName(joined.select(*(text if c == "text" else F.col(c) for c in docs.columns), size, "removed"))

@@ -39,9 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import bloom
 from tessera.llm import exchange as X
 from tessera.llm.components import components
-from tessera.llm.session import materialize, partitions, prepare
+from tessera.llm.session import materialize, partitions, prepare, stable
 from tessera.llm.tokens import U, chunks, mix, words
 
 BLOCK, REPLY = 0, 1
@@ -355,7 +356,7 @@ def link_components(reps: DataFrame, num: int, den: int, tile: int = TILE) -> Da
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """One row ``(doc_id, n_shingles, component_id)`` for each document; documents link at ``den * overlap >= num * union``."""
     prepare(docs.sparkSession)
-    prof = materialize(profiles(docs, width, num, den))
+    prof = materialize(profiles(stable(docs.select("doc_id", "text")), width, num, den))
     live = prof.where(F.col("shared").isNotNull())
     copies = materialize(live.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
     reps = live.join(copies.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"])
@@ -369,6 +370,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
 
 
 def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
-    """The documents whose id is the smallest of their component, columns as they were."""
-    keep = jaccard_components(docs, **options).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """The documents whose id is the smallest of their component, columns as they were; rows that repeat an id stay together."""
+    docs = stable(docs)
+    gone = materialize(jaccard_components(docs, **options).where("component_id <> doc_id").select("doc_id"))
+    return bloom.without(docs, gone)

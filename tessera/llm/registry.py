@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, ngram_jaccard, quality, sharding, topk, url_filter
+from tessera.llm import bpe, decontaminate, hmm, langid, line_dedup, ngram_jaccard, quality, sharding, topk, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +39,34 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"), public.path("byte_bpe_multi_50k.tiktoken"))
 
 
-def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_table(spark, sf_dir, "documents"))
+
+
+def _decimals(size: int) -> np.ndarray:
+    """Each number's decimal text and a space, zeroes behind it."""
+    return np.array([f"{i} ".encode() for i in range(size)], dtype="S").view(np.uint8).reshape(size, -1)
+
+
+def _digests(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    table = _decimals(size)
+    width = (table > 0).sum(axis=1)
     for batch in batches:
-        ids = [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in batch.column("ids").to_pylist()]
-        texts = [hashlib.sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()]
+        digests = []
+        for a in range(0, len(batch), 128):
+            ids, at = bpe.lists(batch.column("ids").slice(a, 128))
+            wide = table[ids].ravel()
+            text = wide[wide > 0].tobytes()
+            ends = np.concatenate([[0], np.cumsum(width[ids])])[at].tolist()
+            digests += [hashlib.sha256(text[b : e - (e > b)]).hexdigest() for b, e in zip(ends[:-1], ends[1:], strict=True)]
+        texts = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("decoded")]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_tokens"), pa.array(ids), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            [batch.column("doc_id"), batch.column("n_tokens"), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
+            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
 
@@ -52,7 +75,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public.path("byte_bpe_50k.tiktoken")
     both = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path, public.PATTERN), path)
-    return both.mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    size = len(bpe.token_bytes(path)[1])
+    return both.mapInArrow(lambda it: _digests(it, size), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "removed")
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +111,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_quality": op4_quality,
         "op5_langid": op5_langid,
+        "op6_decontaminate": op6_decontaminate,
+        "op7_hmm": op7_hmm,
         "op8_bpe": op8_bpe,
+        "op9_line_dedup": op9_line_dedup,
         "op10_top_k": op10_top_k,
     }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,6 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
     return kept
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` as it is if it reads its rows in the same order each time, else written and read back.
+
+    Operators that number rows by partition and block, and read their input twice, need that order.
+    """
+    steps = {re.sub(r"^[ :+|-]*", "", x).split(" ", 1)[0].split("[", 1)[0] for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if x.strip()}
+    return df if steps <= {"Project", "Filter", "Relation", "LogicalRDD", "LocalRelation"} else materialize(df)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
