@@ -1,11 +1,16 @@
-"""Byte-level BPE encoding and decoding through a global shuffle of distinct pre-tokens.
+"""Byte-level BPE encoding and decoding through a global shuffle of distinct words.
 
-A task cuts whole texts into pre-tokens, numbers the distinct ones of a block
-and keeps, for each position, the number of its pre-token. The distinct
-pre-tokens go, packed by hash, to one bucket each, where every word that occurs
-anywhere is encoded once. The ids return to the blocks that asked, and each
-text is put together by position. Decoding joins ids to the bytes of the token
-table, whose size is that of the vocabulary.
+A task cuts whole texts into words, numbers the distinct ones of a block and
+keeps, for each position, the number of its word. The distinct words go, packed
+by hash, to one bucket each, where every word that occurs anywhere is split
+into its pre-tokens and encoded once. The ids return to the blocks that asked,
+and each text is put together by position. Decoding joins ids to the bytes of
+the token table, whose size is that of the vocabulary.
+
+A word is a run of characters between ASCII white space with the one space
+before it, or a stretch of white space that the pattern splits off. The pattern
+never matches across these borders, so words hold whole pre-tokens. Texts with
+white space or separators beyond ASCII are cut by the pattern itself.
 
 A null text is encoded as an empty one, to no ids. Ids and order of rows play
 no part, repeated rows each get their own row, and columns other than
@@ -15,7 +20,7 @@ no part, repeated rows each get their own row, and columns other than
 from __future__ import annotations
 
 import base64
-import zlib
+import re
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -27,12 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessera.llm import exchange as X
-from tessera.llm.session import partitions, prepare
-from tessera.llm.tokens import chunks
+from tessera.llm.session import partitions, prepare, stable
+from tessera.llm.tokens import _IS_SEP, chunks, hash_spans, raw
 
 BLOCK, REPLY = 0, 1
+#: Bytes of text in a block.
+BLOCK_BYTES = 8 << 20
 ENCODED = "doc_id long, n_tokens long, ids array<int>"
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+#: UTF-8 of white space and separators beyond ASCII's six.
+_WIDE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8d\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
 
 
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -46,56 +55,93 @@ def _encoder(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 @cache
-def token_bytes(path: str) -> list[bytes]:
-    """The bytes of each id."""
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all ids one after the other, where each begins, and its length."""
     ranks = vocabulary(path)
-    out = [b""] * (max(ranks.values()) + 1)
+    words = [b""] * (max(ranks.values()) + 1)
     for word, i in ranks.items():
-        out[i] = word
-    return out
-
-
-def _cut(batches: Iterable[pa.RecordBatch], pattern: str, count: int) -> Iterator[tuple]:
-    find, number = regex.compile(pattern).findall, X.batch_ids()
-    for chunk in chunks(batches, "text"):
+        words[i] = word
+    sizes = np.array([len(w) for w in words], np.int64)
+    return np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches ``data[start : start + size]`` one after the other."""
+    ends = np.cumsum(size)
+    return data[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def word_starts(buf: np.ndarray, begins: np.ndarray, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end; a newline stands after each text."""
+    space = _IS_SEP[buf]
+    before, after = np.empty_like(space), np.empty_like(space)
+    before[0], before[1:] = True, space[:-1]
+    after[-1], after[:-1] = True, space[1:]
+    blank = np.empty(len(buf), bool)
+    blank[0], blank[1:] = False, buf[:-1] == 0x20
+    mark = (space & ~before) | (space & ~after) | (~space & before & ~blank)
+    mark[begins[:-1]] = True
+    data = buf.tobytes()
+    if _WIDE.search(data):
+        find = regex.compile(pattern).findall
+        for a, b in zip(begins[:-1].tolist(), (begins[1:] - 1).tolist(), strict=True):
+            if _WIDE.search(data, a, b):
+                sizes = [len(x.encode()) for x in find(data[a:b].decode())]
+                mark[a:b] = False
+                mark[a + np.cumsum([0, *sizes[:-1]])] = True
+    mark[begins[1:] - 1] = True  # the newline after a text ends its last word and is no word
+    at = np.flatnonzero(mark)
+    ends = np.append(at[1:], len(buf))
+    real = np.ones(len(at), bool)
+    real[np.searchsorted(at, begins[1:] - 1)] = False
+    return at[real], ends[real]
+
+
+def _planes(a: np.ndarray) -> np.ndarray:
+    """The bytes of 32-bit values, lowest first, each on its own: they compress better."""
+    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def _values(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
+def _cut(batches: Iterable[pa.RecordBatch], pattern: str, count: int, kind: int) -> Iterator[tuple]:
+    """Blocks with positions, or the distinct words of the same blocks; a word's number is its rank by hash."""
+    number = X.batch_ids()
+    for chunk in chunks(batches, "text", BLOCK_BYTES):
         batch = next(number)
-        seen: dict[str, int] = {}
-        at, sizes, places = seen.setdefault, [], []
-        for text in chunk.column("text").to_pylist():
-            words = find(text) if text else []
-            sizes.append(len(words))
-            places.append(np.array([at(w, len(seen)) for w in words], dtype=np.uint32))
-        ids = np.array(chunk.column("doc_id").fill_null(0).to_pylist(), dtype=np.int64)
-        known = np.asarray(chunk.column("doc_id").is_valid())
-        yield count + batch % count, batch, BLOCK, X.pack(ids, known, np.array(sizes, np.int64), np.concatenate(places), level=1)
-        held: dict[int, list] = {}
-        for w, i in seen.items():
-            b = w.encode()
-            held.setdefault(zlib.crc32(b) % count, []).append((i, b))
-        for bucket, got in held.items():
-            numbers, texts = zip(*got, strict=True)
-            lengths = np.array([len(b) for b in texts], np.uint32)
-            yield bucket, batch, BLOCK, X.pack(np.array(numbers, np.uint32), lengths, np.frombuffer(b"".join(texts), np.uint8), level=1)
-
-
-def _encode(key: int, held: list[tuple], path: str, pattern: str, count: int) -> Iterator[tuple]:
-    if key >= count:
-        yield from held
-        return
-    piece, known = _encoder(path, pattern)._encode_single_piece, {}
+        buf, begins = raw(chunk.column("text"))
+        starts, ends = word_starts(buf, begins, pattern)
+        distinct, first, places = np.unique(hash_spans(buf, starts, ends, lower=False), return_index=True, return_inverse=True)
+        if kind == BLOCK:
+            ids = np.array(chunk.column("doc_id").fill_null(0).to_pylist(), dtype=np.int64)
+            known = np.asarray(chunk.column("doc_id").is_valid())
+            yield batch % count, batch, BLOCK, X.pack(ids, known, np.diff(np.searchsorted(starts, begins)), _planes(places), level=1)
+            continue
+        bucket = X.bucket_of(distinct, count)  # ascends, as the hashes do
+        sizes = (ends - starts)[first]
+        edges = np.searchsorted(bucket, np.arange(count + 1))
+        for b in np.flatnonzero(edges[1:] > edges[:-1]):
+            cut = slice(edges[b], edges[b + 1])
+            yield int(b), batch, BLOCK, X.pack(np.array([edges[b]], np.uint32), sizes[cut].astype(np.uint32), gather(buf, starts[first[cut]], sizes[cut]), level=3)
+
+
+def _encode(held: list[tuple], path: str, pattern: str, count: int) -> Iterator[tuple]:
+    piece, find, known = _encoder(path, pattern)._encode_single_piece, regex.compile(pattern).findall, {}
     for _, batch, _, payload in held:
-        numbers, lengths, data = X.unpack(payload)
-        data, ends, out = data.tobytes(), np.cumsum(lengths, dtype=np.int64).tolist(), []
-        begin = 0
-        for end in ends:
+        base, lengths, data = X.unpack(payload)
+        data, out, begin = data.tobytes(), [], 0
+        for end in np.cumsum(lengths, dtype=np.int64).tolist():
             word = data[begin:end]
             begin = end
             ids = known.get(word)
             if ids is None:
-                ids = known[word] = piece(word)
+                ids = known[word] = [i for x in find(word.decode()) for i in piece(x)]
             out.append(ids)
         sizes = np.array([len(x) for x in out], np.uint32)
-        yield count + batch % count, batch, REPLY, X.pack(numbers, sizes, np.fromiter((i for x in out for i in x), np.uint32, int(sizes.sum())), level=1)
+        flat = np.fromiter((i for x in out for i in x), np.uint32, int(sizes.sum()))
+        yield batch % count, batch, REPLY, X.pack(base, sizes, flat if len(flat) and flat.max() > 65535 else flat.astype(np.uint16), level=1)
 
 
 def _reassemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,39 +162,51 @@ def _reassemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(block: list[np.ndarray], replies: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """The ids of each text of a block."""
-    docs, known, sizes, places = block
-    words = sum(len(r[0]) for r in replies)
+    docs, known, sizes, planes = block
+    places = _values(planes)
+    words = sum(len(r[1]) for r in replies)
     start, length = np.zeros(words, np.int64), np.zeros(words, np.int64)
-    base = 0
-    for numbers, counts, ids in replies:
-        counts = counts.astype(np.int64)
-        start[numbers], length[numbers] = base + np.cumsum(counts) - counts, counts
-        base += len(ids)
+    at = 0
+    for (base,), counts, ids in replies:
+        cut, counts = slice(int(base), int(base) + len(counts)), counts.astype(np.int64)
+        start[cut], length[cut] = at + np.cumsum(counts) - counts, counts
+        at += len(ids)
     flat = np.concatenate([r[2] for r in replies]).astype(np.int32) if replies else np.zeros(0, np.int32)
     edges = np.concatenate([[0], np.cumsum(sizes)])
-    step = 64
-    for a in range(0, len(docs), step):  # a few texts at a time: ids take more room than pre-tokens
-        b = min(len(docs), a + step)
-        words_of = places[edges[a] : edges[b]]
-        n = length[words_of]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(start[words_of] - (ends - n), n) + np.arange(int(n.sum()))]
-        marks = np.concatenate([[0], ends])[edges[a : b + 1] - edges[a]]
+    a = 0
+    while a < len(docs):  # some texts at a time: ids take more room than words
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + 200_000, side="right")) - 1)
+        of = places[edges[a] : edges[b]]
+        n = length[of]
+        ids = gather(flat, start[of], n)
+        marks = np.concatenate([[0], np.cumsum(n)])[edges[a : b + 1] - edges[a]]
         column = pa.ListArray.from_arrays(pa.array(marks, pa.int32()), pa.array(ids, pa.int32()))
         yield pa.RecordBatch.from_arrays([pa.array(docs[a:b], pa.int64(), mask=~known[a:b]), pa.array(np.diff(marks), pa.int64()), column], schema=_ENCODED)
+        a = b
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` for each row of ``docs(doc_id, text)``; path names a file of ranks on every machine."""
+    """``doc_id, n_tokens, ids`` for each row of ``docs(doc_id, text)``; path names a file of ranks on every machine.
+
+    The texts are cut twice, once for their words and once for their positions: cheaper than moving positions through both exchanges.
+    """
     p = partitions(prepare(docs.sparkSession))
     count = 4 * p
 
     def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return X.rows(r for key, held in X.runs(batches) for r in _encode(key, held, path, pattern, count))
+        return X.rows(r for _, held in X.runs(batches) for r in _encode(held, path, pattern, count))
+
+    plain = stable(docs.select("doc_id", "text"))
+    words = plain.mapInArrow(lambda it: X.rows(_cut(it, pattern, count, REPLY)), X.ENVELOPE)
+    blocks = plain.mapInArrow(lambda it: X.rows(_cut(it, pattern, count, BLOCK)), X.ENVELOPE)
+    met = X.routed(words, p).mapInArrow(answer, X.ENVELOPE)
+    return X.routed(blocks.unionAll(met), p).mapInArrow(_reassemble, ENCODED)
+
 
-    sent = docs.select("doc_id", "text").mapInArrow(lambda it: X.rows(_cut(it, pattern, count)), X.ENVELOPE)
-    met = X.routed(sent, p).mapInArrow(answer, X.ENVELOPE)
-    return X.routed(met, p).mapInArrow(_reassemble, ENCODED)
+def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and borders of a list column without nulls."""
+    offsets = np.asarray(column.offsets).astype(np.int64)
+    return np.asarray(column.values)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -156,11 +214,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(path)
+        data, start, size = token_bytes(path)
         for batch in batches:
-            for a in range(0, len(batch), 64):
-                part = batch.slice(a, 64)
-                text = [b"".join(map(table.__getitem__, ids)) for ids in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.binary())], names=[*part.schema.names, "decoded"])
+            for a in range(0, len(batch), 128):
+                part = batch.slice(a, 128)
+                ids, at = lists(part.column("ids"))
+                sums = np.concatenate([[0], np.cumsum(size[ids])])[at]
+                text = gather(data, start[ids], size[ids])
+                column = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(sums.astype(np.int32)), pa.py_buffer(text)])
+                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
