@@ -209,19 +209,20 @@ def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.values)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def decoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Batches with ids, and with the column ``decoded`` behind the others."""
+    data, start, size = token_bytes(path)
+    for batch in batches:
+        for a in range(0, len(batch), 128):
+            part = batch.slice(a, 128)
+            ids, at = lists(part.column("ids"))
+            sums = np.concatenate([[0], np.cumsum(size[ids])])[at]
+            text = gather(data, start[ids], size[ids])
+            column = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(sums.astype(np.int32)), pa.py_buffer(text)])
+            yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, "decoded"])
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with the column ``decoded``: the bytes that the ids stand for."""
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, start, size = token_bytes(path)
-        for batch in batches:
-            for a in range(0, len(batch), 128):
-                part = batch.slice(a, 128)
-                ids, at = lists(part.column("ids"))
-                sums = np.concatenate([[0], np.cumsum(size[ids])])[at]
-                text = gather(data, start[ids], size[ids])
-                column = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(sums.astype(np.int32)), pa.py_buffer(text)])
-                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, "decoded"])
-
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(lambda it: decoded(it, path), schema)

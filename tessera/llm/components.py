@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.session import materialize
+from tessera.llm.session import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     labels = None
     while not edges.isEmpty():
+        old = [edges, labels]
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("p"))
         up = materialize(parent)
@@ -31,11 +32,13 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             labels = labels.join(step.withColumnRenamed("v", "component"), "component", "left").select("id", F.coalesce("g", "component").alias("component"))
         labels = materialize(labels)
+        old += [up, step]
         a = step.select(F.col("v").alias("a"), F.col("g").alias("x"))
         b = step.select(F.col("v").alias("b"), F.col("g").alias("y"))
         edges = materialize(
             edges.join(a, "a").join(b, "b").where(F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
         )
+        discard(*old)
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels

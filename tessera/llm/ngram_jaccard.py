@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bloom
 from tessera.llm import exchange as X
 from tessera.llm.components import components
-from tessera.llm.session import materialize, partitions, prepare, stable
+from tessera.llm.session import discard, materialize, partitions, prepare, stable
 from tessera.llm.tokens import U, chunks, mix, words
 
 BLOCK, REPLY = 0, 1
@@ -309,6 +309,7 @@ def link_components(reps: DataFrame, num: int, den: int, tile: int = TILE) -> Da
     postings = materialize(postings)
     heads = postings.groupBy("h").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     blocks = components(postings.join(heads, "h").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct())
+    discard(postings)
     docs = reps.join(blocks.select(F.col("id").alias("doc_id"), F.col("component").alias("block")), "doc_id")
     # a number for each document within its block, by parts so that no block has to pass through one task
     docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(4096)))
@@ -363,6 +364,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     again = materialize(_again(reps, num, den).where(F.col("shared").isNotNull()))
     links = link_components(again, num, den)
     found = components(links).select(F.col("id").alias("rep"), "component")
+    discard(again)
     sets = copies.join(found, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     # the parts of an equal set all take its label; keys repeat, rows of the right side do not
     joined = prof.select("doc_id", "n", "s1", "s2").join(sets, ["n", "s1", "s2"], "left")

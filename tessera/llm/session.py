@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -51,5 +52,37 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_discard_all)
+    _written[path] = spark
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+_written: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` from which nothing more will be read."""
+    for t in tables:
+        path = getattr(t, "_tessera_path", None)
+        if path in _written:
+            _delete(_written.pop(path), path)
+
+
+def _discard_all() -> None:
+    """At the end of the driver its tables go, if the cluster still answers."""
+    for path, spark in _written.items():
+        try:
+            if spark._jsc.sc().isStopped():
+                return
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session is gone
+            return

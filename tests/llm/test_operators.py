@@ -1,0 +1,297 @@
+"""Operators on small tables against brute force, with odd rows throughout."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, components, decontaminate, hmm, langid, line_dedup, ngram_jaccard, quality, registry, sharding, topk, url_filter
+
+public = pytest.importorskip("public_tokenizers")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+FOLD = {i: i + 32 for i in range(65, 91)}
+#: Names that operators use inside.
+CLASH = ("route", "batch", "kind", "payload", "n", "h", "component", "shared", "removed_", "x", "score", "size", "shard", "slice")
+SCHEMA = "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in CLASH)
+
+
+def made(seed=0, n=60):
+    rng = random.Random(seed)
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "re") for b in ("", "ta", "so", "vi", "du")]
+    texts = []
+    for _ in range(n):
+        lines = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 25))) for _ in range(rng.randrange(1, 5))]
+        texts.append("\n".join(lines))
+    for i in range(n // 3):  # near copies, and copies
+        w = texts[i].split(" ")
+        w[rng.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+        texts.append(texts[i].upper() if i % 2 else texts[i])
+    texts += [None, "", "  \n\t", "one two", "ONE\ttwo", "x " * 5_000, "z" * 50_000, "\n\n", " a é 日本"]
+    return list(enumerate(texts, 5))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = made()
+    rows += [rows[3], (None, "no id here at all today")]  # a repeated row and one without id
+    df = spark.createDataFrame([(i, t, "en" if i is None or i % 3 else None, *("c",) * len(CLASH)) for i, t in rows], SCHEMA)
+    return rows, df
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def tokens(text):
+    return WORD.findall((text or "").translate(FOLD))
+
+
+def shingles(text):
+    w = tokens(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def roots(n, links):
+    up = list(range(n))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(200, x) for x in range(201, 240)]
+    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = roots(300, edges)
+    assert got == {i: want[i] for i in {x for e in edges if e[0] != e[1] for x in e}}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_ngram_jaccard(odd, monkeypatch, tile):
+    monkeypatch.setattr(ngram_jaccard.link_components, "__defaults__", (tile,))
+    rows, df = odd
+    rows = [r for r in rows if r[0] is not None]
+    sets = [shingles(t) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = roots(len(rows), links)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(df.where("doc_id IS NOT NULL")).collect())
+    assert got == sorted((i, len(sets[k]), rows[want[k]][0]) for k, (i, _) in enumerate(rows))
+
+
+def test_one_of_each_keeps_columns(odd, empty):
+    _, df = odd
+    kept = ngram_jaccard.one_of_each(df.where("doc_id IS NOT NULL"))
+    assert kept.columns == df.columns and 0 < kept.count() < df.count()
+    assert ngram_jaccard.jaccard_components(empty).count() == 0
+
+
+def test_line_dedup(odd, empty):
+    rows, df = odd
+    seen, want = {}, {}
+    for i, t in sorted({r for r in rows if r[0] is not None}):
+        for k, line in enumerate((t or "").split("\n")):
+            z = frozenset(tokens(line))
+            if len(z) >= 5:
+                if any(100 * len(z & y) >= 75 * len(z | y) for y in seen.values()):
+                    want.setdefault(i, []).append(k)
+                seen[i, k] = z
+    out = line_dedup.dedup_lines(df).collect()
+    assert len(out) == len(rows)
+    assert {r["doc_id"]: r["removed"] for r in out if r["removed"]} == want
+    texts = dict(rows)
+    for r in out:
+        t = texts[r["doc_id"]]
+        kept = t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in set(want.get(r["doc_id"], ())))
+        assert r["text"] == kept and r["x"] == "c"
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_line_dedup_second_pass(spark):
+    """A line with many candidates of which only a far one is similar still goes."""
+    base = [f"w{i}" for i in range(20)]
+    lines = [" ".join(base[:14] + [f"u{k}a{j}" for j in range(6)]) for k in range(12)]
+    lines.append(" ".join(base[:14] + ["v1", "v2", "v3", "u3a0", "u3a1", "u3a2"]))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    sets = [set(x.split()) for x in lines]
+    want = {i for i in range(len(lines)) if any(100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for j in range(i))}
+    for first in (1, 64):
+        assert {r["doc_id"] for r in line_dedup.later_matches(df, first=first).collect()} == want
+
+
+def test_bpe_round_trip(odd, empty):
+    rows, df = odd
+    path = public.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = bpe.decode(bpe.encode(df, path, public.PATTERN), path).collect()
+    assert len(out) == len(rows)
+    texts = dict(rows)
+    for r in out:
+        t = texts[r["doc_id"]] or ""
+        assert r["ids"] == enc.encode_ordinary(t) and bytes(r["decoded"]) == t.encode() and r["n_tokens"] == len(r["ids"])
+    assert bpe.decode(bpe.encode(empty, path, public.PATTERN), path).count() == 0
+
+
+def test_sharding(odd, empty, spark):
+    rows, df = odd
+    out = sharding.shard(df, 8).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(i for i, _ in rows)
+    texts = dict(rows)
+    for r in out:
+        b = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(b) + 16, zlib.crc32(b), "bytes", None)
+    for s in range(8):
+        own = sorted(r["slot"] for r in out if r["shard"] == s)
+        assert own == list(range(len(own)))
+    assert sharding.shard(empty, 8).count() == 0
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same").otherwise(F.repeat(F.lit("ab "), (F.col("id") % 40).cast("int"))).alias("text"))
+    sizes = [r["s"] for r in sharding.shard(many, 8).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.02 * sum(sizes) / 8
+
+
+def test_sharding_keeps_groups_whole(spark):
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 500).cast("string")).alias("text"))
+    assert sharding.shard(df, 4).groupBy("text_crc32").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+
+
+def test_quality(spark, odd, empty):
+    rows, df = odd
+    good = [(i, "Here is a plain sentence, number %d, about the weather." % i, None) for i in range(1000, 1200)]
+    bad = [(i, "win win win!!! $$$ " * (i % 7 + 3), None) for i in range(1200, 1400)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string").unionByName(df.select("doc_id", "text", "lang"))
+    labels = spark.createDataFrame([(i, int(i < 1200)) for i, *_ in good + bad] + [(1000, 1), (None, 1), (7, None)], "doc_id long, quality int")
+    out = quality.classify(docs, labels).collect()
+    assert len(out) == len(rows) + 400
+    for r in out:
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+        assert r["held_out"] == (r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        if r["doc_id"] is not None and r["doc_id"] >= 1000:
+            assert r["predicted"] == int(r["doc_id"] < 1200)
+    assert {r["score"] for r in quality.classify(df, labels.where("doc_id < 0")).collect()} == {0.5}
+    assert quality.classify(empty, labels).count() == 0
+
+
+def test_langid(spark, odd, empty):
+    words = {"aa": "wolken himmel regen straße über".split(), "bb": "ciel nuage pluie été très".split()}
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(12)), k) for i in range(240) for k in [("aa", "bb")[i % 2]]]
+    extra = [(1001, None, "aa"), (1002, "", "bb"), (1003, "12 !! 34", "aa"), (1004, "Regen", None), (1005, "été " * 9000, None), (None, "pluie", "bb")]
+    df = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string")
+    path = public.path("byte_bpe_multi_50k.tiktoken")
+    out = {r["doc_id"]: r for r in langid.identify(df, path).collect()}
+    assert len(out) == len(rows) + len(extra)
+    assert all(out[i]["lang_pred"] == k for i, _, k in rows)
+    assert [out[i]["lang_pred"] for i in (1001, 1002, 1003, 1004, 1005, None)] == ["und", "und", "und", "aa", "bb", "bb"]
+    assert all(0 <= r["score"] <= 1 for r in out.values())
+    kept = langid.accept(df, path)
+    assert kept.columns == df.columns and kept.count() == len(rows) + 3
+    assert langid.identify(empty, path).count() == 0
+    assert {r["lang_pred"] for r in langid.identify(odd[1].withColumn("lang", F.lit(None).cast("string")), path).collect()} == {"und"}
+
+
+def test_hmm_counts_and_base(odd, empty):
+    rows, df = odd
+    out = hmm.score(df, sample=20, rounds=2).collect()
+    train = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for t in train for w in tokens(t))
+    counts[None] = len(train)
+    n, v = sum(counts.values()), len(counts)
+    texts = dict(rows)
+    assert len(out) == len(rows)
+    for r in out:
+        own = [*tokens(texts[r["doc_id"]]), None]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(counts[w] > 0 for w in own), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own))
+        assert math.isfinite(r["score"]) and r["score"] <= 0
+    assert hmm.score(empty).count() == 0
+
+
+def test_hmm_is_a_distribution_over_next_words(spark):
+    """With the head holding every word, scores equal the forward sums of the model's own parameters."""
+    df = spark.createDataFrame([(i, "a b a c" if i % 2 else "b b c") for i in range(40)], "doc_id long, text string")
+    out = hmm.score(df, sample=40, rounds=3)
+    assert out.where("score > base_score").count() == 40
+
+
+def test_decontaminate(spark, odd, empty):
+    rows, df = odd
+    rng = random.Random(6)
+    make = lambda n, s: " ".join(f"{s}{rng.randrange(10**6)}" for _ in range(n))
+    items = [(k, make(30, "q")) for k in range(20)] + [(20, make(20, "r") + "\nYes."), (21, None), (22, ""), (23, "two words")]
+    leaky = [(2000 + k, make(200, "d") + " " + items[k][1].upper() + " " + make(90, "d"), "en") for k in range(21)]
+    clean = [(3000 + k, make(300, "d") + " " + " ".join(items[k][1].split()[:4]), "en") for k in range(20)]
+    docs = df.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(leaky + clean, "doc_id long, text string, lang string"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for part in (2_000, 7):
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench, part=part).collect()}
+        assert got == {(2000 + k, k) for k in range(21)}
+    kept = {r["doc_id"] for r in decontaminate.clean(docs, bench).select("doc_id").collect()}
+    assert not kept & {i for i, *_ in leaky} and {i for i, *_ in clean} <= kept and None in kept
+    assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
+
+
+def test_top_k(spark):
+    rng = random.Random(7)
+    vectors = [(i, [rng.choice([0.1, -0.2, 0.3, 1.0]) for _ in range(4)]) for i in range(300)]
+    odd_rows = [(1000, None), (1050, [0.1, None, 0.2, 0.3]), (1100, [0.1, float("nan"), 0.2, 0.3]), (1150, [float("inf"), 0.0, 0.0, 0.0]), (1200, []), (1250, [1.0, 2.0]), (None, [1.0, 1.0, 1.0, 1.0]), (7, vectors[7][1])]
+    df = spark.createDataFrame(vectors + odd_rows, "vec_id long, embedding array<float>")
+    import numpy as np
+
+    full = {i: np.floor(256 * np.array(v, dtype=np.float32).astype(float)) for i, v in vectors}
+    every = [*full.items(), (7, full[7])]
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = {q: [(k + 1, i, s) for k, (s, i) in enumerate(sorted(((int(full[q] @ v), i) for i, v in every if i != q), key=lambda x: (-x[0], x[1]))[:5])] for q in range(0, 300, 50)}
+    assert {q: sorted(v) for q, v in got.items()} == want
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_url_filter(spark):
+    urls = ["https://WWW.Example.com/en/1", "http://example.com/en/2?x", "https://a.b.com/fr/", "https://x.net/es/9", "https://x.net/fr", "https://y.org/zz#q", None, "no scheme", "://", "http://com", "http://notcom/en/", "https://x.net/fr/1", "HTTP://Ä.COM/é"]
+    out = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    want = {0: ("www.example.com", "/en/1", "www.example.com/en/", "allow"), 1: ("example.com", "/en/2", "example.com/en/", "block"), 2: ("a.b.com", "/fr/", "com/", "allow"), 3: ("x.net", "/es/9", "net/es/", "block"), 6: ("", "", None, "allow"), 8: ("", "", None, None), 11: ("x.net", "/fr/1", "net/fr/", "block"), 12: ("Ä.com", "/é", "com/", "allow")}
+    for i, (host, path, rule, verdict) in want.items():
+        assert (out[i]["host"], out[i]["path"], out[i]["rule"]) == (host, path, rule)
+        assert verdict is None or out[i]["verdict"] == verdict
+    assert out[9]["rule"] is None and out[10]["rule"] is None and out[4]["rule"] is None
+    assert len(out) == len(urls)
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_mined_rules_against_counting(spark):
+    rows = [(["a", "b"], "block")] * 30 + [(["a", "c"], "allow")] * 30 + [(["b", "c"], "block")] * 2
+    mined = {r["rule_id"]: (r["verdict"], r["confidence"]) for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.9).collect()}
+    assert mined == {"b": ("block", 1.0), "a c": ("allow", 1.0), "c": ("allow", 30 / 32)}
+    sets = spark.createDataFrame([(1, ["a", "b", "z"]), (2, ["a", "c"]), (3, ["z"])], "key long, tokens array<string>")
+    rules = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.9)
+    assert {r["key"]: (r["mined"], r["mined_verdict"]) for r in url_filter.match(sets, rules).collect()} == {1: ("b", "block"), 2: ("a c", "allow")}
+
+
+def test_registry_query_for_each_operator(spark, data):
+    names = list(registry.queries())
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    out = registry.op8_bpe(spark, data)
+    row = out.orderBy("doc_id").first()
+    text = spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").first()["text"]
+    assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()

@@ -1,0 +1,35 @@
+"""The pipeline's stages, each held against its own input."""
+
+from __future__ import annotations
+
+import pytest
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+def test_stages(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["language_id", "line_dedup", "ngram_jaccard", "decontamination", "bpe"]
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.materialize(stage(spark, docs, data))
+        n = out.count()
+        assert 0 < n <= before
+        if name != "bpe":
+            assert sorted(out.columns) == sorted(columns)
+            assert out.where("n_chars <> length(text)").count() == 0
+            docs, before = out, n
+        else:
+            assert n == before
+            back = out.join(docs.selectExpr("doc_id", "text AS was"), "doc_id")
+            assert back.where("text <> was").count() == 0 and back.count() == n
+    from tessera.llm import decontaminate, ngram_jaccard
+
+    again = ngram_jaccard.jaccard_components(docs)
+    assert again.where("component_id <> doc_id").count() == 0
+    assert decontaminate.leaks(docs, spark.read.parquet(f"{data}/benchmark.parquet")).count() == 0
+
+
+def test_run(spark, data):
+    assert corpus_pipeline.run(spark, data).columns == ["doc_id", "n_tokens", "ids", "text"]
