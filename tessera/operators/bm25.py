@@ -58,7 +58,7 @@ def scores(index: Index, queries: DataFrame) -> DataFrame:
     """
     q = query_terms(queries)
     met = index.postings.join(q, "term")
-    weight = index.terms.join(q.select("term").distinct(), "term", "left_semi").join(F.broadcast(index.stats), "shard")
+    weight = index.terms.join(q.select("term").distinct(), "term", "left_semi").join(index.stats, "shard")
     weight = weight.select("shard", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
     met = met.join(weight, ["shard", "term"]).join(index.lengths, ["shard", "doc_idx"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))

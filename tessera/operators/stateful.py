@@ -87,10 +87,16 @@ def changed_only(log: DataFrame, key: str, message: str) -> DataFrame:
 def cooldown_gate(log: DataFrame, seconds: int, key: str = "user_id", forced: Column | None = None, strict: bool = False) -> DataFrame:
     """``log`` with ``passed``: enough time since the key's last *passed* row (more than enough if ``strict``), or forced.
 
-    A refused row leaves the state as it was, so this is a fold over a key's rows in order.
+    A refused row leaves the state as it was, so this is a fold over rows in order. A forced row, and one that comes
+    long enough after the row before it, passes whatever the state: they cut a key's rows into stretches that are
+    folded each on its own, so what is held at once is one stretch of close rows.
     """
     rows = log.withColumn("_t", epoch(F.col("ts"))).withColumn("_f", F.coalesce(forced if forced is not None else F.lit(False), F.lit(False)))
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "_t", "_f"))).alias("rows"))
+    pause = F.col("_t") - F.lag("_t").over(_ordered(key))
+    cut = pause.isNull() | F.col("_f") | ((pause > seconds) if strict else (pause >= seconds))
+    rows = rows.withColumn("_cut", cut.cast("int"))
+    rows = rows.withColumn("_part", F.sum("_cut").over(_ordered(key).rowsBetween(Window.unboundedPreceding, 0)))
+    listed = rows.groupBy(key, "_part").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "_t", "_f"))).alias("rows"))
     state = "struct<last:bigint,out:array<struct<event_id:bigint,passed:boolean>>>"
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<event_id:bigint,passed:boolean>>").alias("out")).cast(state)
 

@@ -49,7 +49,7 @@ def doc_length(t: Tables) -> DataFrame:
 @query(f"WITH {D.bm25()} SELECT term, CAST(df AS BIGINT) AS df, round(ln(1e0 + (n - df + 5e-1) / (df + 5e-1)), 6) AS idf FROM terms JOIN stats USING (shard)")
 def term_idf(t: Tables) -> DataFrame:
     index = bm25.build(corpus(t))
-    return index.terms.join(F.broadcast(index.stats), "shard").select("term", "df", F.round(bm25.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    return index.terms.join(index.stats, "shard").select("term", "df", F.round(bm25.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query(f"WITH {D.bm25()} SELECT CAST(n AS BIGINT) AS n, round(avgdl, 6) AS avgdl FROM stats")
