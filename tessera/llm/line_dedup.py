@@ -15,13 +15,14 @@ Jaccard similarity with it reaches the threshold. Lines of fewer than
 3. In a token's list equal sets collapse to their earliest line. Other pairs
    must pass the *length filter*, the *positional filter* (tokens left after
    the shared one must suffice) and the bitmap bound (symmetric difference).
-   Each line proposes at most ``FIRST`` of its most similar earlier lines; the
-   number is no limit of the result, see 5.
+   Each line proposes at most ``FIRST`` of its most similar earlier lines from
+   a list; the number is no limit of the result, see 5.
 4. *Verification.* A Bloom filter of fixed size over the lines in question
    lets a pass over the texts return their token sets alone; Jaccard is then
-   computed exactly.
-5. Lines that proposed fewer than they had and of which none was verified
-   propose all in a second pass.
+   computed exactly, for each line's best candidate and then for the others of
+   lines that this leaves.
+5. The lists of lines that proposed fewer than they had are kept; those of
+   which none was verified propose all from them.
 
 Null and empty texts have no lines to remove. Rows without doc_id are neither
 compared nor changed. Repeated rows of one doc_id count as one document and
@@ -41,15 +42,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bloom
 from tessera.llm import exchange as X
-from tessera.llm.session import materialize, partitions, prepare, stable
-from tessera.llm.tokens import U, chunks, hash_spans, mix, raw, spans
+from tessera.llm.session import discard, materialize, partitions, prepare, stable
+from tessera.llm.tokens import U, chunks, hash_spans, mix, raw, spans, words
 
 #: Words ordered by count; pairs that a line proposes from one list at first; bytes of text in a block.
-HEAD, FIRST, BLOCK_BYTES = 1 << 16, 3, 8 << 20
-#: Widest bitmap in 64-bit words; a line of n tokens has about n bits.
+HEAD, FIRST, BLOCK_BYTES = 1 << 16, 64, 8 << 20
+#: Widest bitmap in 64-bit words; a line of n tokens has 2 n bits or more up to there.
 WIDEST = 32
-PAIRS = "doc_id long, line long, other_doc long, other_line long, sure boolean, more boolean"
-_PAIRS = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("other_doc", pa.int64()), ("other_line", pa.int64()), ("sure", pa.bool_()), ("more", pa.bool_())])
+COLUMNS = ("doc_id", "line", "other_doc", "other_line")
+PAIRS = "doc_id long, line long, other_doc long, other_line long, sure boolean, more boolean, gap long, lists binary"
+_PAIRS = pa.schema([*((c, pa.int64()) for c in COLUMNS), ("sure", pa.bool_()), ("more", pa.bool_()), ("gap", pa.int64()), ("lists", pa.binary())])
 
 
 class Lines:
@@ -113,7 +115,7 @@ def need(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def words_wide(n: np.ndarray) -> np.ndarray:
     """64-bit words in the bitmap of a line of n tokens: a power of two."""
-    return np.minimum(1 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64), WIDEST)
+    return np.minimum(1 << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64), WIDEST)
 
 
 def bitmaps(key: np.ndarray, begin: np.ndarray, n: np.ndarray, wide: int) -> np.ndarray:
@@ -129,19 +131,21 @@ def _count(batches: Iterable[pa.RecordBatch], count: int) -> Iterator[tuple]:
     number = X.batch_ids()
     for chunk in chunks(batches, "text", BLOCK_BYTES):
         batch = next(number)
-        words, n = np.unique(Lines(chunk).hashes()[0], return_counts=True)
-        for b, (h, c) in X.split(X.bucket_of(words, count), count, words, n.astype(np.uint32)):
-            yield b, batch, 0, X.pack(h, c, level=1)
+        h, at = words(chunk.column("text"))
+        known = np.asarray(chunk.column("doc_id").is_valid())
+        h, n = np.unique(h if known.all() else h[np.repeat(known, np.diff(at))], return_counts=True)
+        for b, (x, c) in X.split(X.bucket_of(h, count), count, h, n.astype(np.uint32)):
+            yield b, batch, 0, X.pack(x, c, level=1)
 
 
 def _heaviest(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple]:
     for _, held in X.runs(batches):
         blobs = [X.unpack(p) for *_, p in held]
         h = np.concatenate([b[0] for b in blobs])
-        words, back = np.unique(h, return_inverse=True)
+        distinct, back = np.unique(h, return_inverse=True)
         total = np.bincount(back, np.concatenate([b[1] for b in blobs])).astype(np.int64)
         top = np.argsort(-total, kind="stable")[:most]
-        yield from zip(words[top].view(np.int64).tolist(), total[top].tolist(), strict=True)
+        yield from zip(distinct[top].view(np.int64).tolist(), total[top].tolist(), strict=True)
 
 
 def frequent_words(docs: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
@@ -185,8 +189,6 @@ def _postings(batches: Iterable[pa.RecordBatch], head: np.ndarray, rank: np.ndar
             token = flat[(ends - m)[who] + pos]
             bucket = X.bucket_of(mix(token), count)
             for r, (t, w, q) in X.split(bucket, count, token, who, pos):
-                o = np.argsort(t)
-                t, w, q = t[o], w[o], q[o]
                 i = at[w]
                 yield r, batch, wide, X.pack(t, bits[w].ravel(), (sig[i] >> U(32)).astype(np.uint32), n[i].astype(np.uint32), q.astype(np.uint32), lines.doc[line[begin[i]]], lines.number[line[begin[i]]].astype(np.uint32), level=1)
 
@@ -201,9 +203,8 @@ def _fold(bits: np.ndarray, wide: int) -> np.ndarray:
 class _List:
     """Postings of a bucket of one bitmap width, in order of token and number of tokens; equal sets collapsed."""
 
-    def __init__(self, blobs: list[list[np.ndarray]], wide: int) -> None:
-        token, bits, sig, n, pos, doc, line = (np.concatenate(x) for x in zip(*blobs, strict=True))
-        bits = bits.reshape(-1, wide)
+    def __init__(self, postings: list[np.ndarray]) -> None:
+        token, bits, sig, n, pos, doc, line = postings
         order = np.lexsort((line, doc, bits[:, 0], sig, n, token))
         self.token, self.bits, self.n, self.pos, self.doc, self.line = token[order], bits[order], n[order].astype(np.int64), pos[order].astype(np.int64), doc[order], line[order].astype(np.int64)
         sig = sig[order]
@@ -212,20 +213,20 @@ class _List:
         self.head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         self.same = same
 
-    def copies(self) -> Iterator[tuple]:
+    def copies(self) -> pa.RecordBatch:
         """Lines equal to an earlier one; told once, at the first token."""
         at = np.flatnonzero(self.same & (self.pos == 0))
         to = self.head[at]
         other = (self.doc[at] != self.doc[to]) | (self.line[at] != self.line[to])
-        for i, j in zip(at[other].tolist(), to[other].tolist(), strict=True):
-            yield int(self.doc[i]), int(self.line[i]), int(self.doc[j]), int(self.line[j]), True, False
+        at, to = at[other], to[other]
+        return _rows(self.doc[at], self.line[at], self.doc[to], self.line[to], True, np.zeros(len(at), bool), np.zeros(len(at), np.int64))
 
     def kept(self) -> tuple[np.ndarray, ...]:
         k = ~self.same
         return self.token[k], self.bits[k], self.n[k], self.pos[k], self.doc[k], self.line[k]
 
 
-def _propose(own: tuple[np.ndarray, ...], num: int, den: int, first: int, only: set | None) -> Iterator[tuple]:
+def _propose(own: tuple[np.ndarray, ...], num: int, den: int, first: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Pairs of a bucket that pass the filters, from lists of bitmaps folded to one width."""
     token, bits, n, pos, doc, line = own
     order = np.lexsort((n, token))
@@ -265,13 +266,30 @@ def _propose(own: tuple[np.ndarray, ...], num: int, den: int, first: int, only:
     size = np.diff(np.append(start, len(a)))
     nth = np.arange(len(a)) - np.repeat(start, size)
     total = np.repeat(size, size)
-    if only is None:
-        take = np.flatnonzero(nth < first)
-    else:
-        take = np.array([k for k in range(len(a)) if (int(doc[a[k]]), int(line[a[k]])) in only], dtype=np.int64)
-    for k in take.tolist():
-        i, j = a[k], b[k]
-        yield int(doc[i]), int(line[i]), int(doc[j]), int(line[j]), False, bool(only is None and total[k] > first)
+    # few go on at first; of lines that the filter ``only`` holds, all
+    take = np.flatnonzero(nth < first if only is None else bloom.contains(only, doc[a], line[a]))
+    i, j = a[take], b[take]
+    more = (total[take] > first) if only is None else np.zeros(len(take), bool)
+    yield _rows(doc[i], line[i], doc[j], line[j], False, more, g[order][take])
+    if more.any():
+        # the whole lists of such lines, to propose from again
+        wide = bits.shape[1]
+        keep = np.isin(token, np.unique(token[i[more]]))
+        blob = X.pack(np.array([wide]), token[keep], bits[keep].ravel(), n[keep], pos[keep], doc[keep], line[keep], level=1)
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((*(None,) * 7, blob), _PAIRS, strict=True)], schema=_PAIRS)
+
+
+def _rows(doc: np.ndarray, line: np.ndarray, other_doc: np.ndarray, other_line: np.ndarray, sure: bool, more: np.ndarray, gap: np.ndarray) -> pa.RecordBatch:
+    whole = [pa.array(x, pa.int64()) for x in (doc, line, other_doc, other_line)]
+    return pa.RecordBatch.from_arrays([*whole, pa.array(np.full(len(doc), sure)), pa.array(more), pa.array(gap, pa.int64()), pa.nulls(len(doc), pa.binary())], schema=_PAIRS)
+
+
+def _again(batches: Iterable[pa.RecordBatch], num: int, den: int, only: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """All pairs of the lines that the filter ``only`` holds, from kept lists."""
+    for batch in batches:
+        for blob in batch.column("lists").to_pylist():
+            (wide,), token, bits, *rest = X.unpack(blob)
+            yield from _propose((token, bits.reshape(-1, wide), *rest), num, den, 0, only)
 
 
 def _joint(token: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -281,28 +299,34 @@ def _joint(token: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.cumsum(step) * (1 << 32) + np.minimum(n, (1 << 32) - 1)
 
 
-def _meet(batches: Iterable[pa.RecordBatch], num: int, den: int, first: int, only: set | None) -> Iterator[tuple]:
+def _meet(batches: Iterable[pa.RecordBatch], num: int, den: int, first: int) -> Iterator[pa.RecordBatch]:
     for _, held in X.runs(batches):
         by: dict[int, list] = {}
         for *_, wide, payload in held:
             by.setdefault(wide, []).append(X.unpack(payload))
+        postings = {w: [np.concatenate(x) for x in zip(*blobs, strict=True)] for w, blobs in sorted(by.items())}
+        del by, held
+        # most tokens of prefixes belong to one line alone
+        _, back, n = np.unique(np.concatenate([x[0] for x in postings.values()]), return_inverse=True, return_counts=True)
+        met, at = n[back] > 1, 0
         lists = {}
-        for wide in sorted(by):
-            got = _List(by.pop(wide), wide)
-            if only is None:
-                yield from got.copies()
+        for wide, x in postings.items():
+            keep = met[at : at + len(x[0])]
+            at += len(x[0])
+            x[1] = x[1].reshape(-1, wide)
+            got = _List([y[keep] for y in x])
+            yield got.copies()
             lists[wide] = got.kept()
         for wide, own in lists.items():
+            yield from _propose(_shared(own), num, den, first, None)
             # lines of the next wider bitmap join those of this one that they can be similar to
             more = lists.get(2 * wide)
-            yield from _propose(_shared(own), num, den, first, only)
             if more is not None:
                 both = tuple(np.concatenate([x, _fold(y, wide) if k == 1 else y]) for k, (x, y) in enumerate(zip(own, more, strict=True)))
                 side = np.concatenate([np.zeros(len(own[0]), bool), np.ones(len(more[0]), bool)])
-                # the widest of one kind reach the narrowest of the next: lengths on both sides of the border
-                border = 64 * wide
+                border = 32 * wide
                 near = (both[2] * den >= num * border) & (both[2] * num <= den * border)
-                yield from _propose(_shared(tuple(x[near] for x in both), side[near]), num, den, first, only)
+                yield from _propose(_shared(tuple(x[near] for x in both), side[near]), num, den, first, None)
 
 
 def _shared(own: tuple[np.ndarray, ...], side: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -330,27 +354,40 @@ def _sets(batches: Iterable[pa.RecordBatch], bits: np.ndarray) -> Iterator[tuple
                 yield int(lines.doc[i]), int(lines.number[i]), np.unique(hash_spans(part, s, e)).tobytes()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose sets are similar."""
-    spark = docs.sparkSession
+def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``doc_id, line, words``: the token sets of all lines in ``pairs``, and of some others."""
     refs = pairs.select("doc_id", "line").unionAll(pairs.select("other_doc", "other_line"))
-    bits = spark.sparkContext.broadcast(bloom.build(refs))  # of fixed size
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(refs))  # of fixed size
     kind = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("words", pa.binary())])
     sets = docs.select("doc_id", "text").mapInArrow(lambda it: X.rows(_sets(it, bits.value), kind), "doc_id long, line long, words binary")
-    sets = materialize(sets).dropDuplicates(["doc_id", "line"])
-    own = pairs.join(sets, ["doc_id", "line"])
+    return materialize(sets.dropDuplicates(["doc_id", "line"]))
+
+
+def _similar(a: list[bytes], b: list[bytes], num: int, den: int) -> np.ndarray:
+    """Whether the sets of each pair are similar. A pair's hashes are compared to 48 bits, all pairs in one sort."""
+    sides = []
+    sizes = []
+    for side in (a, b):
+        n = np.array([len(x) // 8 for x in side])
+        h = np.frombuffer(b"".join(side), U)
+        sides.append((np.repeat(np.arange(len(side), dtype=U), n) << U(48)) | (h >> U(16)))
+        sizes.append(n)
+    both = np.sort(np.concatenate(sides))
+    common = np.bincount((both[1:][both[1:] == both[:-1]] >> U(48)).astype(np.int64), minlength=len(a))
+    return den * common >= num * (sizes[0] + sizes[1] - common)
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sets are similar."""
+    own = pairs.select(*COLUMNS).join(sets, ["doc_id", "line"])
     both = own.join(sets.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("others")), ["other_doc", "other_line"])
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("words").to_pylist(), batch.column("others").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, U), np.frombuffer(y, U)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(den * common >= num * (len(a) + len(b) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "line", "other_doc", "other_line")], names=["doc_id", "line", "other_doc", "other_line"]).filter(pa.array(ok, pa.bool_()))
+            ok = _similar(batch.column("words").to_pylist(), batch.column("others").to_pylist(), num, den)
+            yield batch.select(list(COLUMNS)).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("doc_id", "line", "other_doc", "other_line", "words", "others").mapInArrow(check, "doc_id long, line long, other_doc long, other_line long")
+    return materialize(both.select(*COLUMNS, "words", "others").mapInArrow(check, ", ".join(f"{c} long" for c in COLUMNS)))
 
 
 def later_matches(docs: DataFrame, num: int = 75, den: int = 100, least: int = 5, first: int = FIRST) -> DataFrame:
@@ -363,39 +400,36 @@ def later_matches(docs: DataFrame, num: int = 75, den: int = 100, least: int = 5
     plain = docs.select("doc_id", "text")
     order = spark.sparkContext.broadcast((head, rank))  # at most HEAD words
 
-    def pairs_of(only: set | None, table: DataFrame) -> DataFrame:
-        sent = table.mapInArrow(lambda it: X.rows(_postings(it, *order.value, least, num, den, count)), X.ENVELOPE)
-        return X.routed(sent, p).mapInArrow(lambda it: X.rows(_meet(it, num, den, first, only), _PAIRS), PAIRS)
-
-    found = materialize(pairs_of(None, plain))
-    columns = ["doc_id", "line", "other_doc", "other_line"]
-    sure = found.where("sure").select(columns)
+    sent = plain.mapInArrow(lambda it: X.rows(_postings(it, *order.value, least, num, den, count)), X.ENVELOPE)
+    found = materialize(X.routed(sent, p).mapInArrow(lambda it: _meet(it, num, den, first), PAIRS))
+    line = ["doc_id", "line"]
+    sure = found.where("sure").select(*COLUMNS)
     # a line that equals an earlier one needs no other match
-    maybe = materialize(found.where("NOT sure").groupBy(*columns).agg(F.max("more").alias("more")).join(sure.select("doc_id", "line").distinct(), ["doc_id", "line"], "left_anti"))
-    out = sure
-    if not maybe.isEmpty():
-        good = materialize(_verified(plain, maybe.select(columns), num, den))
-        out = out.unionAll(good)
-        rest = materialize(maybe.where("more").select("doc_id", "line").distinct().join(good, ["doc_id", "line"], "left_anti"))
-        if not rest.isEmpty():
-            out = out.unionAll(_exhaustive(plain, rest, order, least, num, den, count, maybe.select(columns)))
-    return out.groupBy("doc_id", "line").agg(F.min(F.struct("other_doc", "other_line")).alias("o")).select("doc_id", "line", F.col("o.other_doc").alias("other_doc"), F.col("o.other_line").alias("other_line"))
-
-
-def _exhaustive(plain: DataFrame, rest: DataFrame, order, least: int, num: int, den: int, count: int, tried: DataFrame) -> DataFrame:  # noqa: ANN001
-    """All pairs of the lines of ``rest``; a Bloom filter of them picks the proposers, false ones do no harm."""
-    p = partitions(plain.sparkSession)
-    asked = plain.sparkSession.sparkContext.broadcast(bloom.build(rest))
-
-    class Asked:
-        def __contains__(self, ref: tuple[int, int]) -> bool:
-            return bool(bloom.contains(asked.value, np.array([ref[0]]), np.array([ref[1]]))[0])
+    maybe = found.where("NOT sure").groupBy(*COLUMNS).agg(F.max("more").alias("more"), F.min("gap").alias("gap"))
+    maybe = materialize(maybe.join(sure.select(*line).distinct(), line, "left_anti"))
+    sure = materialize(sure)
+    if maybe.isEmpty():
+        return _one_each(sure)
+    sets = _sets_of(plain, maybe)
+    # the most similar candidate first, all others only of lines that it leaves
+    best = maybe.groupBy(*line).agg(F.min(F.struct("gap", "other_doc", "other_line")).alias("o")).select(*line, "o.other_doc", "o.other_line")
+    good = _verified(sets, best, num, den)
+    others = maybe.join(good.select(*line).distinct(), line, "left_anti").join(best, list(COLUMNS), "left_anti")
+    good = good.unionAll(_verified(sets, others, num, den))
+    rest = materialize(maybe.where("more").select(*line).distinct().join(good.select(*line).distinct(), line, "left_anti"))
+    if not rest.isEmpty():
+        asked = spark.sparkContext.broadcast(bloom.build(rest))  # it lets some others propose too
+        every = found.where("lists IS NOT NULL").select("lists").mapInArrow(lambda it: _again(it, num, den, asked.value), PAIRS)
+        fresh = materialize(every.select(*COLUMNS).distinct().join(rest, line, "left_semi").join(maybe.select(*COLUMNS), list(COLUMNS), "left_anti"))
+        good = good.unionAll(_verified(_sets_of(plain, fresh), fresh, num, den))
+    out = materialize(_one_each(sure.unionAll(good)))
+    discard(found, sure, maybe, sets)
+    return out
 
-    sent = plain.mapInArrow(lambda it: X.rows(_postings(it, *order.value, least, num, den, count)), X.ENVELOPE)
-    found = X.routed(sent, p).mapInArrow(lambda it: X.rows(_meet(it, num, den, 0, Asked()), _PAIRS), PAIRS)
-    columns = ["doc_id", "line", "other_doc", "other_line"]
-    fresh = found.select(columns).distinct().join(rest, ["doc_id", "line"], "left_semi").join(tried, columns, "left_anti")
-    return materialize(_verified(plain, materialize(fresh), num, den))
+
+def _one_each(pairs: DataFrame) -> DataFrame:
+    first = pairs.groupBy("doc_id", "line").agg(F.min(F.struct("other_doc", "other_line")).alias("o"))
+    return first.select("doc_id", "line", "o.other_doc", "o.other_line")
 
 
 def dedup_lines(docs: DataFrame, **options: int) -> DataFrame:
