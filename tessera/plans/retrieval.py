@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import answer, bm25, context
+from tessera.operators import answer, bm25, context, service
 from tessera.plans import dialect as D
 from tessera.plans.registry import Tables, query
 from tessera.sources import corpus as C
@@ -205,3 +205,10 @@ def ab_variants(t: Tables) -> DataFrame:
 def retry_wait(t: Tables) -> DataFrame:
     estimate = F.when(F.col("event_id") % 5 != 0, F.greatest(F.col("value") / 10, F.lit(1e-9)))
     return t("events").select("event_id", answer.retry_wait(estimate).alias("wait"))
+
+
+@query(f"WITH RECURSIVE {D.bm25()}, {HITS}, {CONTEXT}, n AS (SELECT qid, count(DISTINCT rk) AS n FROM kept GROUP BY qid) SELECT q.qid, 'documents: ' || coalesce(n, 0) AS answer FROM qs q LEFT JOIN n USING (qid)")
+def ask(t: Tables) -> DataFrame:
+    """The model is a function; here one that counts the documents of its prompt."""
+    c = corpus(t)
+    return service.ask(c, bm25.build(c), questions(t), lambda p: f"documents: {p.count('<doc id=')}").select("qid", "answer")

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import answer, bm25, context, conversation, jobs, stateful
+from tessera.operators import answer, bm25, context, conversation, jobs, service, stateful
 from tessera.sources import corpus
 
 LOG = "user_id long, event_id long, ts timestamp_ntz, kind string"
@@ -157,3 +157,14 @@ def test_sources_round_trip(spark, tmp_path):
     assert kind == "shards" and found.where("shard_id = 1").count() == 1
     indexed.write.parquet(str(tmp_path / "one"))
     assert corpus.boot(spark, corpus.Settings(shards=str(tmp_path / "no"), index=str(tmp_path / "one")))[0] == "single"
+
+
+def test_chat_and_compare(spark):
+    c = docs(spark, ["Apples are red and sweet fruit.", "Pears are green fruit here.", "Nothing else matters now."])
+    index = bm25.build(c)
+    q = spark.createDataFrame([(1, "apples red")], "qid long, text string")
+    answers, refs = service.chat(c, index, q, lambda p: "pears maybe" if "<doc" in p else "none")
+    assert answers.first()["answer"] == "pears maybe"
+    assert [r["row_id"] for r in refs.orderBy("rk").collect()] == ["0", "1"]
+    both = service.compare(c, index, q, lambda p: str("alternate phrasing" in p)).first()
+    assert (both["a"], both["b"]) == ("False", "True")
