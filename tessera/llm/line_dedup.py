@@ -46,7 +46,7 @@ from tessera.llm.session import discard, materialize, partitions, prepare, stabl
 from tessera.llm.tokens import U, chunks, hash_spans, mix, raw, spans, words
 
 #: Words ordered by count; pairs that a line proposes from one list at first; bytes of text in a block.
-HEAD, FIRST, BLOCK_BYTES = 1 << 16, 64, 8 << 20
+HEAD, FIRST, BLOCK_BYTES = 1 << 16, 24, 8 << 20
 #: Widest bitmap in 64-bit words; a line of n tokens has 2 n bits or more up to there.
 WIDEST = 32
 COLUMNS = ("doc_id", "line", "other_doc", "other_line")
@@ -201,11 +201,11 @@ def _fold(bits: np.ndarray, wide: int) -> np.ndarray:
 
 
 class _List:
-    """Postings of a bucket of one bitmap width, in order of token and number of tokens; equal sets collapsed."""
+    """Postings of a bucket of one bitmap width, in order of token; equal sets collapsed."""
 
     def __init__(self, postings: list[np.ndarray]) -> None:
         token, bits, sig, n, pos, doc, line = postings
-        order = np.lexsort((line, doc, bits[:, 0], sig, n, token))
+        order = np.lexsort((line, doc, mix(bits[:, 0] ^ (sig.astype(U) << U(32)) ^ n), token))
         self.token, self.bits, self.n, self.pos, self.doc, self.line = token[order], bits[order], n[order].astype(np.int64), pos[order].astype(np.int64), doc[order], line[order].astype(np.int64)
         sig = sig[order]
         same = np.zeros(len(order), bool)
@@ -229,7 +229,9 @@ class _List:
 def _propose(own: tuple[np.ndarray, ...], num: int, den: int, first: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Pairs of a bucket that pass the filters, from lists of bitmaps folded to one width."""
     token, bits, n, pos, doc, line = own
-    order = np.lexsort((n, token))
+    if (token[1:] < token[:-1]).any():
+        own = tuple(x[o] for o in (np.argsort(token, kind="stable"),) for x in own)
+    order = np.argsort(_joint(own[0], own[2]), kind="stable")
     token, bits, n, pos, doc, line = (x[order] for x in own)
     group_end = np.searchsorted(token, token, side="right")
     later, earlier, gap = [], [], []
