@@ -49,7 +49,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     path = public.path("byte_bpe_50k.tiktoken")
-    both = bpe.decode(bpe.encode(docs, path, public.PATTERN), path)
+    both = bpe.encode(docs, path, public.PATTERN, lambda it: bpe.decoded(it, path), f"{bpe.ENCODED}, decoded binary")
     return both.select("doc_id", "n_tokens", "ids", F.decode("decoded", "UTF-8").alias("text"))
 
 

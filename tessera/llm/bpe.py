@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -185,9 +185,10 @@ def _texts(block: list[np.ndarray], replies: list[list[np.ndarray]]) -> Iterator
         a = b
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, then: Callable | None = None, schema: str = ENCODED) -> DataFrame:
     """``doc_id, n_tokens, ids`` for each row of ``docs(doc_id, text)``; path names a file of ranks on every machine.
 
+    ``then`` takes the Arrow batches of the result further, to ``schema``, in the worker that makes them.
     The texts are cut twice, once for their words and once for their positions: cheaper than moving positions through both exchanges.
     """
     p = partitions(prepare(docs.sparkSession))
@@ -200,7 +201,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     words = plain.mapInArrow(lambda it: X.rows(_cut(it, pattern, count, REPLY)), X.ENVELOPE)
     blocks = plain.mapInArrow(lambda it: X.rows(_cut(it, pattern, count, BLOCK)), X.ENVELOPE)
     met = X.routed(words, p).mapInArrow(answer, X.ENVELOPE)
-    return X.routed(blocks.unionAll(met), p).mapInArrow(_reassemble, ENCODED)
+    last = X.routed(blocks.unionAll(met), p)
+    return last.mapInArrow(_reassemble if then is None else lambda it: then(_reassemble(it)), schema)
 
 
 def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:

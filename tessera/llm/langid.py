@@ -36,8 +36,8 @@ from tessera.llm.tokens import U, chunks, hash_spans, mix, powers, raw, spans
 
 #: Bytes of the longest piece used, and of a stretch.
 PIECE, LONGEST = 8, 64
-#: Words held with their scores by a task.
-CACHE = 400_000
+#: Words held with their scores by a task; bytes of words summed over at once, and of texts.
+CACHE, STEP, BLOCK_BYTES = 300_000, 1 << 16, 2 << 20
 UND = "und"
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 _LETTERS = regex.compile(r"\p{L}+")
@@ -134,12 +134,17 @@ def forward(table: Pieces, words: list[bytes], p: np.ndarray, growth: float = 24
     return sizes, alpha, at
 
 
+def _steps(words: list[bytes], order: np.ndarray) -> Iterator[np.ndarray]:
+    """``order`` in stretches of about STEP bytes of words."""
+    ends = np.cumsum([len(words[i]) for i in order]) // STEP
+    yield from np.split(order, np.flatnonzero(np.diff(ends)) + 1) if len(order) else ()
+
+
 def word_scores(table: Pieces, words: list[bytes], p: np.ndarray, growth: float = 24.0) -> np.ndarray:
     """ln probability of each word in each language."""
     out = np.empty((len(words), p.shape[1]))
     order = np.argsort([len(w) for w in words], kind="stable")
-    for a in range(0, len(order), 8192):  # words of like length together
-        part = order[a : a + 8192]
+    for part in _steps(words, order):  # words of like length together
         sizes, alpha, _ = forward(table, [words[i] for i in part], p, growth)
         out[part] = np.log(np.maximum(alpha[sizes, np.arange(len(part))], 1e-290)) - sizes[:, None] * np.log(growth)
     return out
@@ -150,8 +155,7 @@ def expected_counts(table: Pieces, words: list[bytes], weights: np.ndarray, p: n
     out = np.zeros(table.size)
     scaled = p * growth ** table.lengths[:, None]
     order = np.argsort([len(w) for w in words], kind="stable")
-    for a in range(0, len(order), 8192):
-        part = order[a : a + 8192]
+    for part in _steps(words, order):
         sizes, alpha, at = forward(table, [words[i] for i in part], p, growth)
         beta = np.zeros_like(alpha)
         beta[sizes, np.arange(len(part))] = 1
@@ -193,7 +197,7 @@ def _score(batches: Iterable[pa.RecordBatch], path: str, langs: list[str], p: np
     """Predictions; or, with ``least``, the rows themselves whose language is known with that score."""
     table = pieces(path)
     known, values, has = np.zeros(0, U), np.zeros((0, len(langs))), np.zeros(0, bool)
-    for chunk in chunks(batches, "text"):
+    for chunk in chunks(batches, "text", BLOCK_BYTES):
         column = chunk.column("text")
         buf, begins = raw(column)
         starts, ends = spans(buf)

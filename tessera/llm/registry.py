@@ -74,10 +74,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     path = public.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(_table(spark, sf_dir, "documents"), path, public.PATTERN)
     size = len(bpe.token_bytes(path)[1])
-    # decoded and digested by one worker
-    return ids.mapInArrow(lambda it: _digests(bpe.decoded(it, path), size), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return bpe.encode(_table(spark, sf_dir, "documents"), path, public.PATTERN, lambda it: _digests(bpe.decoded(it, path), size), kinds)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
