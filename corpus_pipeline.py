@@ -33,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    cut = line_dedup.dedup_lines(docs.select(*COLUMNS), least=1)
     return _documents(cut.where((F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 

@@ -3,7 +3,7 @@
 A line's tokens are its distinct words (ASCII case folded). A line goes when an
 earlier line, by doc_id and then line number, has the same set or one whose
 Jaccard similarity with it reaches the threshold. Lines of fewer than
-``least`` tokens are left alone.
+``least`` tokens are left alone; with 1, all lines that hold a word are compared.
 
 1. Words are counted over the whole corpus. The ``HEAD`` most frequent are
    ordered by rising count, all others come before them in order of hash; any
@@ -11,7 +11,9 @@ Jaccard similarity with it reaches the threshold. Lines of fewer than
 2. *Prefix filter.* Two similar lines share one of their first
    n - ceil(t n) + 1 tokens. Lines are sent, packed by hash of these tokens, to
    where the token's lines meet. A posting has the line's place, its number of
-   tokens, the token's position and a bitmap of all tokens.
+   tokens, the token's position and a bitmap of all tokens. Of equal sets in a
+   block of texts only the earliest line is sent so; the others are told as
+   its copies at once, so a very frequent line comes once from each block.
 3. In a token's list equal sets collapse to their earliest line. Other pairs
    must pass the *length filter*, the *positional filter* (tokens left after
    the shared one must suffice) and the bitmap bound (symmetric difference).
@@ -49,6 +51,8 @@ from tessera.llm.tokens import U, chunks, hash_spans, mix, raw, spans, words
 HEAD, FIRST, BLOCK_BYTES = 1 << 16, 24, 8 << 20
 #: Widest bitmap in 64-bit words; a line of n tokens has 2 n bits or more up to there.
 WIDEST = 32
+#: Kind of a payload of lines with an equal one in their block; other kinds are widths of bitmaps.
+COPIES = 0
 COLUMNS = ("doc_id", "line", "other_doc", "other_line")
 PAIRS = "doc_id long, line long, other_doc long, other_line long, sure boolean, more boolean, gap long, lists binary"
 _PAIRS = pa.schema([*((c, pa.int64()) for c in COLUMNS), ("sure", pa.bool_()), ("more", pa.bool_()), ("gap", pa.int64()), ("lists", pa.binary())])
@@ -175,6 +179,17 @@ def _postings(batches: Iterable[pa.RecordBatch], head: np.ndarray, rank: np.ndar
         n = np.diff(np.append(begin, len(line)))
         sig = np.add.reduceat(mix(key ^ U(0x8EBC6AF09C88C6E3)), begin)
         use = n >= least
+        doc, place = lines.doc[line[begin]], lines.number[line[begin]].astype(np.int64)
+        at = np.flatnonzero(use)
+        order = at[np.lexsort((place[at], doc[at], n[at], sig[at]))]
+        same = np.zeros(len(order), bool)
+        same[1:] = (sig[order[1:]] == sig[order[:-1]]) & (n[order[1:]] == n[order[:-1]])
+        to = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+        use[order[same]] = False
+        copy = (doc[order] != doc[to]) | (place[order] != place[to])
+        if copy.any():
+            i, j = order[copy], to[copy]
+            yield batch % count, batch, COPIES, X.pack(doc[i], place[i].astype(np.uint32), doc[j], place[j].astype(np.uint32), level=1)
         wides = words_wide(n)
         for wide in np.unique(wides[use]).tolist():
             at = np.flatnonzero(use & (wides == wide))
@@ -190,7 +205,7 @@ def _postings(batches: Iterable[pa.RecordBatch], head: np.ndarray, rank: np.ndar
             bucket = X.bucket_of(mix(token), count)
             for r, (t, w, q) in X.split(bucket, count, token, who, pos):
                 i = at[w]
-                yield r, batch, wide, X.pack(t, bits[w].ravel(), (sig[i] >> U(32)).astype(np.uint32), n[i].astype(np.uint32), q.astype(np.uint32), lines.doc[line[begin[i]]], lines.number[line[begin[i]]].astype(np.uint32), level=1)
+                yield r, batch, wide, X.pack(t, bits[w].ravel(), (sig[i] >> U(32)).astype(np.uint32), n[i].astype(np.uint32), q.astype(np.uint32), doc[i], place[i].astype(np.uint32), level=1)
 
 
 def _fold(bits: np.ndarray, wide: int) -> np.ndarray:
@@ -305,7 +320,13 @@ def _meet(batches: Iterable[pa.RecordBatch], num: int, den: int, first: int) ->
     for _, held in X.runs(batches):
         by: dict[int, list] = {}
         for *_, wide, payload in held:
-            by.setdefault(wide, []).append(X.unpack(payload))
+            if wide == COPIES:
+                doc, line, other_doc, other_line = X.unpack(payload)
+                yield _rows(doc, line, other_doc, other_line, True, np.zeros(len(doc), bool), np.zeros(len(doc), np.int64))
+            else:
+                by.setdefault(wide, []).append(X.unpack(payload))
+        if not by:
+            continue
         postings = {w: [np.concatenate(x) for x in zip(*blobs, strict=True)] for w, blobs in sorted(by.items())}
         del by, held
         # most tokens of prefixes belong to one line alone

@@ -80,7 +80,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "removed")
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), least=1).select("doc_id", "text", "n_lines", "removed")
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
