@@ -1,21 +1,22 @@
 """Hidden Markov language model over words.
 
 *Counts.* Word counts of all training texts meet, packed by hash, in buckets
-whose tables stay distributed; only the ``HEAD`` most frequent words and two
-totals reach the driver.
-
-*Model.* K latent states emit one of HEAD + 2 symbols: a frequent word, END, or
-TAIL. A TAIL symbol then chooses among all other words in proportion to count
-plus one, one unit being kept for words never seen, so every text has a proper
-probability. Baum-Welch starts on ``sample`` training texts, the first by a hash
-of the id, and goes on with ``passes`` over all training texts: tasks run the
-scaled forward-backward recursion and their expected counts are summed by the
-cluster in slices before the driver divides them.
-
-*Scoring.* The scaled forward recursion over symbols gives the exact likelihood
-of the symbol sequence. What a tail word adds does not depend on the state, so
-texts send their distinct tail words to the buckets of the counts, and sums of
-logarithms come back. Words of the head never travel; no word is hot.
+whose tables stay distributed; only totals reach the driver.
+
+*Model.* K latent states emit any word of the training texts, END, or a word
+never seen. A state's emissions are its expected counts with a prior of
+``PRIOR`` tokens of the unigram distribution, which keeps one unit for the
+unseen, so every text has a proper probability. The expected counts of a word
+by state lie in the bucket of its hash; the driver holds starts, moves and sums
+by state, whose size is fixed.
+
+*Training.* Baum-Welch on ``sample`` training texts, the first by a hash of the
+id, gives a first guess; ``passes`` over all training texts follow. In a pass
+each block of texts asks the buckets for the emissions of its distinct words,
+runs the scaled forward-backward recursion and sends expected counts back. A
+word goes once for a block, however often it occurs, so no word is hot.
+
+*Scoring.* The same exchange, then the scaled forward recursion.
 
 Null and empty texts consist of END alone. Rows without doc_id count as held
 out. Without training texts the score is the base score. Repeated rows are
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import exchange as X
-from tessera.llm.session import materialize, partitions, prepare, stable
+from tessera.llm.session import discard, materialize, partitions, prepare, stable
 from tessera.llm.tokens import U, chunks, words
 
-#: Words with a symbol of their own; states; bytes of text in a block; slices of expected counts.
-HEAD, STATES, BLOCK_BYTES, SLICES = 2000, 6, 8 << 20, 16
-COUNTS, TAILS, BLOCK, SUMS = 0, 1, 2, 3
+#: States; tokens of the prior of each; bytes of text in a block.
+STATES, PRIOR, BLOCK_BYTES = 6, 50.0, 4 << 20
+#: Counts of a bucket; words that a block asks for; its expected counts of them; a block; emissions for it; sums of a task.
+COUNTS, WANT, GOT, BLOCK, EMIT, SUMS = range(6)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -47,39 +50,30 @@ def held_out(doc_id: Column, mod: int = 7, remainder: int = 2) -> Column:
 
 
 @dataclass
-class Vocabulary:
-    """The head's hashes in ascending order and their counts; counts of END and of everything."""
+class Totals:
+    """Training texts; tokens and distinct tokens, END included."""
 
-    head: np.ndarray
-    count: np.ndarray
     ends: int
     tokens: int
     kinds: int
 
-    @property
-    def tail(self) -> int:
-        return len(self.head)
+    def base(self, count: np.ndarray) -> np.ndarray:
+        """The unigram probability of words of these counts."""
+        return (count + 1.0) / (self.tokens + self.kinds + 1.0)
 
-    @property
-    def end(self) -> int:
-        return len(self.head) + 1
 
-    @property
-    def tail_mass(self) -> float:
-        """Sum of count plus one over tail words, and one for the unseen."""
-        named = int(self.count.sum()) + len(self.head) + (self.ends + 1 if self.ends else 0)
-        return max(1.0, self.tokens + self.kinds + 1 - named)
+@dataclass
+class Chain:
+    """A model without its emissions of words: expected tokens and ENDs by state, and a first guess of words if any."""
 
-    def symbols(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.head):
-            return np.zeros(len(h), np.int32)
-        at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
-        return np.where(self.head[at] == h, at, self.tail).astype(np.int32)
+    start: np.ndarray
+    move: np.ndarray
+    total: np.ndarray
+    end: np.ndarray
+    guess: tuple[np.ndarray, np.ndarray] | None = None
 
-    def base(self) -> np.ndarray:
-        """The unigram distribution of symbols."""
-        mass = np.concatenate([self.count + 1.0, [self.tail_mass, self.ends + 1.0]])
-        return mass / mass.sum()
+    def emissions(self, expected: np.ndarray, base: np.ndarray) -> np.ndarray:
+        return (expected + PRIOR * base[:, None]) / (self.total + PRIOR)
 
 
 @dataclass
@@ -150,7 +144,7 @@ def expected(model: Model, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return start, move * model.move, emit
 
 
-def maximised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, base: np.ndarray, prior: float = 50.0) -> Model:
+def maximised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, base: np.ndarray, prior: float = PRIOR) -> Model:
     """Parameters from expected counts, with a prior of ``prior`` tokens of the unigram distribution for each state."""
     emit = emit + prior * base[:, None]
     move = move + 1.0
@@ -182,152 +176,181 @@ def _total(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         yield route, 0, COUNTS, X.pack(h, np.rint(np.bincount(back, np.concatenate([b[1] for b in blobs]))).astype(np.int64), level=1)
 
 
-def _tops(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple]:
-    """Each bucket's most frequent words, and (null) its number of tokens and of words."""
+def _sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for payload in batch.column("payload").to_pylist():
             h, c = X.unpack(payload)
-            yield None, int(c.sum()), len(h)
-            top = np.argsort(-c, kind="stable")[:most]
-            yield from ((x, n, 0) for x, n in zip(h[top].view(np.int64).tolist(), c[top].tolist(), strict=True))
+            yield int(c.sum()), len(h)
 
 
-def vocabulary(docs: DataFrame, most: int = HEAD) -> tuple[Vocabulary, DataFrame]:
-    """The vocabulary of the training texts and the table of all counts, a row for each bucket."""
+def count_words(docs: DataFrame) -> tuple[Totals, DataFrame]:
+    """Totals of the training texts and the table of all counts, a row for each bucket."""
     p = partitions(docs.sparkSession)
     count = 4 * p
     train = docs.where(~held_out(F.col("doc_id"))).select("text")
     met = X.routed(train.mapInArrow(lambda it: X.rows(_count(it, count)), X.ENVELOPE), p)
     table = materialize(met.mapInArrow(lambda it: X.rows(_total(it)), X.ENVELOPE))
-    kind = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64())])
-    tops = table.select("payload").mapInArrow(lambda it: X.rows(_tops(it, most), kind), "h long, n long, kinds long")
-    n, kinds = tops.where("h IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    kind = pa.schema([("n", pa.int64()), ("kinds", pa.int64())])
+    sizes = table.select("payload").mapInArrow(lambda it: X.rows(_sizes(it), kind), "n long, kinds long")
+    n, kinds = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     ends = train.count()
-    found = tops.where("h IS NOT NULL").orderBy(F.desc("n"), "h").limit(most).collect()
-    h = np.array([r["h"] for r in found], dtype=np.int64).view(U)
-    order = np.argsort(h)
-    return Vocabulary(h[order], np.array([r["n"] for r in found], dtype=np.int64)[order], ends, n + ends, kinds + (ends > 0)), table
+    return Totals(ends, n + ends, kinds + (ends > 0)), table
 
 
-def train(docs: DataFrame, vocab: Vocabulary, states: int = STATES, sample: int = 600, rounds: int = 8, passes: int = 1) -> Model:
-    """Baum-Welch from a sample, then over all training texts."""
-    spark = docs.sparkSession
+def _blocks(batches: Iterable[pa.RecordBatch], count: int) -> Iterator[tuple]:
+    """Blocks of texts, training texts apart from others, and the words that each asks for."""
+    number = X.batch_ids()
+    for chunk in chunks(batches, "text", BLOCK_BYTES):
+        out = np.asarray(chunk.column("held_out"))
+        for part in (False, True):
+            batch = next(number)
+            own = chunk.filter(pa.array(out == part))
+            if not len(own):
+                continue
+            h, at = words(own.column("text"))
+            h, back = np.unique(h, return_inverse=True)
+            ids = own.column("doc_id")
+            yield count + batch % count, batch, BLOCK, part, X.pack(np.array(ids.fill_null(0).to_pylist(), np.int64), np.asarray(ids.is_valid()), at.astype(np.int64), back.astype(np.uint32), h, level=1)
+            for b, (x, i) in X.split(X.bucket_of(h, count), count, h, np.arange(len(h), dtype=np.uint32)):
+                yield b, batch, WANT, part, X.pack(x, i, level=1)
+
+
+def first_guess(docs: DataFrame, states: int, sample: int, rounds: int) -> Chain:
+    """Baum-Welch on a sample, over all its words."""
     usable = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
-    base = vocab.base()
     chosen = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = [r["text"] for r in usable.join(F.broadcast(chosen.distinct()), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     h, at = words(pa.array(texts, pa.string()))
-    symbols, at = with_ends(vocab.symbols(h), at, vocab.end)
+    h, back = np.unique(h, return_inverse=True)
+    symbols, at = with_ends(back.astype(np.int32), at, len(h))
+    base = np.bincount(symbols, minlength=len(h) + 1) + 1.0
+    base /= base.sum()
     model = first_model(base, states)
+    size = np.full(states, len(symbols) / states)
+    start, move, emit = model.start, model.move, model.emit * size
     for _ in range(rounds):
-        model = maximised(*expected(model, symbols, at), base)
-    for _ in range(passes):
-        shared = spark.sparkContext.broadcast((vocab, model))
-
-        def work(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[tuple]:  # noqa: ANN001
-            vocab, model = shared.value
-            sums = None
-            for chunk in chunks(batches, "text", BLOCK_BYTES // 2):
-                h, at = words(chunk.column("text"))
-                got = expected(model, *with_ends(vocab.symbols(h), at, vocab.end))
-                sums = got if sums is None else tuple(a + b for a, b in zip(sums, got, strict=True))
-            if sums is not None:
-                flat = np.concatenate([s.ravel() for s in sums])
-                for k, part in enumerate(np.array_split(flat, SLICES)):
-                    yield k, 0, 0, X.pack(part)
-
-        def add(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-            for route, held in X.runs(batches):
-                yield route, 0, 0, X.pack(np.sum([X.unpack(p)[0] for *_, p in held], axis=0))
-
-        sent = usable.select("text").mapInArrow(lambda it: X.rows(work(it)), X.ENVELOPE)
-        met = sent.repartition(SLICES, "route").sortWithinPartitions("route").mapInArrow(lambda it: X.rows(add(it)), X.ENVELOPE)
-        flat = np.concatenate([X.unpack(r["payload"])[0] for r in sorted(met.collect(), key=lambda r: r["route"])])  # SLICES rows, the size of the model
-        k = states
-        model = maximised(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(-1, k), base)
-    return model
-
-
-def _score(batches: Iterable[pa.RecordBatch], vocab: Vocabulary, model: Model | None, count: int) -> Iterator[tuple]:
-    number = X.batch_ids()
-    logs = np.log10(np.concatenate([vocab.count + 1.0, [1.0, vocab.ends + 1.0]]))
-    for chunk in chunks(batches, "text", BLOCK_BYTES):
-        batch = next(number)
-        h, at = words(chunk.column("text"))
-        symbols = vocab.symbols(h)
-        doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        full, begins = with_ends(symbols, at, vocab.end)
-        likely = forward(model, full, begins)[0] if model else np.zeros(len(at) - 1)
-        tail = symbols == vocab.tail
-        n = len(at) - 1
-        named = np.bincount(doc, logs[symbols], minlength=n) + logs[vocab.end]  # tail words add nothing here
-        known = np.bincount(doc, ~tail, minlength=n).astype(np.int64) + (vocab.ends > 0)
-        ids = chunk.column("doc_id")
-        yield count + batch % count, batch, BLOCK, X.pack(
-            np.array(ids.fill_null(0).to_pylist(), np.int64), np.asarray(ids.is_valid()), np.asarray(chunk.column("held_out")), np.diff(begins), known, named, np.bincount(doc, tail, minlength=n).astype(np.int64), likely
-        )
-        h, d = h[tail], doc[tail]
-        if len(h):
-            order = np.lexsort((h, d))
-            h, d = h[order], d[order]
-            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))))
-            times = np.diff(np.append(first, len(h))).astype(np.uint32)
-            h, d = h[first], d[first]
-            for b, (x, i, c) in X.split(X.bucket_of(h, count), count, h, d, times):
-                yield b, batch, TAILS, X.pack(x, i.astype(np.uint32), c, level=1)
-
-
-def _look_up(key: int, held: list[tuple], count: int) -> Iterator[tuple]:
-    if key >= count:
-        yield from held
-        return
+        start, move, emit = expected(model, symbols, at)
+        model = maximised(start, move, emit, base)
+    return Chain(model.start, model.move, emit.sum(axis=0), emit[-1], (h, emit[:-1]))
+
+
+def _emissions(key: int, held: list[tuple], totals: Totals, chain: Chain | None, count: int, last: bool) -> Iterator[tuple]:
+    """What blocks ask for, from a bucket's counts and the expected counts that blocks sent to it."""
     table, c = np.zeros(0, U), np.zeros(0, np.int64)
-    for *_, kind, payload in held:
+    asked, got = {}, {}
+    for _, batch, kind, payload in held:
         if kind == COUNTS:
             table, c = X.unpack(payload)
-    logs = np.log10(c + 1.0)
-    for _, batch, kind, payload in held:
-        if kind == TAILS:
-            h, d, times = X.unpack(payload)
+        elif kind == WANT:
+            h, i = X.unpack(payload)
             at = np.minimum(np.searchsorted(table, h), max(len(table) - 1, 0))
-            hit = table[at] == h if len(table) else np.zeros(len(h), bool)
-            d, times, at = d[hit], times[hit].astype(float), at[hit]
-            docs, back = np.unique(d, return_inverse=True)
-            if len(docs):
-                yield count + batch % count, batch, SUMS, X.pack(docs, np.bincount(back, times), np.bincount(back, times * logs[at]), level=1)
-
-
-def _finish(held: list[tuple], vocab: Vocabulary, trained: bool) -> Iterator[tuple]:
+            asked[batch] = i, at, table[at] == h if len(table) else np.zeros(len(h), bool)
+        else:
+            got[batch] = X.unpack(payload)[0]
+    k = len(chain.start) if chain else 0
+    sums = np.zeros((len(table), k))
+    if chain and chain.guess and len(table) and len(chain.guess[0]):
+        h, e = chain.guess
+        at = np.minimum(np.searchsorted(h, table), len(h) - 1)
+        hit = h[at] == table
+        sums[hit] = e[at[hit]]
+    for batch, e in got.items():  # words of training texts all have counts, each once
+        sums[asked[batch][1]] += e.reshape(-1, k)
+    for batch, (i, at, hit) in asked.items():
+        n, e = np.zeros(len(i), np.int64), np.zeros((len(i), k))
+        n[hit], e[hit] = c[at[hit]], sums[at[hit]]
+        emit = chain.emissions(e, totals.base(n)).astype(np.float32).ravel() if chain else np.zeros(0, np.float32)
+        yield count + batch % count, batch, EMIT, X.pack(i, emit, n if last else n[:0], level=1)
+
+
+def _gathered(held: list[tuple], totals: Totals, chain: Chain | None) -> Iterator[tuple]:
+    """Blocks with their model and the counts of their words."""
     blocks: dict[int, list] = {}
     for _, batch, kind, payload in held:
-        blocks.setdefault(batch, [None, []])
+        own = blocks.setdefault(batch, [None, []])
         if kind == BLOCK:
-            blocks[batch][0] = X.unpack(payload)
+            own[0] = payload
         else:
-            blocks[batch][1].append(X.unpack(payload))
-    whole, tail_mass = np.log10(vocab.tokens + vocab.kinds + 1.0), np.log10(vocab.tail_mass)
-    for (ids, valid, out, n, known, named, tails, likely), sums in blocks.values():
-        seen, logs = np.zeros(len(ids)), np.zeros(len(ids))
-        for docs, times, total in sums:
-            seen[docs] += times
-            logs[docs] += total
-        base = named + logs - n * whole
-        score = likely + logs - tails * tail_mass if trained else base
+            own[1].append(payload)
+    for batch, (payload, parts) in blocks.items():
+        ids, valid, at, back, h = X.unpack(payload)
+        n, model = np.zeros(len(h), np.int64), None
+        emit = np.zeros((len(h) + 1, len(chain.start) if chain else 0))
+        for part in parts:
+            i, e, c = X.unpack(part)
+            emit[i] = e.reshape(len(i), -1)
+            if len(c):
+                n[i] = c
+        if chain:
+            emit[-1] = chain.emissions(chain.end[None], totals.base(np.array([totals.ends])))[0]
+            model = Model(chain.start, chain.move, emit)
+        yield batch, ids, valid, *with_ends(back.astype(np.int32), at, len(h)), h, n, model
+
+
+def _expect(batches: Iterable[pa.RecordBatch], totals: Totals, chain: Chain, count: int) -> Iterator[tuple]:
+    sums = None
+    for _, held in X.runs(batches, "batch"):
+        for batch, _, _, symbols, at, h, _, model in _gathered(held, totals, chain):
+            start, move, emit = expected(model, symbols, at)
+            own = np.concatenate([start, move.ravel(), emit.sum(axis=0), emit[-1]])
+            sums = own if sums is None else sums + own
+            for b, (i,) in X.split(X.bucket_of(h, count), count, np.arange(len(h))):
+                yield b, batch, GOT, X.pack(emit[i].astype(np.float32).ravel(), level=1)
+    if sums is not None:
+        yield -1, 0, SUMS, X.pack(sums)
+
+
+def _asked(buckets: list[DataFrame], totals: Totals, chain: Chain | None, p: int, last: bool = False) -> DataFrame:
+    met = X.routed(reduce(DataFrame.unionAll, buckets), p)
+    shared = met.sparkSession.sparkContext.broadcast((totals, chain))
+    return met.mapInArrow(lambda it: X.rows(r for key, held in X.runs(it) for r in _emissions(key, held, *shared.value, 4 * p, last)), X.ENVELOPE)
+
+
+def train(docs: DataFrame, totals: Totals, table: DataFrame, blocks: DataFrame, states: int = STATES, sample: int = 600, rounds: int = 8, passes: int = 1) -> tuple[Chain, DataFrame | None]:
+    """Baum-Welch from a sample's guess, over all training texts; the chain and the expected counts of words."""
+    spark, p, k = docs.sparkSession, partitions(docs.sparkSession), states
+    own = blocks.where("NOT part").drop("part")
+    chain, got = first_guess(docs, states, sample, rounds), None
+    before: list[DataFrame] = []
+    for _ in range(passes):
+        emissions = _asked([table, own.where(f"kind = {WANT}"), *([got] if got else [])], totals, chain, p)
+        shared = spark.sparkContext.broadcast((totals, chain))
+        met = X.routed(own.where(f"kind = {BLOCK}").unionAll(emissions), p)
+        made = materialize(met.mapInArrow(lambda it, shared=shared: X.rows(_expect(it, *shared.value, 4 * p)), X.ENVELOPE))
+        flat = np.sum([X.unpack(r["payload"])[0] for r in made.where(f"kind = {SUMS}").select("payload").collect()], axis=0)  # one row of fixed size for each task
+        start, move = flat[:k] + 1.0, flat[k : k + k * k].reshape(k, k) + 1.0
+        chain = Chain(start / start.sum(), move / move.sum(axis=1, keepdims=True), flat[-2 * k : -k], flat[-k:])
+        discard(*before)
+        got, before = made.where(f"kind = {GOT}"), [made]
+    return chain, got
+
+
+def _finish(held: list[tuple], totals: Totals, chain: Chain | None) -> Iterator[tuple]:
+    whole = np.log10(totals.tokens + totals.kinds + 1.0)
+    for batch, ids, valid, symbols, at, _, c, model in _gathered(held, totals, chain):
+        count = np.append(c, totals.ends)
+        n = np.diff(at)
+        base = np.add.reduceat(np.log10(count + 1.0)[symbols], at[:-1]) - n * whole
+        known = np.add.reduceat((count > 0)[symbols].astype(np.int64), at[:-1])
+        score = forward(model, symbols, at)[0] if model else base
         for i in range(len(ids)):
-            yield int(ids[i]) if valid[i] else None, bool(out[i]), int(n[i]), int(known[i] + seen[i]), vocab.tokens, float(base[i]), float(score[i])
+            yield int(ids[i]) if valid[i] else None, batch % 2 == 1, int(n[i]), int(known[i]), totals.tokens, float(base[i]), float(score[i])
 
 
 def score(docs: DataFrame, **options: int) -> DataFrame:
     """One row of SCHEMA for each row of ``docs(doc_id, text)``."""
     spark = prepare(docs.sparkSession)
     docs = stable(docs.select("doc_id", "text"))
-    vocab, table = vocabulary(docs)
-    model = train(docs, vocab, **options) if vocab.tokens else None
     p = partitions(spark)
-    count = 4 * p
-    shared = spark.sparkContext.broadcast((vocab, model))
-    kind = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
+    totals, table = count_words(docs)
+    fields = pa.schema([("route", pa.int64()), ("batch", pa.int64()), ("kind", pa.int32()), ("part", pa.bool_()), ("payload", pa.binary())])
     plain = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    sent = plain.mapInArrow(lambda it: X.rows(_score(it, *shared.value, count)), X.ENVELOPE)
-    met = X.routed(sent.unionAll(table), p).mapInArrow(lambda it: X.rows(r for key, held in X.runs(it) for r in _look_up(key, held, count)), X.ENVELOPE)
-    return X.routed(met, p).mapInArrow(lambda it: X.rows((r for _, held in X.runs(it, "batch") for r in _finish(held, shared.value[0], shared.value[1] is not None)), kind), SCHEMA)
+    blocks = materialize(plain.mapInArrow(lambda it: X.rows(_blocks(it, 4 * p), fields), "route long, batch long, kind int, part boolean, payload binary"))
+    chain, got = train(docs, totals, table, blocks, **options) if totals.tokens else (None, None)
+    every = blocks.drop("part")
+    emissions = _asked([table, every.where(f"kind = {WANT}"), *([got] if got else [])], totals, chain, p, last=True)
+    shared = spark.sparkContext.broadcast((totals, chain))
+    kind = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
+    met = X.routed(every.where(f"kind = {BLOCK}").unionAll(emissions), p)
+    # blocks of other than training texts have odd numbers
+    return met.mapInArrow(lambda it: X.rows((r for _, held in X.runs(it, "batch") for r in _finish(held, *shared.value)), kind), SCHEMA)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 
 import pytest
 
-from tessera.llm import registry
+from tessera.llm import hmm, registry
 
 public = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -30,3 +32,20 @@ def test_line_dedup_short_lines(spark, tmp_path):
         out = registry.op9_line_dedup(spark, f"{tmp_path}/{folder}").collect()
         assert len(out) == len(rows)
         assert {r["doc_id"]: r["removed"] for r in out if r["removed"]} == want
+
+
+def test_hmm_rare_words_depend_on_state(spark):
+    """Beyond the 2,000 most frequent words too, a rare word of the topic at hand is likelier than one of another topic."""
+    rng = random.Random(2)
+    train, out = ([i for i in range(3000) if (zlib.crc32(str(i).encode()) % 7 == 2) == held] for held in (False, True))
+    texts = [" ".join(f"f{j}" for j in range(a, a + 100)) for a in range(0, 2000, 100)] * 5
+    for t in "xy":
+        for k in range(100):
+            w = [f"{t}{rng.randrange(5)}" for _ in range(20)]
+            w[5], w[12] = f"rare{t}{k % 50}", f"rare{t}{(k + 7) % 50}"
+            texts.append(" ".join(w))
+    asked = ["x0 x1 x2 rarex3 x3 x4 x0", "x0 x1 x2 rarey3 x3 x4 x0"]
+    df = spark.createDataFrame([*zip(train, texts), *zip(out, asked)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in hmm.score(df).collect()}
+    assert got[out[0]]["base_score"] == pytest.approx(got[out[1]]["base_score"])
+    assert got[out[0]]["score"] > got[out[1]]["score"] + 0.3
