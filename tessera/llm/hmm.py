@@ -25,6 +25,7 @@ trained on and scored each time; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -39,7 +40,7 @@ from tessera.llm.session import discard, materialize, partitions, prepare, stabl
 from tessera.llm.tokens import U, chunks, words
 
 #: States; tokens of the prior of each; bytes of text in a block.
-STATES, PRIOR, BLOCK_BYTES = 6, 50.0, 4 << 20
+STATES, PRIOR, BLOCK_BYTES = 6, 50.0, 8 << 20
 #: Counts of a bucket; words that a block asks for; its expected counts of them; a block; emissions for it; sums of a task.
 COUNTS, WANT, GOT, BLOCK, EMIT, SUMS = range(6)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -209,10 +210,11 @@ def _blocks(batches: Iterable[pa.RecordBatch], count: int) -> Iterator[tuple]:
                 continue
             h, at = words(own.column("text"))
             h, back = np.unique(h, return_inverse=True)
+            edges = np.searchsorted(X.bucket_of(h, count), np.arange(count + 1))  # buckets follow the order of hashes
             ids = own.column("doc_id")
-            yield count + batch % count, batch, BLOCK, part, X.pack(np.array(ids.fill_null(0).to_pylist(), np.int64), np.asarray(ids.is_valid()), at.astype(np.int64), back.astype(np.uint32), h, level=1)
-            for b, (x, i) in X.split(X.bucket_of(h, count), count, h, np.arange(len(h), dtype=np.uint32)):
-                yield b, batch, WANT, part, X.pack(x, i, level=1)
+            yield count + batch % count, batch, BLOCK, part, X.pack(np.array(ids.fill_null(0).to_pylist(), np.int64), np.asarray(ids.is_valid()), at.astype(np.int64), back.astype(np.uint32), np.diff(edges).astype(np.uint32), level=1)
+            for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+                yield b, batch, WANT, part, X.pack(edges[b : b + 1], h[edges[b] : edges[b + 1]], level=1)
 
 
 def first_guess(docs: DataFrame, states: int, sample: int, rounds: int) -> Chain:
@@ -242,9 +244,9 @@ def _emissions(key: int, held: list[tuple], totals: Totals, chain: Chain | None,
         if kind == COUNTS:
             table, c = X.unpack(payload)
         elif kind == WANT:
-            h, i = X.unpack(payload)
+            begin, h = X.unpack(payload)
             at = np.minimum(np.searchsorted(table, h), max(len(table) - 1, 0))
-            asked[batch] = i, at, table[at] == h if len(table) else np.zeros(len(h), bool)
+            asked[batch] = begin, at, table[at] == h if len(table) else np.zeros(len(h), bool)
         else:
             got[batch] = X.unpack(payload)[0]
     k = len(chain.start) if chain else 0
@@ -256,11 +258,11 @@ def _emissions(key: int, held: list[tuple], totals: Totals, chain: Chain | None,
         sums[hit] = e[at[hit]]
     for batch, e in got.items():  # words of training texts all have counts, each once
         sums[asked[batch][1]] += e.reshape(-1, k)
-    for batch, (i, at, hit) in asked.items():
-        n, e = np.zeros(len(i), np.int64), np.zeros((len(i), k))
+    for batch, (begin, at, hit) in asked.items():
+        n, e = np.zeros(len(at), np.int64), np.zeros((len(at), k))
         n[hit], e[hit] = c[at[hit]], sums[at[hit]]
         emit = chain.emissions(e, totals.base(n)).astype(np.float32).ravel() if chain else np.zeros(0, np.float32)
-        yield count + batch % count, batch, EMIT, X.pack(i, emit, n if last else n[:0], level=1)
+        yield count + batch % count, batch, EMIT, X.pack(begin, emit, n if last else n[:0], level=1)
 
 
 def _gathered(held: list[tuple], totals: Totals, chain: Chain | None) -> Iterator[tuple]:
@@ -273,29 +275,31 @@ def _gathered(held: list[tuple], totals: Totals, chain: Chain | None) -> Iterato
         else:
             own[1].append(payload)
     for batch, (payload, parts) in blocks.items():
-        ids, valid, at, back, h = X.unpack(payload)
-        n, model = np.zeros(len(h), np.int64), None
-        emit = np.zeros((len(h) + 1, len(chain.start) if chain else 0))
+        ids, valid, at, back, sizes = X.unpack(payload)
+        kinds, k = int(sizes.sum()), len(chain.start) if chain else 0
+        n, model = np.zeros(kinds, np.int64), None
+        emit = np.zeros((kinds + 1, k))
         for part in parts:
-            i, e, c = X.unpack(part)
-            emit[i] = e.reshape(len(i), -1)
-            if len(c):
-                n[i] = c
+            (a,), e, c = X.unpack(part)
+            if k:
+                emit[a : a + len(e) // k] = e.reshape(-1, k)
+            n[a : a + len(c)] = c
         if chain:
             emit[-1] = chain.emissions(chain.end[None], totals.base(np.array([totals.ends])))[0]
             model = Model(chain.start, chain.move, emit)
-        yield batch, ids, valid, *with_ends(back.astype(np.int32), at, len(h)), h, n, model
+        yield batch, ids, valid, *with_ends(back.astype(np.int32), at, kinds), sizes, n, model
 
 
-def _expect(batches: Iterable[pa.RecordBatch], totals: Totals, chain: Chain, count: int) -> Iterator[tuple]:
+def _expect(batches: Iterable[pa.RecordBatch], totals: Totals, chain: Chain) -> Iterator[tuple]:
     sums = None
     for _, held in X.runs(batches, "batch"):
-        for batch, _, _, symbols, at, h, _, model in _gathered(held, totals, chain):
+        for batch, _, _, symbols, at, sizes, _, model in _gathered(held, totals, chain):
             start, move, emit = expected(model, symbols, at)
             own = np.concatenate([start, move.ravel(), emit.sum(axis=0), emit[-1]])
             sums = own if sums is None else sums + own
-            for b, (i,) in X.split(X.bucket_of(h, count), count, np.arange(len(h))):
-                yield b, batch, GOT, X.pack(emit[i].astype(np.float32).ravel(), level=1)
+            edges = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            for b in np.flatnonzero(sizes).tolist():
+                yield b, batch, GOT, X.pack(emit[edges[b] : edges[b + 1]].astype(np.float32).ravel(), level=1)
     if sums is not None:
         yield -1, 0, SUMS, X.pack(sums)
 
@@ -306,7 +310,7 @@ def _asked(buckets: list[DataFrame], totals: Totals, chain: Chain | None, p: int
     return met.mapInArrow(lambda it: X.rows(r for key, held in X.runs(it) for r in _emissions(key, held, *shared.value, 4 * p, last)), X.ENVELOPE)
 
 
-def train(docs: DataFrame, totals: Totals, table: DataFrame, blocks: DataFrame, states: int = STATES, sample: int = 600, rounds: int = 8, passes: int = 1) -> tuple[Chain, DataFrame | None]:
+def train(docs: DataFrame, totals: Totals, table: DataFrame, blocks: DataFrame, states: int = STATES, sample: int = 600, rounds: int = 8, passes: int = 3) -> tuple[Chain, DataFrame | None]:
     """Baum-Welch from a sample's guess, over all training texts; the chain and the expected counts of words."""
     spark, p, k = docs.sparkSession, partitions(docs.sparkSession), states
     own = blocks.where("NOT part").drop("part")
@@ -316,11 +320,14 @@ def train(docs: DataFrame, totals: Totals, table: DataFrame, blocks: DataFrame,
         emissions = _asked([table, own.where(f"kind = {WANT}"), *([got] if got else [])], totals, chain, p)
         shared = spark.sparkContext.broadcast((totals, chain))
         met = X.routed(own.where(f"kind = {BLOCK}").unionAll(emissions), p)
-        made = materialize(met.mapInArrow(lambda it, shared=shared: X.rows(_expect(it, *shared.value, 4 * p)), X.ENVELOPE))
+        made = materialize(met.mapInArrow(lambda it, shared=shared: X.rows(_expect(it, *shared.value)), X.ENVELOPE))
         flat = np.sum([X.unpack(r["payload"])[0] for r in made.where(f"kind = {SUMS}").select("payload").collect()], axis=0)  # one row of fixed size for each task
         start, move = flat[:k] + 1.0, flat[k : k + k * k].reshape(k, k) + 1.0
         chain = Chain(start / start.sum(), move / move.sum(axis=1, keepdims=True), flat[-2 * k : -k], flat[-k:])
         discard(*before)
+        del emissions, met
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # else the pass's shuffle files stay on disk
         got, before = made.where(f"kind = {GOT}"), [made]
     return chain, got
 

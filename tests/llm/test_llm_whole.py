@@ -49,3 +49,14 @@ def test_hmm_rare_words_depend_on_state(spark):
     got = {r["doc_id"]: r for r in hmm.score(df).collect()}
     assert got[out[0]]["base_score"] == pytest.approx(got[out[1]]["base_score"])
     assert got[out[0]]["score"] > got[out[1]]["score"] + 0.3
+
+
+def test_hmm_passes_over_all_texts(spark):
+    """From a poor sample, training as it is by default goes further than one pass over all texts."""
+    rng = random.Random(3)
+    texts = [" ".join(f"{t}{rng.randrange(9)}" for _ in range(15)) for _ in range(60) for t in "xyz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    total = {}
+    for name, options in {"default": {}, "one": {"passes": 1}}.items():
+        total[name] = sum(r["score"] for r in hmm.score(df, sample=1, rounds=1, **options).where("NOT held_out").collect())
+    assert total["default"] > total["one"] + 1
