@@ -8,9 +8,10 @@ product over its words, and its prediction the language of highest posterior.
 
 Piece probabilities are fitted by EM: expected piece counts come from forward
 and backward sums. Fitting uses whole texts of about ``per_lang`` documents a
-language, chosen by a hash of the id; languages with fewer than ``min_docs``
-rows, or beyond the ``max_langs`` most frequent, are not learned. Scoring covers
-every word of every text; words longer than LONGEST bytes are scored in
+language, chosen by a hash of the id; every language is learned that has a word
+in a text to learn from. Languages are fitted one after another, and beyond
+``WIDE`` of them texts are scored in smaller blocks. Scoring covers every word
+of every text; words longer than LONGEST bytes are scored in
 stretches of that length.
 
 Null texts and texts without a letter are ``und`` with score 0. Rows without
@@ -23,6 +24,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ from tessera.llm.tokens import U, chunks, hash_spans, mix, powers, raw, spans
 PIECE, LONGEST = 8, 64
 #: Words held with their scores by a task; bytes of words summed over at once, and of texts.
 CACHE, STEP, BLOCK_BYTES = 300_000, 1 << 16, 2 << 20
+#: Languages up to which these hold; with more they fall in proportion.
+WIDE = 64
 UND = "und"
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 _LETTERS = regex.compile(r"\p{L}+")
@@ -134,9 +138,13 @@ def forward(table: Pieces, words: list[bytes], p: np.ndarray, growth: float = 24
     return sizes, alpha, at
 
 
-def _steps(words: list[bytes], order: np.ndarray) -> Iterator[np.ndarray]:
+def _narrow(most: int, langs: int) -> int:
+    return max(1, most * WIDE // max(WIDE, langs))
+
+
+def _steps(words: list[bytes], order: np.ndarray, langs: int = 1) -> Iterator[np.ndarray]:
     """``order`` in stretches of about STEP bytes of words."""
-    ends = np.cumsum([len(words[i]) for i in order]) // STEP
+    ends = np.cumsum([len(words[i]) for i in order]) // _narrow(STEP, langs)
     yield from np.split(order, np.flatnonzero(np.diff(ends)) + 1) if len(order) else ()
 
 
@@ -144,7 +152,7 @@ def word_scores(table: Pieces, words: list[bytes], p: np.ndarray, growth: float
     """ln probability of each word in each language."""
     out = np.empty((len(words), p.shape[1]))
     order = np.argsort([len(w) for w in words], kind="stable")
-    for part in _steps(words, order):  # words of like length together
+    for part in _steps(words, order, p.shape[1]):  # words of like length together
         sizes, alpha, _ = forward(table, [words[i] for i in part], p, growth)
         out[part] = np.log(np.maximum(alpha[sizes, np.arange(len(part))], 1e-290)) - sizes[:, None] * np.log(growth)
     return out
@@ -178,26 +186,28 @@ def words_of(text: str) -> list[bytes]:
     return out
 
 
-def fit(table: Pieces, texts: dict[str, list[str]], rounds: int = 3, floor: float = 0.02) -> tuple[list[str], np.ndarray]:
-    """Languages and piece probabilities, one column each."""
-    langs = sorted(texts)
-    p = np.empty((table.size, len(langs)))
-    for k, lang in enumerate(langs):
-        counts = Counter(w for t in texts[lang] for w in words_of(t))
+def fit(table: Pieces, texts: Iterable[tuple[str, list[str]]], rounds: int = 3, floor: float = 0.02) -> tuple[list[str], np.ndarray] | None:
+    """Languages and piece probabilities, one column each; languages without a word have none."""
+    langs, columns = [], []
+    for lang, own in texts:
+        counts = Counter(w for t in own for w in words_of(t))
+        if not counts:
+            continue
         words, weights = list(counts), np.array(list(counts.values()), dtype=float)
         q = np.full((table.size, 1), 1.0 / table.size)
-        for _ in range(rounds if words else 0):
+        for _ in range(rounds):
             got = expected_counts(table, words, weights, q)
             q = ((1 - floor) * got / max(got.sum(), 1e-9) + floor / table.size)[:, None]
-        p[:, k] = q[:, 0]
-    return langs, p
+        langs.append(lang)
+        columns.append(q[:, 0])
+    return (langs, np.stack(columns, axis=1)) if langs else None
 
 
 def _score(batches: Iterable[pa.RecordBatch], path: str, langs: list[str], p: np.ndarray, least: float | None = None) -> Iterator[pa.RecordBatch]:
     """Predictions; or, with ``least``, the rows themselves whose language is known with that score."""
     table = pieces(path)
     known, values, has = np.zeros(0, U), np.zeros((0, len(langs))), np.zeros(0, bool)
-    for chunk in chunks(batches, "text", BLOCK_BYTES):
+    for chunk in chunks(batches, "text", _narrow(BLOCK_BYTES, len(langs))):
         column = chunk.column("text")
         buf, begins = raw(column)
         starts, ends = spans(buf)
@@ -220,7 +230,7 @@ def _score(batches: Iterable[pa.RecordBatch], path: str, langs: list[str], p: np
             kinds = {w: k for k, w in enumerate(dict.fromkeys(runs))}
             np.add.at(score, owner, word_scores(table, list(kinds), p)[[kinds[w] for w in runs]])
             letters[owner] = True
-        if len(known) + len(new) > CACHE:
+        if len(known) + len(new) > _narrow(CACHE, len(langs)):
             known, values, has = distinct, score, letters
         elif len(new):
             merged = np.concatenate([known, distinct[new]])
@@ -248,20 +258,14 @@ def held_out(doc_id: Column, mod: int = 4, remainder: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == remainder, F.lit(True))
 
 
-def learn(docs: DataFrame, path: str, per_lang: int = 400, min_docs: int = 20, max_langs: int = 64) -> tuple[list[str], np.ndarray] | None:
-    """Fit on ``docs(doc_id, text, lang)`` of the learning part."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = usable.groupBy("lang").count().where(F.col("count") >= min_docs).orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not counts:
-        return None
+def learn(docs: DataFrame, path: str, per_lang: int = 400) -> tuple[list[str], np.ndarray] | None:
+    """Fit on ``docs(doc_id, text, lang)`` of the learning part, whatever the number of languages and of their rows."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    counts = usable.groupBy("lang").agg(F.count("*").alias("rows_of_lang"))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    wanted = F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col("lang") == r["lang"]) & (part < min(1.0, per_lang / r["count"])))
-    texts: dict[str, list[str]] = {}
-    for r in usable.where(wanted).select("lang", "text").limit(2 * per_lang * len(counts)).toLocalIterator():
-        texts.setdefault(r["lang"], []).append(r["text"])
-    return fit(pieces(path), {k: sorted(v) for k, v in texts.items()})
+    chosen = usable.join(F.broadcast(counts), "lang").where(part * F.col("rows_of_lang") < per_lang).select("lang", "text").orderBy("lang")
+    by_lang = groupby(chosen.toLocalIterator(), key=lambda r: r["lang"])
+    return fit(pieces(path), ((lang, sorted(r["text"] for r in rows)) for lang, rows in by_lang))
 
 
 def identify(docs: DataFrame, path: str, **options: int) -> DataFrame:

@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from tessera.llm import hmm, registry
+from tessera.llm import hmm, langid, registry
 
 public = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,3 +60,17 @@ def test_hmm_passes_over_all_texts(spark):
     for name, options in {"default": {}, "one": {"passes": 1}}.items():
         total[name] = sum(r["score"] for r in hmm.score(df, sample=1, rounds=1, **options).where("NOT held_out").collect())
     assert total["default"] > total["one"] + 1
+
+
+def test_langid_learns_rare_and_many_languages(spark):
+    """A language of a single text is learned, and so are all of more than 64."""
+    path = public.path("byte_bpe_multi_50k.tiktoken")
+    rng = random.Random(4)
+    learning = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(70)}
+    langs = [k for k in words for _ in range(1 if k == "l69" else 2 if k != "l00" else 30)]
+    rows = [(i, " ".join(words[k]), k) for i, k in zip(learning, langs)]
+    df = spark.createDataFrame([*rows, (5000, "12 34", "digits")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, path).collect()}
+    assert {i: got[i] for i, *_ in rows} == {i: k for i, _, k in rows}
+    assert got[5000] == "und"
