@@ -20,6 +20,7 @@ no part, repeated rows each get their own row, and columns other than
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
@@ -117,7 +118,7 @@ def _cut(batches: Iterable[pa.RecordBatch], pattern: str, count: int, kind: int)
         if kind == BLOCK:
             ids = np.array(chunk.column("doc_id").fill_null(0).to_pylist(), dtype=np.int64)
             known = np.asarray(chunk.column("doc_id").is_valid())
-            yield batch % count, batch, BLOCK, X.pack(ids, known, np.diff(np.searchsorted(starts, begins)), _planes(places), level=1)
+            yield X.route_of(batch, count), batch, BLOCK, X.pack(ids, known, np.diff(np.searchsorted(starts, begins)), _planes(places), level=1)
             continue
         bucket = X.bucket_of(distinct, count)  # ascends, as the hashes do
         sizes = (ends - starts)[first]
@@ -141,7 +142,7 @@ def _encode(held: list[tuple], path: str, pattern: str, count: int) -> Iterator[
             out.append(ids)
         sizes = np.array([len(x) for x in out], np.uint32)
         flat = np.fromiter((i for x in out for i in x), np.uint32, int(sizes.sum()))
-        yield batch % count, batch, REPLY, X.pack(base, sizes, flat if len(flat) and flat.max() > 65535 else flat.astype(np.uint16), level=1)
+        yield X.route_of(batch, count), batch, REPLY, X.pack(base, sizes, flat if len(flat) and flat.max() > 65535 else flat.astype(np.uint16), level=1)
 
 
 def _reassemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,3 +229,34 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with the column ``decoded``: the bytes that the ids stand for."""
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
     return encoded.mapInArrow(lambda it: decoded(it, path), schema)
+
+
+def _decimals(size: int) -> np.ndarray:
+    """Each number's decimal text and a space, zeroes behind it."""
+    return np.array([f"{i} ".encode() for i in range(size)], dtype="S").view(np.uint8).reshape(size, -1)
+
+
+def digests(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Digests in place of ids and decoded bytes."""
+    table = _decimals(size)
+    width = (table > 0).sum(axis=1)
+    for batch in batches:
+        digests = []
+        for a in range(0, len(batch), 128):
+            ids, at = lists(batch.column("ids").slice(a, 128))
+            wide = table[ids].ravel()
+            text = wide[wide > 0].tobytes()
+            ends = np.concatenate([[0], np.cumsum(width[ids])])[at].tolist()
+            digests += [hashlib.sha256(text[b : e - (e > b)]).hexdigest() for b, e in zip(ends[:-1], ends[1:], strict=True)]
+        texts = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("decoded")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("n_tokens"), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
+            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
+
+def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for each row: what the ids and the bytes they decode to add up to."""
+    size = len(token_bytes(path)[1])
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return encode(docs, path, pattern, lambda it: digests(decoded(it, path), size), kinds)

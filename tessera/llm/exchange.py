@@ -18,6 +18,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tessera.llm.tokens import mix
+
 ENVELOPE = "route long, batch long, kind int, payload binary"
 _FIELDS = pa.schema([("route", pa.int64()), ("batch", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 #: Bytes of payload in one Arrow batch.
@@ -67,6 +69,11 @@ def batch_ids() -> Iterator[int]:
     return iter(range(first, first + (1 << 32)))
 
 
+def route_of(batch: int, count: int) -> int:
+    """Where a block's rows meet: its number is mixed first, since partition numbers fill the upper half alone."""
+    return int(mix(np.array([batch], np.uint64))[0] % np.uint64(count))
+
+
 def routed(df: DataFrame, count: int) -> DataFrame:
     """Bring the rows of a route together, in order of route, batch and kind."""
     return df.repartition(count, "route").sortWithinPartitions("route", "batch", "kind")

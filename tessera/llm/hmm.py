@@ -212,7 +212,7 @@ def _blocks(batches: Iterable[pa.RecordBatch], count: int) -> Iterator[tuple]:
             h, back = np.unique(h, return_inverse=True)
             edges = np.searchsorted(X.bucket_of(h, count), np.arange(count + 1))  # buckets follow the order of hashes
             ids = own.column("doc_id")
-            yield count + batch % count, batch, BLOCK, part, X.pack(np.array(ids.fill_null(0).to_pylist(), np.int64), np.asarray(ids.is_valid()), at.astype(np.int64), back.astype(np.uint32), np.diff(edges).astype(np.uint32), level=1)
+            yield count + X.route_of(batch, count), batch, BLOCK, part, X.pack(np.array(ids.fill_null(0).to_pylist(), np.int64), np.asarray(ids.is_valid()), at.astype(np.int64), back.astype(np.uint32), np.diff(edges).astype(np.uint32), level=1)
             for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
                 yield b, batch, WANT, part, X.pack(edges[b : b + 1], h[edges[b] : edges[b + 1]], level=1)
 
@@ -262,7 +262,7 @@ def _emissions(key: int, held: list[tuple], totals: Totals, chain: Chain | None,
         n, e = np.zeros(len(at), np.int64), np.zeros((len(at), k))
         n[hit], e[hit] = c[at[hit]], sums[at[hit]]
         emit = chain.emissions(e, totals.base(n)).astype(np.float32).ravel() if chain else np.zeros(0, np.float32)
-        yield count + batch % count, batch, EMIT, X.pack(begin, emit, n if last else n[:0], level=1)
+        yield count + X.route_of(batch, count), batch, EMIT, X.pack(begin, emit, n if last else n[:0], level=1)
 
 
 def _gathered(held: list[tuple], totals: Totals, chain: Chain | None) -> Iterator[tuple]:

@@ -189,7 +189,7 @@ def _postings(batches: Iterable[pa.RecordBatch], head: np.ndarray, rank: np.ndar
         copy = (doc[order] != doc[to]) | (place[order] != place[to])
         if copy.any():
             i, j = order[copy], to[copy]
-            yield batch % count, batch, COPIES, X.pack(doc[i], place[i].astype(np.uint32), doc[j], place[j].astype(np.uint32), level=1)
+            yield X.route_of(batch, count), batch, COPIES, X.pack(doc[i], place[i].astype(np.uint32), doc[j], place[j].astype(np.uint32), level=1)
         wides = words_wide(n)
         for wide in np.unique(wides[use]).tolist():
             at = np.flatnonzero(use & (wides == wide))

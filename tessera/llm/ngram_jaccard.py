@@ -93,7 +93,7 @@ def _send(ids: list[int], sets: list[np.ndarray], batch: int, count: int) -> Ite
     flat = np.concatenate(sets) if len(sets) else np.zeros(0, U)
     doc = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
     sig = np.array([_signature(s) for s in sets], dtype=np.int64).reshape(-1, 2)
-    yield count + batch % count, batch, BLOCK, X.pack(np.array(ids, dtype=np.int64), sizes, sig[:, 0], sig[:, 1])
+    yield count + X.route_of(batch, count), batch, BLOCK, X.pack(np.array(ids, dtype=np.int64), sizes, sig[:, 0], sig[:, 1])
     for b, (h, d) in X.split(X.bucket_of(flat, count), count, flat, doc):
         docs, per = np.unique(d, return_counts=True)
         yield b, batch, BLOCK, X.pack(docs, per.astype(np.uint32), h)
@@ -122,7 +122,7 @@ def _answer(key: int, held: list[tuple], count: int) -> Iterator[tuple]:
         if hit.any():
             d = np.repeat(docs, per)[hit]
             ids, n = np.unique(d, return_counts=True)
-            yield count + batch % count, batch, REPLY, X.pack(ids, n.astype(np.uint32), h[hit], np.minimum(df[at[hit]], 2**32 - 1).astype(np.uint32))
+            yield count + X.route_of(batch, count), batch, REPLY, X.pack(ids, n.astype(np.uint32), h[hit], np.minimum(df[at[hit]], 2**32 - 1).astype(np.uint32))
 
 
 def _assemble(held: list[tuple], num: int, den: int) -> Iterator[tuple]:
@@ -193,7 +193,7 @@ def _again(reps: DataFrame, num: int, den: int) -> DataFrame:
                 it = _send(batch.column("doc_id").to_pylist(), sets, b := next(number), count)
                 _, _, _, head = next(it)
                 ids, _, s1, s2 = X.unpack(head)
-                yield count + b % count, b, BLOCK, X.pack(ids, np.array(batch.column("n").to_pylist(), dtype=np.uint32), s1, s2)
+                yield count + X.route_of(b, count), b, BLOCK, X.pack(ids, np.array(batch.column("n").to_pylist(), dtype=np.uint32), s1, s2)
                 yield from it
 
         return X.rows(items())

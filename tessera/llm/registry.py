@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, hmm, langid, line_dedup, ngram_jaccard, quality, sharding, topk, url_filter
+# Each query imports its own operator: Python workers then load that one alone.
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,72 +15,66 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import url_filter
+
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import ngram_jaccard
+
     return ngram_jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import sharding
+
     return sharding.shard(_table(spark, sf_dir, "documents"), 40)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import quality
+
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
+    from tessera.llm import langid
+
     return langid.identify(_table(spark, sf_dir, "documents"), public.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import decontaminate
+
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hmm.score(_table(spark, sf_dir, "documents"))
+    from tessera.llm import hmm
 
-
-def _decimals(size: int) -> np.ndarray:
-    """Each number's decimal text and a space, zeroes behind it."""
-    return np.array([f"{i} ".encode() for i in range(size)], dtype="S").view(np.uint8).reshape(size, -1)
-
-
-def _digests(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    table = _decimals(size)
-    width = (table > 0).sum(axis=1)
-    for batch in batches:
-        digests = []
-        for a in range(0, len(batch), 128):
-            ids, at = bpe.lists(batch.column("ids").slice(a, 128))
-            wide = table[ids].ravel()
-            text = wide[wide > 0].tobytes()
-            ends = np.concatenate([[0], np.cumsum(width[ids])])[at].tolist()
-            digests += [hashlib.sha256(text[b : e - (e > b)]).hexdigest() for b, e in zip(ends[:-1], ends[1:], strict=True)]
-        texts = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("decoded")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_tokens"), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+    return hmm.score(_table(spark, sf_dir, "documents"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
-    path = public.path("byte_bpe_50k.tiktoken")
-    size = len(bpe.token_bytes(path)[1])
-    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return bpe.encode(_table(spark, sf_dir, "documents"), path, public.PATTERN, lambda it: _digests(bpe.decoded(it, path), size), kinds)
+    from tessera.llm import bpe
+
+    return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import line_dedup
+
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), least=1).select("doc_id", "text", "n_lines", "removed")
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import topk
+
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, 256.0)
 
 

@@ -14,7 +14,13 @@ BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small: rows hold whole texts or packed blocks."""
+    """Settings that stay with the session, since plans run later than they are made.
+
+    Arrow batches are kept small: rows hold whole texts or packed blocks. The parallelism by which scans pack
+    files is kept as it is now, so that executors which come or go do not change a scan's partitions.
+    """
+    if spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) is None:
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(spark.sparkContext.defaultParallelism))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
@@ -25,10 +31,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is named."""
+    """The folder all executors share; a temporary one only for a master that runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     kept = getattr(spark, "_tessera_shared", None)
     if kept is None:
         kept = tempfile.mkdtemp(prefix="tessera-")
