@@ -25,7 +25,6 @@ trained on and scored each time; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -36,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import exchange as X
-from tessera.llm.session import discard, materialize, partitions, prepare, stable
+from tessera.llm.session import discard, materialize, partitions, prepare, reclaim, stable
 from tessera.llm.tokens import U, chunks, words
 
 #: States; tokens of the prior of each; bytes of text in a block.
@@ -326,8 +325,7 @@ def train(docs: DataFrame, totals: Totals, table: DataFrame, blocks: DataFrame,
         chain = Chain(start / start.sum(), move / move.sum(axis=1, keepdims=True), flat[-2 * k : -k], flat[-k:])
         discard(*before)
         del emissions, met
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # else the pass's shuffle files stay on disk
+        reclaim(spark)  # else the pass's shuffle files stay on disk
         got, before = made.where(f"kind = {GOT}"), [made]
     return chain, got
 

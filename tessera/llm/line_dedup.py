@@ -5,32 +5,35 @@ earlier line, by doc_id and then line number, has the same set or one whose
 Jaccard similarity with it reaches the threshold. Lines of fewer than
 ``least`` tokens are left alone; with 1, all lines that hold a word are compared.
 
-1. Words are counted over the whole corpus. The ``HEAD`` most frequent are
-   ordered by rising count, all others come before them in order of hash; any
+1. Words are counted over the whole corpus. The most frequent, ``HEAD`` at most,
+   are ordered by rising count, all others come before them in order of hash; any
    fixed order gives exact results, this one puts the rare ones first.
-2. *Prefix filter.* Two similar lines share one of their first
-   n - ceil(t n) + 1 tokens. Lines are sent, packed by hash of these tokens, to
+2. *Equal sets.* Token sets meet by a signature of 128 bits and are compared
+   token by token; of equal ones the earliest line stays. Those of a block of
+   texts collapse before they are sent, so a very frequent line comes once from
+   each block. All later steps see distinct sets only.
+3. *Prefix filter.* Two similar sets share one of their first
+   n - ceil(t n) + 1 tokens. Sets are sent, packed by hash of these tokens, to
    where the token's lines meet. A posting has the line's place, its number of
-   tokens, the token's position and a bitmap of all tokens. Of equal sets in a
-   block of texts only the earliest line is sent so; the others are told as
-   its copies at once, so a very frequent line comes once from each block.
-3. In a token's list equal sets collapse to their earliest line. Other pairs
-   must pass the *length filter*, the *positional filter* (tokens left after
-   the shared one must suffice) and the bitmap bound (symmetric difference).
+   tokens, the token's position and a bitmap of all tokens.
+4. In a token's list pairs must pass the *length filter*, the *positional
+   filter* (tokens left after the shared one must suffice) and the bitmap bound
+   (symmetric difference). Lists of over ``TILE`` postings are cut, and pairs of
+   pieces that the length filter allows are dealt out as tasks of their own.
    Each line proposes at most ``FIRST`` of its most similar earlier lines from
-   a list; the number is no limit of the result, see 5.
-4. *Verification.* A Bloom filter of fixed size over the lines in question
-   lets a pass over the texts return their token sets alone; Jaccard is then
-   computed exactly, for each line's best candidate and then for the others of
-   lines that this leaves.
-5. The lists of lines that proposed fewer than they had are kept; those of
+   a list; the number is no limit of the result, see 6.
+5. *Verification.* Jaccard is computed on the token sets, for each line's best
+   candidate and then for the others of lines that this leaves.
+6. The lists of lines that proposed fewer than they had are kept; those of
    which none was verified propose all from them.
 
-Null and empty texts have no lines to remove. Rows without doc_id are neither
-compared nor changed. Repeated rows of one doc_id count as one document and
-keep their lines unless an earlier document has them. Lines are split at
-``\\n``; a document all of whose lines go keeps an empty text. Other columns
-pass through.
+Null and empty texts have no lines to remove; an empty table gives an empty
+one. Rows without doc_id are neither compared nor changed. Rows that repeat a
+doc_id count as one document: they keep lines that only they share, and a line
+number that goes in one goes in all. Lines are split at ``\\n``, however long
+they or their text are; a document all of whose lines go keeps an empty text.
+Other columns pass through; ones named ``n_lines`` or ``removed`` are replaced.
+Words are told apart by 63 bits of a hash of their bytes.
 """
 
 from __future__ import annotations
@@ -44,24 +47,37 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bloom
 from tessera.llm import exchange as X
-from tessera.llm.session import discard, materialize, partitions, prepare, stable
+from tessera.llm.session import discard, materialize, partitions, prepare, reclaim, stable
 from tessera.llm.tokens import U, chunks, hash_spans, mix, raw, spans, words
 
 #: Words ordered by count; pairs that a line proposes from one list at first; bytes of text in a block.
-HEAD, FIRST, BLOCK_BYTES = 1 << 16, 24, 8 << 20
+HEAD, FIRST, BLOCK_BYTES = 1 << 16, 8, 8 << 20
+#: Postings of a list that are paired at once; sets packed together.
+TILE, PACKED = 4096, 20_000
 #: Widest bitmap in 64-bit words; a line of n tokens has 2 n bits or more up to there.
 WIDEST = 32
-#: Kind of a payload of lines with an equal one in their block; other kinds are widths of bitmaps.
-COPIES = 0
+#: Bins of counts to a doubling.
+BINS = 16
+#: Marks the key of one of the HEAD words, whose rank stands RANK bits up.
+FREQUENT, RANK = U(1 << 63), U(40)
+#: Kinds of rows: sums of a task, frequent words, distinct sets, lines equal to an earlier one.
+HIST, WORDS, SETS, SURE = range(4)
+#: Kinds of found rows: pairs, kept lists, pieces of long lists.
+PAIR, LIST, PIECE = range(3)
 COLUMNS = ("doc_id", "line", "other_doc", "other_line")
-PAIRS = "doc_id long, line long, other_doc long, other_line long, sure boolean, more boolean, gap long, lists binary"
-_PAIRS = pa.schema([*((c, pa.int64()) for c in COLUMNS), ("sure", pa.bool_()), ("more", pa.bool_()), ("gap", pa.int64()), ("lists", pa.binary())])
+LONGS = ", ".join(f"{c} long" for c in COLUMNS)
+_LONGS = pa.schema([(c, pa.int64()) for c in COLUMNS])
+FOUND = f"kind int, {LONGS}, more boolean, gap long, tiles array<long>, lists binary"
+_FOUND = pa.schema([("kind", pa.int32()), *_LONGS, ("more", pa.bool_()), ("gap", pa.int64()), ("tiles", pa.list_(pa.int64())), ("lists", pa.binary())])
+KEPT = "kind int, payload binary"
+_KEPT = pa.schema([("kind", pa.int32()), ("payload", pa.binary())])
+_ONE, _TWO = U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)
 
 
 class Lines:
     """The words of a block of texts by line."""
 
-    def __init__(self, chunk: pa.RecordBatch, keep: np.ndarray | None = None) -> None:
+    def __init__(self, chunk: pa.RecordBatch) -> None:
         self.buf, begins = raw(chunk.column("text"))
         breaks = np.flatnonzero(self.buf == 0x0A)  # one after each line: texts end in one too
         self.begin = np.concatenate([[0], breaks[:-1] + 1]) if len(breaks) else np.zeros(0, np.int64)
@@ -84,18 +100,18 @@ class Lines:
 
 
 def keys(h: np.ndarray, head: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """63-bit values that sort words by rarity; equal for equal words only."""
-    out = h >> U(2)
+    """Values that sort words by rarity; equal for equal words only."""
+    out = h >> U(1)
     if len(head):
         at = np.minimum(np.searchsorted(head, h), len(head) - 1)
         hit = head[at] == h
-        out[hit] = (U(1) << U(62)) | (rank[at[hit]].astype(U) << U(44))
+        out[hit] = FREQUENT | (rank[at[hit]].astype(U) << RANK)
     return out
 
 
 def token_sets(key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (line, key) in order of line and key."""
-    joint = (line.astype(U) << U(40)) | (key >> U(23))
+    joint = (line.astype(U) << U(40)) | (key >> U(24))
     order = np.argsort(joint)
     key, line = key[order], line[order]
     joint = joint[order]
@@ -122,8 +138,8 @@ def words_wide(n: np.ndarray) -> np.ndarray:
     return np.minimum(1 << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64), WIDEST)
 
 
-def bitmaps(key: np.ndarray, begin: np.ndarray, n: np.ndarray, wide: int) -> np.ndarray:
-    """One row of ``wide`` words for each run of keys."""
+def bitmaps(key: np.ndarray, n: np.ndarray, wide: int) -> np.ndarray:
+    """One row of ``wide`` words for each run of n keys."""
     bit = mix(key) % U(64 * wide)
     out = np.zeros(len(n) * wide, dtype=U)
     owner = np.repeat(np.arange(len(n)), n)
@@ -131,6 +147,15 @@ def bitmaps(key: np.ndarray, begin: np.ndarray, n: np.ndarray, wide: int) -> np.
     return out.reshape(-1, wide)
 
 
+def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places begin .. begin + n - 1 of each run, one after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+# 1. frequent words
+
+
 def _count(batches: Iterable[pa.RecordBatch], count: int) -> Iterator[tuple]:
     number = X.batch_ids()
     for chunk in chunks(batches, "text", BLOCK_BYTES):
@@ -142,30 +167,117 @@ def _count(batches: Iterable[pa.RecordBatch], count: int) -> Iterator[tuple]:
             yield b, batch, 0, X.pack(x, c, level=1)
 
 
+def _bin(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(n) * BINS).astype(np.int64)
+
+
 def _heaviest(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple]:
+    """The words of each bucket that can be among the most frequent, and how many words of the task are in each bin."""
+    bins = np.zeros(64 * BINS, np.int64)
     for _, held in X.runs(batches):
         blobs = [X.unpack(p) for *_, p in held]
-        h = np.concatenate([b[0] for b in blobs])
-        distinct, back = np.unique(h, return_inverse=True)
-        total = np.bincount(back, np.concatenate([b[1] for b in blobs])).astype(np.int64)
+        distinct, back = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
+        total = np.rint(np.bincount(back, np.concatenate([b[1] for b in blobs]))).astype(np.int64)
+        bins += np.bincount(_bin(total), minlength=len(bins))
         top = np.argsort(-total, kind="stable")[:most]
-        yield from zip(distinct[top].view(np.int64).tolist(), total[top].tolist(), strict=True)
+        yield WORDS, X.pack(distinct[top], total[top], level=1)
+    yield HIST, X.pack(bins, level=1)
+
+
+def _above(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[tuple]:
+    for batch in batches:
+        for payload in batch.column("payload").to_pylist():
+            h, n = X.unpack(payload)
+            take = _bin(n) >= least
+            yield from zip(h[take].view(np.int64).tolist(), n[take].tolist(), strict=True)
 
 
 def frequent_words(docs: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent words, ascending, and each one's rank by rising count."""
+    """Hashes of the most frequent words, ascending, and each one's rank by rising count.
+
+    Words are taken by whole bins of counts, as many as hold ``most`` words or fewer.
+    """
     p = partitions(docs.sparkSession)
     count = 4 * p
-    kind = pa.schema([("h", pa.int64()), ("n", pa.int64())])
     counted = X.routed(docs.select("doc_id", "text").mapInArrow(lambda it: X.rows(_count(it, count)), X.ENVELOPE), p)
-    top = counted.mapInArrow(lambda it: X.rows(_heaviest(it, most), kind), "h long, n long").orderBy(F.desc("n"), "h").limit(most).collect()
+    table = materialize(counted.mapInArrow(lambda it: X.rows(_heaviest(it, most), _KEPT), KEPT))
+    tasks = [X.unpack(r["payload"])[0] for r in table.where(F.col("kind") == HIST).collect()]  # one row of fixed size for each task
+    bins = np.sum([np.zeros(64 * BINS, np.int64), *tasks], axis=0)
+    above = np.cumsum(bins[::-1])[::-1]
+    least = int(np.argmax(above <= most)) if above[-1] <= most else len(bins)
+    kind = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+    top = table.where(F.col("kind") == WORDS).mapInArrow(lambda it: X.rows(_above(it, least), kind), "h long, n long").collect()  # at most ``most`` rows
+    discard(table)
     h = np.array([r["h"] for r in top], dtype=np.int64).view(U)
-    rank = np.arange(len(top))[::-1]
-    order = np.argsort(h)
-    return h[order], rank[order]
+    order = np.lexsort((h, [r["n"] for r in top]))
+    rank = np.empty(len(top), np.int64)
+    rank[order] = np.arange(len(top))
+    by = np.argsort(h)
+    return h[by], rank[by]
+
+
+# 2. equal sets
+
+
+class Sets:
+    """Token sets one after the other: where each stands, its number of tokens, and the keys in rising order."""
+
+    def __init__(self, doc: np.ndarray, line: np.ndarray, n: np.ndarray, key: np.ndarray, begin: np.ndarray | None = None) -> None:
+        self.doc, self.line, self.n, self.key = doc, line, n, key
+        self.begin = np.cumsum(n) - n if begin is None else begin
+
+    def __len__(self) -> int:
+        return len(self.n)
+
+    def taken(self, at: np.ndarray) -> Sets:
+        return Sets(self.doc[at], self.line[at], self.n[at], self.key[spread(self.begin[at], self.n[at])])
+
+    def cut(self, a: int, b: int) -> Sets:
+        """Sets a .. b - 1, where they stand without gaps."""
+        end = self.begin[b - 1] + self.n[b - 1] if b > a else 0
+        return Sets(self.doc[a:b], self.line[a:b], self.n[a:b], self.key[self.begin[a] if b > a else 0 : end])
+
+    def signatures(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.add.reduceat(mix(self.key ^ salt), self.begin) if len(self) else np.zeros(0, U) for salt in (_ONE, _TWO))
+
+    def arrays(self) -> list[np.ndarray]:
+        """Frequent words go by two bytes of rank, others by eight of hash."""
+        often = self.key >= FREQUENT
+        rare = self.n - (np.add.reduceat(often.astype(np.int64), self.begin) if len(self) else 0)
+        return [self.doc, self.line.astype(np.uint32), self.n.astype(np.uint32), rare.astype(np.uint32), self.key[~often], (self.key[often] >> RANK).astype(np.uint16)]
+
+    @classmethod
+    def of(cls, arrays: list[np.ndarray]) -> Sets:
+        doc, line, n, rare, hashes, ranks = arrays
+        n, rare = n.astype(np.int64), rare.astype(np.int64)
+        often = spread(np.zeros(len(n), np.int64), n) >= np.repeat(rare, n)
+        key = np.empty(len(often), U)
+        key[~often], key[often] = hashes, FREQUENT | (ranks.astype(U) << RANK)
+        return cls(doc, line.astype(np.int64), n, key)
+
+    @classmethod
+    def joined(cls, parts: list[Sets]) -> Sets:
+        return cls(*(np.concatenate([getattr(s, c) for s in parts]) for c in ("doc", "line", "n", "key")))
+
+
+def earliest(sets: Sets, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """For each set the place of its earliest equal, itself if it is that."""
+    order = np.lexsort((sets.line, sets.doc, sets.n, two, one))
+    a, b = order[:-1], order[1:]
+    at = np.flatnonzero((one[a] == one[b]) & (two[a] == two[b]) & (sets.n[a] == sets.n[b]))
+    m = sets.n[a[at]]
+    if len(at):  # a signature is no proof
+        differ = sets.key[spread(sets.begin[a[at]], m)] != sets.key[spread(sets.begin[b[at]], m)]
+        at = at[~np.logical_or.reduceat(differ, np.cumsum(m) - m)]
+    first = np.arange(len(order))
+    first[at + 1] = 0
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.maximum.accumulate(first)]
+    return out
 
 
-def _postings(batches: Iterable[pa.RecordBatch], head: np.ndarray, rank: np.ndarray, least: int, num: int, den: int, count: int) -> Iterator[tuple]:
+def _line_sets(batches: Iterable[pa.RecordBatch], head: np.ndarray, rank: np.ndarray, least: int, count: int) -> Iterator[tuple]:
+    """The distinct sets of each block, by signature, each with the lines that repeat it."""
     number = X.batch_ids()
     for chunk in chunks(batches, "text", BLOCK_BYTES):
         batch = next(number)
@@ -176,36 +288,74 @@ def _postings(batches: Iterable[pa.RecordBatch], head: np.ndarray, rank: np.ndar
         key, line = token_sets(keys(h, head, rank), line)
         del h
         begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-        n = np.diff(np.append(begin, len(line)))
-        sig = np.add.reduceat(mix(key ^ U(0x8EBC6AF09C88C6E3)), begin)
-        use = n >= least
-        doc, place = lines.doc[line[begin]], lines.number[line[begin]].astype(np.int64)
-        at = np.flatnonzero(use)
-        order = at[np.lexsort((place[at], doc[at], n[at], sig[at]))]
-        same = np.zeros(len(order), bool)
-        same[1:] = (sig[order[1:]] == sig[order[:-1]]) & (n[order[1:]] == n[order[:-1]])
-        to = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-        use[order[same]] = False
-        copy = (doc[order] != doc[to]) | (place[order] != place[to])
-        if copy.any():
-            i, j = order[copy], to[copy]
-            yield X.route_of(batch, count), batch, COPIES, X.pack(doc[i], place[i].astype(np.uint32), doc[j], place[j].astype(np.uint32), level=1)
-        wides = words_wide(n)
-        for wide in np.unique(wides[use]).tolist():
-            at = np.flatnonzero(use & (wides == wide))
-            b, m = begin[at], n[at]
-            ends = np.cumsum(m)
-            flat = key[np.repeat(b - (ends - m), m) + np.arange(int(ends[-1]))]
-            bits = bitmaps(flat, b, m, wide)
-            p = prefix(m, num, den)
-            stop = np.cumsum(p)
-            who = np.repeat(np.arange(len(at)), p)
-            pos = np.arange(int(stop[-1])) - np.repeat(stop - p, p)
-            token = flat[(ends - m)[who] + pos]
-            bucket = X.bucket_of(mix(token), count)
-            for r, (t, w, q) in X.split(bucket, count, token, who, pos):
-                i = at[w]
-                yield r, batch, wide, X.pack(t, bits[w].ravel(), (sig[i] >> U(32)).astype(np.uint32), n[i].astype(np.uint32), q.astype(np.uint32), doc[i], place[i].astype(np.uint32), level=1)
+        own = line[begin]
+        sets = Sets(lines.doc[own], lines.number[own].astype(np.int64), np.diff(np.append(begin, len(line))), key)
+        del lines, line, key
+        if least > 1:
+            sets = sets.taken(np.flatnonzero(sets.n >= least))
+        one, two = sets.signatures()
+        to = earliest(sets, one, two)
+        kept = np.flatnonzero(to == np.arange(len(sets)))
+        bucket = X.bucket_of(one[kept], count)
+        by = np.argsort(bucket, kind="stable")
+        kept, bucket = kept[by], bucket[by]
+        place = np.empty(len(sets), np.int64)
+        place[kept] = np.arange(len(kept))
+        copies = np.flatnonzero(to != np.arange(len(sets)))
+        copies = copies[np.argsort(place[to[copies]], kind="stable")]
+        doc, line, of = sets.doc[copies], sets.line[copies].astype(np.uint32), place[to[copies]]
+        one, two, sets = one[kept], two[kept], sets.taken(kept)
+        edges = np.searchsorted(bucket, np.arange(count + 1))
+        ends = np.searchsorted(of, edges)
+        for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+            a, z, c, d = edges[b], edges[b + 1], ends[b], ends[b + 1]
+            yield b, batch, SETS, X.pack(one[a:z], two[a:z], *sets.cut(a, z).arrays(), doc[c:d], line[c:d], (of[c:d] - a).astype(np.uint32), level=1)
+
+
+def _collapse(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """The earliest line of each set, and the others as its copies."""
+    for _, held in X.runs(batches):
+        blobs = [X.unpack(p) for *_, p in held]
+        del held
+        sets = Sets.joined([Sets.of(x[2:8]) for x in blobs])
+        base = np.cumsum([0, *(len(x[0]) for x in blobs)])
+        one, two, doc, line, of = (np.concatenate([x[k] for x in blobs]) for k in (0, 1, 8, 9, 10))
+        of = of.astype(np.int64) + np.repeat(base[:-1], [len(x[10]) for x in blobs])
+        del blobs
+        to = earliest(sets, one, two)
+        later = np.flatnonzero(to != np.arange(len(sets)))
+        doc, line, of = np.concatenate([sets.doc[later], doc]), np.concatenate([sets.line[later], line.astype(np.int64)]), to[np.concatenate([later, of])]
+        other = (doc != sets.doc[of]) | (line != sets.line[of])
+        if other.any():
+            yield SURE, X.pack(doc[other], line[other], sets.doc[of[other]], sets.line[of[other]], level=1)
+        kept = np.flatnonzero(to == np.arange(len(sets)))
+        for a in range(0, len(kept), PACKED):
+            yield SETS, X.pack(*sets.taken(kept[a : a + PACKED]).arrays(), level=1)
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for payload in batch.column("payload").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in X.unpack(payload)], schema=_LONGS)
+
+
+# 3. and 4. candidates
+
+
+def _postings(batches: Iterable[pa.RecordBatch], num: int, den: int, count: int) -> Iterator[tuple]:
+    for batch in batches:
+        for payload in batch.column("payload").to_pylist():
+            whole = Sets.of(X.unpack(payload))
+            wides = words_wide(whole.n)
+            for wide in np.unique(wides).tolist():
+                sets = whole.taken(np.flatnonzero(wides == wide))
+                bits = bitmaps(sets.key, sets.n, wide)
+                p = prefix(sets.n, num, den)
+                who = np.repeat(np.arange(len(sets)), p)
+                pos = spread(np.zeros(len(p), np.int64), p)
+                token = sets.key[sets.begin[who] + pos]
+                for r, (t, w, q) in X.split(X.bucket_of(mix(token), count), count, token, who, pos):
+                    yield r, 0, wide, X.pack(t, bits[w].ravel(), sets.n[w].astype(np.uint32), q.astype(np.uint32), sets.doc[w], sets.line[w].astype(np.uint32), level=1)
 
 
 def _fold(bits: np.ndarray, wide: int) -> np.ndarray:
@@ -215,48 +365,94 @@ def _fold(bits: np.ndarray, wide: int) -> np.ndarray:
     return bits
 
 
-class _List:
-    """Postings of a bucket of one bitmap width, in order of token; equal sets collapsed."""
-
-    def __init__(self, postings: list[np.ndarray]) -> None:
-        token, bits, sig, n, pos, doc, line = postings
-        order = np.lexsort((line, doc, mix(bits[:, 0] ^ (sig.astype(U) << U(32)) ^ n), token))
-        self.token, self.bits, self.n, self.pos, self.doc, self.line = token[order], bits[order], n[order].astype(np.int64), pos[order].astype(np.int64), doc[order], line[order].astype(np.int64)
-        sig = sig[order]
-        same = np.zeros(len(order), bool)
-        same[1:] = (self.token[1:] == self.token[:-1]) & (self.n[1:] == self.n[:-1]) & (sig[1:] == sig[:-1]) & (self.bits[1:] == self.bits[:-1]).all(axis=1)
-        self.head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        self.same = same
-
-    def copies(self) -> pa.RecordBatch:
-        """Lines equal to an earlier one; told once, at the first token."""
-        at = np.flatnonzero(self.same & (self.pos == 0))
-        to = self.head[at]
-        other = (self.doc[at] != self.doc[to]) | (self.line[at] != self.line[to])
-        at, to = at[other], to[other]
-        return _rows(self.doc[at], self.line[at], self.doc[to], self.line[to], True, np.zeros(len(at), bool), np.zeros(len(at), np.int64))
-
-    def kept(self) -> tuple[np.ndarray, ...]:
-        k = ~self.same
-        return self.token[k], self.bits[k], self.n[k], self.pos[k], self.doc[k], self.line[k]
-
-
-def _propose(own: tuple[np.ndarray, ...], num: int, den: int, first: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket that pass the filters, from lists of bitmaps folded to one width."""
-    token, bits, n, pos, doc, line = own
-    if (token[1:] < token[:-1]).any():
-        own = tuple(x[o] for o in (np.argsort(token, kind="stable"),) for x in own)
-    order = np.argsort(_joint(own[0], own[2]), kind="stable")
-    token, bits, n, pos, doc, line = (x[order] for x in own)
-    group_end = np.searchsorted(token, token, side="right")
+class Postings:
+    """Postings of lists, in order of token and number of tokens. Pairs are made of those of side 2, or of one side with the other."""
+
+    FIELDS = ("token", "bits", "n", "pos", "doc", "line", "side")
+
+    def __init__(self, *fields: np.ndarray) -> None:
+        for name, x in zip(self.FIELDS, fields, strict=True):
+            setattr(self, name, x)
+
+    def taken(self, at: np.ndarray) -> Postings:
+        return Postings(*(getattr(self, f)[at] for f in self.FIELDS))
+
+    def ordered(self) -> Postings:
+        return self.taken(np.lexsort((self.n, self.token)))
+
+    def shared(self) -> Postings:
+        """Without tokens that have one posting alone, or postings of one side alone."""
+        if not len(self.token):
+            return self
+        _, back, n = np.unique(self.token, return_inverse=True, return_counts=True)
+        ones = np.bincount(back, self.side == 1)
+        twos = np.bincount(back, self.side == 2)
+        return self.taken((np.where(twos > 0, n > 1, (ones > 0) & (ones < n)))[back])
+
+    def packed(self) -> bytes:
+        return X.pack(np.array([self.bits.shape[1]]), *(getattr(self, f).ravel() for f in self.FIELDS), level=1)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Postings:
+        (wide,), token, bits, *rest = X.unpack(data)
+        return cls(token, bits.reshape(-1, wide), *rest)
+
+
+def _joint(token: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Values that sort as (token, n) do, for tokens already in order."""
+    step = np.zeros(len(token), np.int64)
+    step[1:] = token[1:] != token[:-1]
+    return np.cumsum(step) * (1 << 32) + np.minimum(n, (1 << 32) - 1)
+
+
+def _tiled(own: Postings, num: int, den: int, tile: int) -> tuple[Postings, Iterator[pa.RecordBatch]]:
+    """Postings without those of long lists, and pieces of these with the tiles that each is part of."""
+    start = np.flatnonzero(np.concatenate(([True], own.token[1:] != own.token[:-1])))
+    size = np.diff(np.append(start, len(own.token)))
+    long = np.flatnonzero(size > tile)
+    if not len(long):
+        return own, iter(())
+    size_of = own.n.astype(np.int64)
+    pieces = []
+    for a, m in zip(start[long].tolist(), size[long].tolist(), strict=True):
+        edges = [*range(a, a + m, tile // 2), a + m]
+        token = own.token[a : a + 1]
+        number = np.arange(len(edges), dtype=U)
+        seed = mix(token + U(own.bits.shape[1]))
+        name = lambda i, j: int(mix(mix(seed + number[i : i + 1]) + number[j : j + 1])[0].astype(np.int64))  # noqa: B023, E731
+        for k in range(len(edges) - 1):
+            # a piece meets itself and later ones whose least n is not too large
+            pieces.append((edges[k], edges[k + 1], 2, [name(k, k)]))
+            reach = [j for j in range(k + 1, len(edges) - 1) if size_of[edges[j]] * num <= size_of[edges[k + 1] - 1] * den]
+            before = [i for i in range(k) if size_of[edges[k]] * num <= size_of[edges[i + 1] - 1] * den]
+            pieces += [(edges[k], edges[k + 1], side, tiles) for side, tiles in ((0, [name(k, j) for j in reach]), (1, [name(i, k) for i in before])) if tiles]
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for a, b, side, tiles in pieces:
+            part = own.taken(np.arange(a, b))
+            if side == 2 or (part.side == 2).all():
+                part.side = np.where(part.side == 2, side, part.side).astype(np.int8)
+            yield _blob(PIECE, tiles, part.packed())
+
+    return own.taken(~np.isin(own.token, own.token[start[long]])), rows()
+
+
+def _blob(kind: int, tiles: list[int] | None, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((kind, *(None,) * 6, tiles, data), _FOUND, strict=True)], schema=_FOUND)
+
+
+def _propose(own: Postings, num: int, den: int, first: int, only: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Pairs that pass the filters, and the lists of lines that had more than ``first``; with ``only``, all pairs of later lines that this filter holds."""
+    token, bits, n, pos, doc, line, side = (getattr(own, f) for f in own.FIELDS)
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
     later, earlier, gap = [], [], []
 
     def test(i: np.ndarray, j: np.ndarray) -> None:
         over = need(n[i], n[j], num, den)
-        ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= over
+        ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= over) & ((side[i] != side[j]) | (side[i] == 2))
         i, j, over = i[ok], j[ok], over[ok]
         far = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-        ok = far <= n[i] + n[j] - 2 * over
+        ok = (far <= n[i] + n[j] - 2 * over) & ((doc[i] != doc[j]) | (line[i] != line[j]))
         i, j, far = i[ok], j[ok], far[ok]
         if len(i):
             swap = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
@@ -265,6 +461,7 @@ def _propose(own: tuple[np.ndarray, ...], num: int, den: int, first: int, only:
             gap.append(far)
 
     # n rises within a list: partners of i end where the length filter does
+    group_end = np.searchsorted(token, token, side="right")
     reach = np.minimum(group_end, np.searchsorted(_joint(token, n), _joint(token, den * n // num), side="right")) if len(token) else group_end
     width = reach - np.arange(len(token)) - 1
     live, d = np.flatnonzero(width > 0), 1
@@ -278,192 +475,179 @@ def _propose(own: tuple[np.ndarray, ...], num: int, den: int, first: int, only:
         return
     a, b, g = np.concatenate(later), np.concatenate(earlier), np.concatenate(gap)
     order = np.lexsort((g, a))
-    a, b = a[order], b[order]
+    a, b, g = a[order], b[order], g[order]
     start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
     size = np.diff(np.append(start, len(a)))
-    nth = np.arange(len(a)) - np.repeat(start, size)
-    total = np.repeat(size, size)
-    # few go on at first; of lines that the filter ``only`` holds, all
-    take = np.flatnonzero(nth < first if only is None else bloom.contains(only, doc[a], line[a]))
+    take = np.flatnonzero(spread(np.zeros(len(size), np.int64), size) < first if only is None else bloom.contains(only, doc[a], line[a]))
     i, j = a[take], b[take]
-    more = (total[take] > first) if only is None else np.zeros(len(take), bool)
-    yield _rows(doc[i], line[i], doc[j], line[j], False, more, g[order][take])
+    more = np.repeat(size, size)[take] > first if only is None else np.zeros(len(take), bool)
+    m = len(take)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.full(m, PAIR, np.int32)), *(pa.array(x.astype(np.int64)) for x in (doc[i], line[i], doc[j], line[j])), pa.array(more), pa.array(g[take]), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary())],
+        schema=_FOUND,
+    )
     if more.any():
-        # the whole lists of such lines, to propose from again
-        wide = bits.shape[1]
-        keep = np.isin(token, np.unique(token[i[more]]))
-        blob = X.pack(np.array([wide]), token[keep], bits[keep].ravel(), n[keep], pos[keep], doc[keep], line[keep], level=1)
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((*(None,) * 7, blob), _PAIRS, strict=True)], schema=_PAIRS)
-
-
-def _rows(doc: np.ndarray, line: np.ndarray, other_doc: np.ndarray, other_line: np.ndarray, sure: bool, more: np.ndarray, gap: np.ndarray) -> pa.RecordBatch:
-    whole = [pa.array(x, pa.int64()) for x in (doc, line, other_doc, other_line)]
-    return pa.RecordBatch.from_arrays([*whole, pa.array(np.full(len(doc), sure)), pa.array(more), pa.array(gap, pa.int64()), pa.nulls(len(doc), pa.binary())], schema=_PAIRS)
+        yield _blob(LIST, None, own.taken(np.isin(token, np.unique(token[i[more]]))).packed())
 
 
 def _again(batches: Iterable[pa.RecordBatch], num: int, den: int, only: np.ndarray) -> Iterator[pa.RecordBatch]:
     """All pairs of the lines that the filter ``only`` holds, from kept lists."""
     for batch in batches:
-        for blob in batch.column("lists").to_pylist():
-            (wide,), token, bits, *rest = X.unpack(blob)
-            yield from _propose((token, bits.reshape(-1, wide), *rest), num, den, 0, only)
-
-
-def _joint(token: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Values that sort as (token, n) do, for tokens already in order."""
-    step = np.zeros(len(token), np.int64)
-    step[1:] = token[1:] != token[:-1]
-    return np.cumsum(step) * (1 << 32) + np.minimum(n, (1 << 32) - 1)
+        for data in batch.column("lists").to_pylist():
+            yield from _propose(Postings.unpacked(data), num, den, 0, only)
 
 
-def _meet(batches: Iterable[pa.RecordBatch], num: int, den: int, first: int) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterable[pa.RecordBatch], num: int, den: int, first: int, tile: int) -> Iterator[pa.RecordBatch]:
     for _, held in X.runs(batches):
         by: dict[int, list] = {}
         for *_, wide, payload in held:
-            if wide == COPIES:
-                doc, line, other_doc, other_line = X.unpack(payload)
-                yield _rows(doc, line, other_doc, other_line, True, np.zeros(len(doc), bool), np.zeros(len(doc), np.int64))
-            else:
-                by.setdefault(wide, []).append(X.unpack(payload))
-        if not by:
-            continue
-        postings = {w: [np.concatenate(x) for x in zip(*blobs, strict=True)] for w, blobs in sorted(by.items())}
-        del by, held
-        # most tokens of prefixes belong to one line alone
-        _, back, n = np.unique(np.concatenate([x[0] for x in postings.values()]), return_inverse=True, return_counts=True)
-        met, at = n[back] > 1, 0
+            by.setdefault(wide, []).append(X.unpack(payload))
+        del held
         lists = {}
-        for wide, x in postings.items():
-            keep = met[at : at + len(x[0])]
-            at += len(x[0])
-            x[1] = x[1].reshape(-1, wide)
-            got = _List([y[keep] for y in x])
-            yield got.copies()
-            lists[wide] = got.kept()
+        for wide in sorted(by):
+            token, bits, *rest = (np.concatenate(x) for x in zip(*by.pop(wide), strict=True))
+            lists[wide] = Postings(token, bits.reshape(-1, wide), *rest, np.full(len(token), 2, np.int8))
+        # many tokens of prefixes belong to one line alone
+        _, back, n = np.unique(np.concatenate([x.token for x in lists.values()]), return_inverse=True, return_counts=True)
+        met, at = n[back] > 1, 0
+        for wide, x in lists.items():
+            lists[wide] = x.taken(met[at : at + len(x.token)])
+            at += len(x.token)
         for wide, own in lists.items():
-            yield from _propose(_shared(own), num, den, first, None)
+            every = [own]
             # lines of the next wider bitmap join those of this one that they can be similar to
-            more = lists.get(2 * wide)
-            if more is not None:
-                both = tuple(np.concatenate([x, _fold(y, wide) if k == 1 else y]) for k, (x, y) in enumerate(zip(own, more, strict=True)))
-                side = np.concatenate([np.zeros(len(own[0]), bool), np.ones(len(more[0]), bool)])
-                border = 32 * wide
-                near = (both[2] * den >= num * border) & (both[2] * num <= den * border)
-                yield from _propose(_shared(tuple(x[near] for x in both), side[near]), num, den, first, None)
-
-
-def _shared(own: tuple[np.ndarray, ...], side: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Without tokens that one line alone has, or one side."""
-    if not len(own[0]):
-        return own
-    _, back, n = np.unique(own[0], return_inverse=True, return_counts=True)
-    if side is None:
-        keep = n[back] > 1
-    else:
-        ones = np.bincount(back, side)
-        keep = ((ones > 0) & (ones < n))[back]
-    return tuple(x[keep] for x in own)
-
-
-def _sets(batches: Iterable[pa.RecordBatch], bits: np.ndarray) -> Iterator[tuple]:
-    """Distinct words of the lines that the filter lets through."""
-    for chunk in chunks(batches, "text", BLOCK_BYTES):
-        lines = Lines(chunk)
-        hit = lines.known & bloom.contains(bits, lines.doc, lines.number)
-        for i in np.flatnonzero(hit).tolist():
-            part = lines.buf[lines.begin[i] : lines.end[i]]
-            if len(part):
-                s, e = spans(part)
-                yield int(lines.doc[i]), int(lines.number[i]), np.unique(hash_spans(part, s, e)).tobytes()
+            if (more := lists.get(2 * wide)) is not None:
+                fields = [np.concatenate([getattr(own, f), _fold(more.bits, wide) if f == "bits" else getattr(more, f)]) for f in own.FIELDS[:-1]]
+                both = Postings(*fields, np.concatenate([np.zeros(len(own.token), np.int8), np.ones(len(more.token), np.int8)]))
+                size, border = both.n.astype(np.int64), 32 * wide
+                every.append(both.taken((size * den >= num * border) & (size * num <= den * border)))
+            for x in every:
+                short, pieces = _tiled(x.shared().ordered(), num, den, tile)
+                yield from pieces
+                yield from _propose(short, num, den, first)
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``doc_id, line, words``: the token sets of all lines in ``pairs``, and of some others."""
+def _tiles(batches: Iterable[pa.RecordBatch], num: int, den: int, first: int) -> Iterator[pa.RecordBatch]:
+    for _, held in X.runs(batches, "tile"):
+        parts = [Postings.unpacked(data) for _, data in held]
+        yield from _propose(Postings(*(np.concatenate([getattr(x, f) for x in parts]) for f in Postings.FIELDS)).shared().ordered(), num, den, first)
+
+
+# 5. and 6. verification
+
+
+def _sets_in(batches: Iterable[pa.RecordBatch], bits: np.ndarray | None) -> Iterator[tuple]:
+    """The sets of the lines that the filter lets through."""
+    for batch in batches:
+        for payload in batch.column("payload").to_pylist():
+            sets = Sets.of(X.unpack(payload))
+            if bits is not None:
+                sets = sets.taken(np.flatnonzero(bloom.contains(bits, sets.doc, sets.line)))
+            doc, line, _, rare, hashes, ranks = sets.arrays()
+            a, b = np.cumsum(rare, dtype=np.int64), np.cumsum(sets.n - rare, dtype=np.int64)
+            for k in range(len(sets)):
+                x, y = int(a[k] - rare[k]), int(b[k] - (sets.n[k] - rare[k]))
+                yield int(doc[k]), int(line[k]), hashes[x : a[k]].tobytes(), ranks[y : b[k]].tobytes()
+
+
+def _sets_of(kept: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``doc_id, line, rare, often``: the token sets of all lines in ``pairs``, and of some others."""
     refs = pairs.select("doc_id", "line").unionAll(pairs.select("other_doc", "other_line"))
-    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(refs))  # of fixed size
-    kind = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("words", pa.binary())])
-    sets = docs.select("doc_id", "text").mapInArrow(lambda it: X.rows(_sets(it, bits.value), kind), "doc_id long, line long, words binary")
-    return materialize(sets.dropDuplicates(["doc_id", "line"]))
-
-
-def _similar(a: list[bytes], b: list[bytes], num: int, den: int) -> np.ndarray:
-    """Whether the sets of each pair are similar. A pair's hashes are compared to 48 bits, all pairs in one sort."""
-    sides = []
-    sizes = []
-    for side in (a, b):
-        n = np.array([len(x) // 8 for x in side])
-        h = np.frombuffer(b"".join(side), U)
-        sides.append((np.repeat(np.arange(len(side), dtype=U), n) << U(48)) | (h >> U(16)))
-        sizes.append(n)
-    both = np.sort(np.concatenate(sides))
-    common = np.bincount((both[1:][both[1:] == both[:-1]] >> U(48)).astype(np.int64), minlength=len(a))
-    return den * common >= num * (sizes[0] + sizes[1] - common)
+    bits = kept.sparkSession.sparkContext.broadcast(bloom.build(refs))  # of bounded size
+    kind = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("rare", pa.binary()), ("often", pa.binary())])
+    return kept.where(F.col("kind") == SETS).mapInArrow(lambda it: X.rows(_sets_in(it, bits.value), kind), "doc_id long, line long, rare binary, often binary")
+
+
+def _similar(batch: pa.RecordBatch, num: int, den: int) -> np.ndarray:
+    """Whether the sets of each pair are similar; all pairs in one sort for each kind of word."""
+    size, common = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+    for column, kind in (("rare", U), ("often", np.uint16)):
+        owner, tokens = [], []
+        for name in (column, f"other_{column}"):
+            blobs = batch.column(name).to_pylist()
+            n = np.array([len(x) // np.dtype(kind).itemsize for x in blobs])
+            owner.append(np.repeat(np.arange(len(blobs), dtype=np.int64), n))
+            tokens.append(np.frombuffer(b"".join(blobs), kind))
+            size += n
+        number = np.unique(np.concatenate(tokens), return_inverse=True)[1] if kind is U else np.concatenate(tokens)
+        both = np.sort((np.concatenate(owner) << 32) | number.astype(np.int64))
+        common += np.bincount(both[1:][both[1:] == both[:-1]] >> 32, minlength=len(batch))
+    return den * common >= num * (size - common)
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose sets are similar."""
     own = pairs.select(*COLUMNS).join(sets, ["doc_id", "line"])
-    both = own.join(sets.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("others")), ["other_doc", "other_line"])
+    others = sets.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("rare").alias("other_rare"), F.col("often").alias("other_often"))
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = _similar(batch.column("words").to_pylist(), batch.column("others").to_pylist(), num, den)
-            yield batch.select(list(COLUMNS)).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(list(COLUMNS)).filter(pa.array(_similar(batch, num, den), pa.bool_()))
 
-    return materialize(both.select(*COLUMNS, "words", "others").mapInArrow(check, ", ".join(f"{c} long" for c in COLUMNS)))
+    return materialize(own.join(others, ["other_doc", "other_line"]).mapInArrow(check, LONGS))
 
 
-def later_matches(docs: DataFrame, num: int = 75, den: int = 100, least: int = 5, first: int = FIRST) -> DataFrame:
+def later_matches(docs: DataFrame, num: int = 75, den: int = 100, least: int = 5, first: int = FIRST, tile: int = TILE) -> DataFrame:
     """``doc_id, line, other_doc, other_line``: each line to remove and an earlier one that it matches."""
     spark = prepare(docs.sparkSession)
-    docs = stable(docs)
-    head, rank = frequent_words(docs)
-    p = partitions(spark)
+    docs = stable(docs.select("doc_id", "text"))
+    p, line = partitions(spark), ["doc_id", "line"]
     count = 4 * p
-    plain = docs.select("doc_id", "text")
-    order = spark.sparkContext.broadcast((head, rank))  # at most HEAD words
-
-    sent = plain.mapInArrow(lambda it: X.rows(_postings(it, *order.value, least, num, den, count)), X.ENVELOPE)
-    found = materialize(X.routed(sent, p).mapInArrow(lambda it: _meet(it, num, den, first), PAIRS))
-    line = ["doc_id", "line"]
-    sure = found.where("sure").select(*COLUMNS)
-    # a line that equals an earlier one needs no other match
-    maybe = found.where("NOT sure").groupBy(*COLUMNS).agg(F.max("more").alias("more"), F.min("gap").alias("gap"))
-    maybe = materialize(maybe.join(sure.select(*line).distinct(), line, "left_anti"))
-    sure = materialize(sure)
-    if maybe.isEmpty():
-        return _one_each(sure)
-    sets = _sets_of(plain, maybe)
+    order = spark.sparkContext.broadcast(frequent_words(docs))  # at most HEAD words
+    met = X.routed(docs.mapInArrow(lambda it: X.rows(_line_sets(it, *order.value, least, count)), X.ENVELOPE), p)
+    kept = materialize(met.mapInArrow(lambda it: X.rows(_collapse(it), _KEPT), KEPT))
+    del met
+    reclaim(spark)
+    sure = kept.where(F.col("kind") == SURE).mapInArrow(_unpacked, LONGS)
+    sent = kept.where(F.col("kind") == SETS).mapInArrow(lambda it: X.rows(_postings(it, num, den, count)), X.ENVELOPE)
+    found = materialize(X.routed(sent, p).mapInArrow(lambda it: _meet(it, num, den, first, tile), FOUND))
+    del sent
+    reclaim(spark)
+    tables, good = [kept, found], sure
+    pieces = found.where(F.col("kind") == PIECE)
+    if not pieces.isEmpty():
+        dealt = pieces.select(F.explode("tiles").alias("tile"), "lists").repartition(p, "tile").sortWithinPartitions("tile")
+        tables.append(materialize(dealt.mapInArrow(lambda it: _tiles(it, num, den, first), FOUND)))
+        found = found.unionAll(tables[-1])
+    maybe = found.where(F.col("kind") == PAIR)
     # the most similar candidate first, all others only of lines that it leaves
-    best = maybe.groupBy(*line).agg(F.min(F.struct("gap", "other_doc", "other_line")).alias("o")).select(*line, "o.other_doc", "o.other_line")
-    good = _verified(sets, best, num, den)
-    others = maybe.join(good.select(*line).distinct(), line, "left_anti").join(best, list(COLUMNS), "left_anti")
-    good = good.unionAll(_verified(sets, others, num, den))
-    rest = materialize(maybe.where("more").select(*line).distinct().join(good.select(*line).distinct(), line, "left_anti"))
-    if not rest.isEmpty():
-        asked = spark.sparkContext.broadcast(bloom.build(rest))  # it lets some others propose too
-        every = found.where("lists IS NOT NULL").select("lists").mapInArrow(lambda it: _again(it, num, den, asked.value), PAIRS)
-        fresh = materialize(every.select(*COLUMNS).distinct().join(rest, line, "left_semi").join(maybe.select(*COLUMNS), list(COLUMNS), "left_anti"))
-        good = good.unionAll(_verified(_sets_of(plain, fresh), fresh, num, den))
-    out = materialize(_one_each(sure.unionAll(good)))
-    discard(found, sure, maybe, sets)
+    best = maybe.groupBy(*line).agg(F.min(F.struct("gap", "other_doc", "other_line")).alias("o"), F.max("more").alias("more"))
+    best = materialize(best.select(*line, "o.other_doc", "o.other_line", "more"))
+    tables.append(best)
+    if not best.isEmpty():
+        good = good.unionAll(verified := _verified(_sets_of(kept, best), best, num, den))
+        left = materialize(best.join(verified.select(*line), line, "left_anti"))
+        tables += [verified, left]
+        if not left.isEmpty():
+            others = maybe.where(bloom.maybe_in(left.select(*line), *line)).select(*COLUMNS).distinct()
+            others = materialize(others.join(left.select(*line).distinct(), line, "left_semi").join(left, list(COLUMNS), "left_anti"))
+            good = good.unionAll(verified := _verified(_sets_of(kept, others), others, num, den))
+            flags = maybe.where("more").where(bloom.maybe_in(left.select(*line), *line)).select(*line).distinct()
+            rest = materialize(flags.join(left.select(*line).distinct(), line, "left_semi").join(verified.select(*line).distinct(), line, "left_anti"))
+            tables += [others, verified, rest]
+            if not rest.isEmpty():
+                asked = spark.sparkContext.broadcast(bloom.build(rest))  # it lets some others propose too
+                every = found.where(F.col("kind") == LIST).select("lists").mapInArrow(lambda it: _again(it, num, den, asked.value), FOUND)
+                fresh = materialize(every.select(*COLUMNS).distinct().join(rest, line, "left_semi").join(others, list(COLUMNS), "left_anti"))
+                good = good.unionAll(verified := _verified(_sets_of(kept, fresh), fresh, num, den))
+                tables += [fresh, verified]
+    first_of = good.groupBy(*line).agg(F.min(F.struct("other_doc", "other_line")).alias("o"))
+    out = materialize(first_of.select(*line, "o.other_doc", "o.other_line"))
+    discard(*tables)
+    reclaim(spark)
     return out
 
 
-def _one_each(pairs: DataFrame) -> DataFrame:
-    first = pairs.groupBy("doc_id", "line").agg(F.min(F.struct("other_doc", "other_line")).alias("o"))
-    return first.select("doc_id", "line", "o.other_doc", "o.other_line")
-
-
 def dedup_lines(docs: DataFrame, **options: int) -> DataFrame:
     """``docs`` with the matched lines cut from ``text``; ``n_lines`` and ``removed`` (line numbers from 0) are added."""
-    docs = stable(docs)
+    docs = stable(docs.drop("n_lines", "removed"))
     gone = materialize(later_matches(docs, **options).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed")))
+    none = F.array().cast("array<bigint>")
     lines = F.split("text", "\n", -1)
     size = F.coalesce(F.size(lines), F.lit(0)).alias("n_lines")
     hit = bloom.maybe_in(gone.select("doc_id"), "doc_id")
-    same = docs.where(~hit).select(*docs.columns, size, F.array().cast("array<bigint>").alias("removed"))
-    joined = docs.where(hit).join(gone.hint("shuffle_hash"), "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
+    same = docs.where(~hit).select(*docs.columns, size, none.alias("removed"))
+    joined = docs.where(hit).join(gone.hint("shuffle_hash"), "doc_id", "left").withColumn("removed", F.coalesce("removed", none))
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("removed"), i.cast("long")))
     text = F.when(F.size("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text")
     return same.unionByName(joined.select(*(text if c == "text" else F.col(c) for c in docs.columns), size, "removed"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -85,6 +86,12 @@ def discard(*tables: DataFrame) -> None:
             _delete(_written.pop(path), path)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Have the cluster drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _discard_all() -> None:
     """At the end of the driver its tables go, if the cluster still answers."""
     for path, spark in _written.items():
