@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from tessera.llm import exchange as X
 from tessera.llm.session import partitions, prepare, stable
-from tessera.llm.tokens import _IS_SEP, chunks, hash_spans, raw
+from tessera.llm.tokens import _IS_SEP, U, chunks, hash_spans, mix, raw
 
 BLOCK, REPLY = 0, 1
 #: Bytes of text in a block.
@@ -107,6 +107,27 @@ def _values(planes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
+def _numbered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words in rising order, where each occurs first, and the number of each word's.
+
+    Words of equal hash are compared byte by byte; a word whose bytes differ from its number's gets another hash.
+    """
+    h = hash_spans(buf, starts, ends, lower=False)
+    while True:
+        distinct, first, places = np.unique(h, return_index=True, return_inverse=True)
+        like = first[places]
+        size = ends - starts
+        odd = size != size[like]
+        for a in range(0, len(h), 100_000):
+            at = a + np.flatnonzero(~odd[a : a + 100_000] & (like[a : a + 100_000] != np.arange(a, min(a + 100_000, len(h)))))
+            if len(at):
+                differ = gather(buf, starts[at], size[at]) != gather(buf, starts[like[at]], size[at])
+                odd[at] = np.logical_or.reduceat(differ, np.cumsum(size[at]) - size[at])
+        if not odd.any():
+            return distinct, first, places
+        h[odd] = mix(h[odd] + U(1))
+
+
 def _cut(batches: Iterable[pa.RecordBatch], pattern: str, count: int, kind: int) -> Iterator[tuple]:
     """Blocks with positions, or the distinct words of the same blocks; a word's number is its rank by hash."""
     number = X.batch_ids()
@@ -114,7 +135,7 @@ def _cut(batches: Iterable[pa.RecordBatch], pattern: str, count: int, kind: int)
         batch = next(number)
         buf, begins = raw(chunk.column("text"))
         starts, ends = word_starts(buf, begins, pattern)
-        distinct, first, places = np.unique(hash_spans(buf, starts, ends, lower=False), return_index=True, return_inverse=True)
+        distinct, first, places = _numbered(buf, starts, ends)
         if kind == BLOCK:
             ids = np.array(chunk.column("doc_id").fill_null(0).to_pylist(), dtype=np.int64)
             known = np.asarray(chunk.column("doc_id").is_valid())
@@ -159,6 +180,8 @@ def _reassemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 replies.append(X.unpack(payload))
     if block is not None:
         yield from _texts(block, replies)
+    del block, replies
+    X.release()
 
 
 def _texts(block: list[np.ndarray], replies: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ after an executor was lost makes the same rows.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -45,6 +46,14 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: workers live on after it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
 def rows(items: Iterable[tuple[int, int, int, bytes]], schema: pa.Schema = _FIELDS) -> Iterator[pa.RecordBatch]:
     """Arrow batches of tuples, cut by the size of their byte fields."""
     held: list[tuple] = []
@@ -57,6 +66,8 @@ def rows(items: Iterable[tuple[int, int, int, bytes]], schema: pa.Schema = _FIEL
             held, size = [], 0
     if held:
         yield _batch(held, schema)
+    del held
+    release()
 
 
 def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
