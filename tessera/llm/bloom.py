@@ -40,13 +40,13 @@ def contains(bits: np.ndarray | None, *columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def build(rows: DataFrame) -> np.ndarray | None:
-    """The filter of ``rows``, MOST / 8 bytes at most, or None beyond; nulls are left out.
+def build(rows: DataFrame, count: int | None = None) -> np.ndarray | None:
+    """The filter of ``rows``, of which there are ``count``, MOST / 8 bytes at most, or None beyond; nulls are left out.
 
     Bits are dealt to slices; each slice is made in one task from the bits that fall in it.
     """
     rows = rows.na.drop()
-    size, wanted = LEAST, PER_ROW * rows.count()
+    size, wanted = LEAST, PER_ROW * (rows.count() if count is None else count)
     while size < wanted:
         size *= 2
     if size > MOST:

@@ -98,15 +98,6 @@ def word_starts(buf: np.ndarray, begins: np.ndarray, pattern: str) -> tuple[np.n
     return at[real], ends[real]
 
 
-def _planes(a: np.ndarray) -> np.ndarray:
-    """The bytes of 32-bit values, lowest first, each on its own: they compress better."""
-    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
-
-
-def _values(planes: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
-
-
 def _numbered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words in rising order, where each occurs first, and the number of each word's.
 
@@ -139,7 +130,7 @@ def _cut(batches: Iterable[pa.RecordBatch], pattern: str, count: int, kind: int)
         if kind == BLOCK:
             ids = np.array(chunk.column("doc_id").fill_null(0).to_pylist(), dtype=np.int64)
             known = np.asarray(chunk.column("doc_id").is_valid())
-            yield X.route_of(batch, count), batch, BLOCK, X.pack(ids, known, np.diff(np.searchsorted(starts, begins)), _planes(places), level=1)
+            yield X.route_of(batch, count), batch, BLOCK, X.pack(ids, known, np.diff(np.searchsorted(starts, begins)), places.astype(np.uint32), level=1)
             continue
         bucket = X.bucket_of(distinct, count)  # ascends, as the hashes do
         sizes = (ends - starts)[first]
@@ -186,8 +177,7 @@ def _reassemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(block: list[np.ndarray], replies: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """The ids of each text of a block."""
-    docs, known, sizes, planes = block
-    places = _values(planes)
+    docs, known, sizes, places = block
     words = sum(len(r[1]) for r in replies)
     start, length = np.zeros(words, np.int64), np.zeros(words, np.int64)
     at = 0

@@ -28,20 +28,27 @@ FLUSH = 8 << 20
 
 
 def pack(*arrays: np.ndarray, level: int | None = None) -> bytes:
+    """Arrays as bytes. Before compression the bytes of numbers are sorted by place value: high ones are alike."""
     parts = [np.array([len(arrays)], "<u4").tobytes()]
     for a in arrays:
-        parts += [a.dtype.str.encode().ljust(4), np.array([a.size], "<u8").tobytes(), np.ascontiguousarray(a).tobytes()]
+        a = np.ascontiguousarray(a).ravel()
+        parts += [a.dtype.str.encode().ljust(4), np.array([a.size], "<u8").tobytes()]
+        parts.append(a.tobytes() if level is None or a.itemsize == 1 else a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
     data = b"".join(parts)
     return data if level is None else zstandard.compress(data, level)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    if data[:4] == b"\x28\xb5\x2f\xfd":
+    planes = data[:4] == b"\x28\xb5\x2f\xfd"
+    if planes:
         data = zstandard.decompress(data)
     out, at = [], 4
     for _ in range(int(np.frombuffer(data, "<u4", 1)[0])):
         kind, n = np.dtype(data[at : at + 4].decode().strip()), int(np.frombuffer(data, "<u8", 1, at + 4)[0])
-        out.append(np.frombuffer(data, kind, n, at + 12))
+        if planes and kind.itemsize > 1:
+            out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * kind.itemsize, at + 12).reshape(kind.itemsize, -1).T).ravel().view(kind))
+        else:
+            out.append(np.frombuffer(data, kind, n, at + 12))
         at += 12 + n * kind.itemsize
     return out
 

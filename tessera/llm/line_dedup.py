@@ -42,6 +42,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +54,9 @@ from tessera.llm.tokens import U, chunks, hash_spans, mix, raw, spans, words
 #: Words ordered by count; pairs that a line proposes from one list at first; bytes of text in a block.
 HEAD, FIRST, BLOCK_BYTES = 1 << 16, 8, 8 << 20
 #: Postings of a list that are paired at once; sets packed together.
-TILE, PACKED = 4096, 20_000
-#: Widest bitmap in 64-bit words; a line of n tokens has 2 n bits or more up to there.
-WIDEST = 32
+TILE, PACKED = 4096, 30_000
+#: Tokens to a 64-bit word of a bitmap at most, and its widest in words.
+BITS, WIDEST = 48, 32
 #: Bins of counts to a doubling.
 BINS = 16
 #: Marks the key of one of the HEAD words, whose rank stands RANK bits up.
@@ -92,36 +93,52 @@ class Lines:
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Hash and line of each word of lines whose document has an id."""
         starts, ends = spans(self.buf)
-        line = np.searchsorted(self.end, starts)
+        line = np.repeat(np.arange(len(self.end)), np.diff(np.append(np.searchsorted(starts, self.begin), len(starts))))
         if not self.known.all():
             use = self.known[line]
             starts, ends, line = starts[use], ends[use], line[use]
         return hash_spans(self.buf, starts, ends), line
 
 
-def keys(h: np.ndarray, head: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Values that sort words by rarity; equal for equal words only."""
-    out = h >> U(1)
-    if len(head):
-        at = np.minimum(np.searchsorted(head, h), len(head) - 1)
-        hit = head[at] == h
-        out[hit] = FREQUENT | (rank[at[hit]].astype(U) << RANK)
-    return out
-
-
-def token_sets(key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (line, key) in order of line and key."""
-    joint = (line.astype(U) << U(40)) | (key >> U(24))
-    order = np.argsort(joint)
-    key, line = key[order], line[order]
-    joint = joint[order]
-    same = joint[1:] == joint[:-1]
-    if (key[1:][same] != key[:-1][same]).any() or (len(line) and line.max() >= 1 << 24):
-        order = np.lexsort((key, line))
-        key, line = key[order], line[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-    return key[new], line[new]
+class Head:
+    """The frequent words: their hashes in rising order, found through the upper bits, and each one's rank by rising count."""
+
+    SLOTS = 18
+
+    def __init__(self, h: np.ndarray, rank: np.ndarray) -> None:
+        self.h, self.rank = h, rank
+        self.begin = np.searchsorted(h >> U(64 - self.SLOTS), np.arange((1 << self.SLOTS) + 1, dtype=U)).astype(np.int32)
+        self.most = int(np.diff(self.begin).max())
+
+    def ranks(self, h: np.ndarray) -> np.ndarray:
+        """The rank of each word, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        slot = (h >> U(64 - self.SLOTS)).astype(np.int64)
+        at, end = self.begin[slot], self.begin[slot + 1]
+        todo = np.flatnonzero(at < end)
+        for _ in range(self.most):
+            hit = self.h[at[todo]] == h[todo]
+            out[todo[hit]] = self.rank[at[todo[hit]]]
+            at[todo] += 1
+            todo = todo[~hit & (at[todo] < end[todo])]
+        return out
+
+
+def token_sets(h: np.ndarray, line: np.ndarray, head: Head) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (line, key) in order of line and key. Keys sort words by rarity and are equal for equal words only."""
+    # words get numbers in the order of their keys, so that lines and numbers sort as one value
+    number = head.ranks(h)
+    often = number >= 0
+    number[often] += 1 << 31
+    rare, number[~often] = np.unique(h[~often] >> U(1), return_inverse=True)
+    joint = np.sort((line << 32) | number)
+    joint = joint[np.concatenate(([True], joint[1:] != joint[:-1]))] if len(joint) else joint
+    number = joint & 0xFFFFFFFF
+    often = number >= 1 << 31
+    key = np.empty(len(joint), U)
+    key[often] = FREQUENT | ((number[often] - (1 << 31)).astype(U) << RANK)
+    key[~often] = rare[number[~often]]
+    return key, joint >> 32
 
 
 def prefix(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -135,12 +152,12 @@ def need(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def words_wide(n: np.ndarray) -> np.ndarray:
     """64-bit words in the bitmap of a line of n tokens: a power of two."""
-    return np.minimum(1 << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64), WIDEST)
+    return np.minimum(1 << np.ceil(np.log2(np.maximum(n, BITS) / BITS)).astype(np.int64), WIDEST)
 
 
 def bitmaps(key: np.ndarray, n: np.ndarray, wide: int) -> np.ndarray:
     """One row of ``wide`` words for each run of n keys."""
-    bit = mix(key) % U(64 * wide)
+    bit = mix(key) & U(64 * wide - 1)
     out = np.zeros(len(n) * wide, dtype=U)
     owner = np.repeat(np.arange(len(n)), n)
     np.bitwise_or.at(out, owner * wide + (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
@@ -192,10 +209,10 @@ def _above(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[tuple]:
             yield from zip(h[take].view(np.int64).tolist(), n[take].tolist(), strict=True)
 
 
-def frequent_words(docs: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent words, ascending, and each one's rank by rising count.
+def frequent_words(docs: DataFrame, most: int = HEAD) -> Head:
+    """The most frequent words.
 
-    Words are taken by whole bins of counts, as many as hold ``most`` words or fewer.
+    They are taken by whole bins of counts, as many as hold ``most`` words or fewer.
     """
     p = partitions(docs.sparkSession)
     count = 4 * p
@@ -213,7 +230,7 @@ def frequent_words(docs: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.nd
     rank = np.empty(len(top), np.int64)
     rank[order] = np.arange(len(top))
     by = np.argsort(h)
-    return h[by], rank[by]
+    return Head(h[by], rank[by])
 
 
 # 2. equal sets
@@ -276,7 +293,7 @@ def earliest(sets: Sets, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return out
 
 
-def _line_sets(batches: Iterable[pa.RecordBatch], head: np.ndarray, rank: np.ndarray, least: int, count: int) -> Iterator[tuple]:
+def _line_sets(batches: Iterable[pa.RecordBatch], head: Head, least: int, count: int) -> Iterator[tuple]:
     """The distinct sets of each block, by signature, each with the lines that repeat it."""
     number = X.batch_ids()
     for chunk in chunks(batches, "text", BLOCK_BYTES):
@@ -285,7 +302,7 @@ def _line_sets(batches: Iterable[pa.RecordBatch], head: np.ndarray, rank: np.nda
         h, line = lines.hashes()
         if not len(h):
             continue
-        key, line = token_sets(keys(h, head, rank), line)
+        key, line = token_sets(h, line, head)
         del h
         begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
         own = line[begin]
@@ -342,20 +359,41 @@ def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # 3. and 4. candidates
 
 
-def _postings(batches: Iterable[pa.RecordBatch], num: int, den: int, count: int) -> Iterator[tuple]:
+def _packed_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[Sets]:
     for batch in batches:
         for payload in batch.column("payload").to_pylist():
-            whole = Sets.of(X.unpack(payload))
-            wides = words_wide(whole.n)
-            for wide in np.unique(wides).tolist():
-                sets = whole.taken(np.flatnonzero(wides == wide))
-                bits = bitmaps(sets.key, sets.n, wide)
-                p = prefix(sets.n, num, den)
-                who = np.repeat(np.arange(len(sets)), p)
-                pos = spread(np.zeros(len(p), np.int64), p)
-                token = sets.key[sets.begin[who] + pos]
-                for r, (t, w, q) in X.split(X.bucket_of(mix(token), count), count, token, who, pos):
-                    yield r, 0, wide, X.pack(t, bits[w].ravel(), sets.n[w].astype(np.uint32), q.astype(np.uint32), sets.doc[w], sets.line[w].astype(np.uint32), level=1)
+            yield Sets.of(X.unpack(payload))
+
+
+def _together(parts: Iterable[Sets], most: int) -> Iterator[Sets]:
+    """Sets regrouped so that about ``most`` stand together."""
+    held: list[Sets] = []
+    for x in parts:
+        held.append(x)
+        if sum(map(len, held)) >= most:
+            yield Sets.joined(held)
+            held = []
+    if held:
+        yield Sets.joined(held)
+
+
+def _postings(batches: Iterable[pa.RecordBatch], num: int, den: int, count: int) -> Iterator[tuple]:
+    """For each bucket of tokens the postings of all widths of bitmap: the widths, then six arrays for each."""
+    for whole in _together(_packed_sets(batches), PACKED):
+        out: dict[int, list] = {}
+        wides = words_wide(whole.n)
+        for wide in np.unique(wides).tolist():
+            sets = whole.taken(np.flatnonzero(wides == wide))
+            bits = bitmaps(sets.key, sets.n, wide)
+            p = prefix(sets.n, num, den)
+            who = np.repeat(np.arange(len(sets)), p)
+            pos = spread(np.zeros(len(p), np.int64), p)
+            token = sets.key[sets.begin[who] + pos]
+            for r, (t, w, q) in X.split(X.bucket_of(mix(token), count), count, token, who, pos):
+                out.setdefault(r, [[]])[0].append(wide)
+                out[r] += [t, bits[w].ravel(), sets.n[w].astype(np.uint32), q.astype(np.uint32), sets.doc[w], sets.line[w].astype(np.uint32)]
+        for r in sorted(out):
+            yield r, 0, 0, X.pack(np.array(out[r][0], np.int64), *out.pop(r)[1:], level=1)
 
 
 def _fold(bits: np.ndarray, wide: int) -> np.ndarray:
@@ -442,7 +480,7 @@ def _blob(kind: int, tiles: list[int] | None, data: bytes) -> pa.RecordBatch:
 
 
 def _propose(own: Postings, num: int, den: int, first: int, only: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Pairs that pass the filters, and the lists of lines that had more than ``first``; with ``only``, all pairs of later lines that this filter holds."""
+    """Pairs that pass the filters, and the lists of lines that had more than ``first``; with 0, all pairs of later lines that the filter ``only`` holds."""
     token, bits, n, pos, doc, line, side = (getattr(own, f) for f in own.FIELDS)
     n, pos = n.astype(np.int64), pos.astype(np.int64)
     later, earlier, gap = [], [], []
@@ -478,9 +516,9 @@ def _propose(own: Postings, num: int, den: int, first: int, only: np.ndarray | N
     a, b, g = a[order], b[order], g[order]
     start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
     size = np.diff(np.append(start, len(a)))
-    take = np.flatnonzero(spread(np.zeros(len(size), np.int64), size) < first if only is None else bloom.contains(only, doc[a], line[a]))
+    take = np.flatnonzero(spread(np.zeros(len(size), np.int64), size) < first if first else bloom.contains(only, doc[a], line[a]))
     i, j = a[take], b[take]
-    more = np.repeat(size, size)[take] > first if only is None else np.zeros(len(take), bool)
+    more = np.repeat(size, size)[take] > first if first else np.zeros(len(take), bool)
     m = len(take)
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.full(m, PAIR, np.int32)), *(pa.array(x.astype(np.int64)) for x in (doc[i], line[i], doc[j], line[j])), pa.array(more), pa.array(g[take]), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary())],
@@ -490,18 +528,22 @@ def _propose(own: Postings, num: int, den: int, first: int, only: np.ndarray | N
         yield _blob(LIST, None, own.taken(np.isin(token, np.unique(token[i[more]]))).packed())
 
 
-def _again(batches: Iterable[pa.RecordBatch], num: int, den: int, only: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """All pairs of the lines that the filter ``only`` holds, from kept lists."""
+def _every(batches: Iterable[pa.RecordBatch], num: int, den: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """All pairs of the lines that the filter ``only`` holds: those found, and those that kept lists hold."""
     for batch in batches:
-        for data in batch.column("lists").to_pylist():
-            yield from _propose(Postings.unpacked(data), num, den, 0, only)
+        pairs = batch.filter(pc.equal(batch.column("kind"), PAIR)).select(list(COLUMNS))
+        yield pa.RecordBatch.from_arrays(pairs.columns, schema=_LONGS).filter(pa.array(bloom.contains(only, *(np.asarray(pairs.column(c)) for c in COLUMNS[:2]))))
+        for data in batch.filter(pc.equal(batch.column("kind"), LIST)).column("lists").to_pylist():
+            yield from (x.select(list(COLUMNS)) for x in _propose(Postings.unpacked(data), num, den, 0, only))
 
 
 def _meet(batches: Iterable[pa.RecordBatch], num: int, den: int, first: int, tile: int) -> Iterator[pa.RecordBatch]:
     for _, held in X.runs(batches):
         by: dict[int, list] = {}
-        for *_, wide, payload in held:
-            by.setdefault(wide, []).append(X.unpack(payload))
+        for *_, payload in held:
+            wides, *arrays = X.unpack(payload)
+            for k, wide in enumerate(wides.tolist()):
+                by.setdefault(wide, []).append(arrays[6 * k : 6 * k + 6])
         del held
         lists = {}
         for wide in sorted(by):
@@ -519,7 +561,7 @@ def _meet(batches: Iterable[pa.RecordBatch], num: int, den: int, first: int, til
             if (more := lists.get(2 * wide)) is not None:
                 fields = [np.concatenate([getattr(own, f), _fold(more.bits, wide) if f == "bits" else getattr(more, f)]) for f in own.FIELDS[:-1]]
                 both = Postings(*fields, np.concatenate([np.zeros(len(own.token), np.int8), np.ones(len(more.token), np.int8)]))
-                size, border = both.n.astype(np.int64), 32 * wide
+                size, border = both.n.astype(np.int64), BITS * wide
                 every.append(both.taken((size * den >= num * border) & (size * num <= den * border)))
             for x in every:
                 short, pieces = _tiled(x.shared().ordered(), num, den, tile)
@@ -536,26 +578,23 @@ def _tiles(batches: Iterable[pa.RecordBatch], num: int, den: int, first: int) ->
 # 5. and 6. verification
 
 
-def _sets_in(batches: Iterable[pa.RecordBatch], bits: np.ndarray | None) -> Iterator[tuple]:
+def _sets_in(batches: Iterable[pa.RecordBatch], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """The sets of the lines that the filter lets through."""
-    for batch in batches:
-        for payload in batch.column("payload").to_pylist():
-            sets = Sets.of(X.unpack(payload))
-            if bits is not None:
-                sets = sets.taken(np.flatnonzero(bloom.contains(bits, sets.doc, sets.line)))
-            doc, line, _, rare, hashes, ranks = sets.arrays()
-            a, b = np.cumsum(rare, dtype=np.int64), np.cumsum(sets.n - rare, dtype=np.int64)
-            for k in range(len(sets)):
-                x, y = int(a[k] - rare[k]), int(b[k] - (sets.n[k] - rare[k]))
-                yield int(doc[k]), int(line[k]), hashes[x : a[k]].tobytes(), ranks[y : b[k]].tobytes()
+    for sets in _packed_sets(batches):
+        if bits is not None:
+            sets = sets.taken(np.flatnonzero(bloom.contains(bits, sets.doc, sets.line)))
+        doc, line, _, rare, hashes, ranks = sets.arrays()
+        columns = [pa.array(doc, pa.int64()), pa.array(line, pa.int64())]
+        for n, data in ((rare.astype(np.int64) * 8, hashes), ((sets.n - rare) * 2, ranks)):
+            columns.append(pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.cumsum([0, *n]).astype(np.int32)), pa.py_buffer(data.tobytes())]))
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "rare", "often"])
 
 
 def _sets_of(kept: DataFrame, pairs: DataFrame) -> DataFrame:
     """``doc_id, line, rare, often``: the token sets of all lines in ``pairs``, and of some others."""
     refs = pairs.select("doc_id", "line").unionAll(pairs.select("other_doc", "other_line"))
-    bits = kept.sparkSession.sparkContext.broadcast(bloom.build(refs))  # of bounded size
-    kind = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("rare", pa.binary()), ("often", pa.binary())])
-    return kept.where(F.col("kind") == SETS).mapInArrow(lambda it: X.rows(_sets_in(it, bits.value), kind), "doc_id long, line long, rare binary, often binary")
+    bits = kept.sparkSession.sparkContext.broadcast(bloom.build(refs, 2 * pairs.count()))  # of bounded size
+    return kept.where(F.col("kind") == SETS).mapInArrow(lambda it: _sets_in(it, bits.value), "doc_id long, line long, rare binary, often binary")
 
 
 def _similar(batch: pa.RecordBatch, num: int, den: int) -> np.ndarray:
@@ -594,7 +633,7 @@ def later_matches(docs: DataFrame, num: int = 75, den: int = 100, least: int = 5
     p, line = partitions(spark), ["doc_id", "line"]
     count = 4 * p
     order = spark.sparkContext.broadcast(frequent_words(docs))  # at most HEAD words
-    met = X.routed(docs.mapInArrow(lambda it: X.rows(_line_sets(it, *order.value, least, count)), X.ENVELOPE), p)
+    met = X.routed(docs.mapInArrow(lambda it: X.rows(_line_sets(it, order.value, least, count)), X.ENVELOPE), p)
     kept = materialize(met.mapInArrow(lambda it: X.rows(_collapse(it), _KEPT), KEPT))
     del met
     reclaim(spark)
@@ -611,26 +650,19 @@ def later_matches(docs: DataFrame, num: int = 75, den: int = 100, least: int = 5
         found = found.unionAll(tables[-1])
     maybe = found.where(F.col("kind") == PAIR)
     # the most similar candidate first, all others only of lines that it leaves
-    best = maybe.groupBy(*line).agg(F.min(F.struct("gap", "other_doc", "other_line")).alias("o"), F.max("more").alias("more"))
-    best = materialize(best.select(*line, "o.other_doc", "o.other_line", "more"))
+    best = maybe.groupBy(*line).agg(F.min(F.struct("gap", "other_doc", "other_line")).alias("o"))
+    best = materialize(best.select(*line, "o.other_doc", "o.other_line"))
     tables.append(best)
     if not best.isEmpty():
         good = good.unionAll(verified := _verified(_sets_of(kept, best), best, num, den))
-        left = materialize(best.join(verified.select(*line), line, "left_anti"))
+        left = materialize(best.select(*line).join(verified.select(*line), line, "left_anti"))
         tables += [verified, left]
         if not left.isEmpty():
-            others = maybe.where(bloom.maybe_in(left.select(*line), *line)).select(*COLUMNS).distinct()
-            others = materialize(others.join(left.select(*line).distinct(), line, "left_semi").join(left, list(COLUMNS), "left_anti"))
+            asked = spark.sparkContext.broadcast(bloom.build(left))  # it lets some others propose too
+            every = found.where(F.col("kind") != PIECE).mapInArrow(lambda it: _every(it, num, den, asked.value), LONGS)
+            others = materialize(every.distinct())
             good = good.unionAll(verified := _verified(_sets_of(kept, others), others, num, den))
-            flags = maybe.where("more").where(bloom.maybe_in(left.select(*line), *line)).select(*line).distinct()
-            rest = materialize(flags.join(left.select(*line).distinct(), line, "left_semi").join(verified.select(*line).distinct(), line, "left_anti"))
-            tables += [others, verified, rest]
-            if not rest.isEmpty():
-                asked = spark.sparkContext.broadcast(bloom.build(rest))  # it lets some others propose too
-                every = found.where(F.col("kind") == LIST).select("lists").mapInArrow(lambda it: _again(it, num, den, asked.value), FOUND)
-                fresh = materialize(every.select(*COLUMNS).distinct().join(rest, line, "left_semi").join(others, list(COLUMNS), "left_anti"))
-                good = good.unionAll(verified := _verified(_sets_of(kept, fresh), fresh, num, den))
-                tables += [fresh, verified]
+            tables += [others, verified]
     first_of = good.groupBy(*line).agg(F.min(F.struct("other_doc", "other_line")).alias("o"))
     out = materialize(first_of.select(*line, "o.other_doc", "o.other_line"))
     discard(*tables)
