@@ -63,13 +63,14 @@ BINS = 16
 FREQUENT, RANK = U(1 << 63), U(40)
 #: Kinds of rows: sums of a task, frequent words, distinct sets, lines equal to an earlier one.
 HIST, WORDS, SETS, SURE = range(4)
-#: Kinds of found rows: pairs, kept lists, pieces of long lists.
+#: Kinds of found rows: pairs, kept lists, pieces of long lists; pairs tested at once and held by a task.
 PAIR, LIST, PIECE = range(3)
+STEP, HELD = 400_000, 400_000
 COLUMNS = ("doc_id", "line", "other_doc", "other_line")
 LONGS = ", ".join(f"{c} long" for c in COLUMNS)
 _LONGS = pa.schema([(c, pa.int64()) for c in COLUMNS])
-FOUND = f"kind int, {LONGS}, more boolean, gap long, tiles array<long>, lists binary"
-_FOUND = pa.schema([("kind", pa.int32()), *_LONGS, ("more", pa.bool_()), ("gap", pa.int64()), ("tiles", pa.list_(pa.int64())), ("lists", pa.binary())])
+FOUND = "kind int, route long, tiles array<long>, payload binary"
+_FOUND = pa.schema([("kind", pa.int32()), ("route", pa.int64()), ("tiles", pa.list_(pa.int64())), ("payload", pa.binary())])
 KEPT = "kind int, payload binary"
 _KEPT = pa.schema([("kind", pa.int32()), ("payload", pa.binary())])
 _ONE, _TWO = U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)
@@ -353,7 +354,7 @@ def _collapse(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
 def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for payload in batch.column("payload").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in X.unpack(payload)], schema=_LONGS)
+            yield _longs(*X.unpack(payload))
 
 
 # 3. and 4. candidates
@@ -443,7 +444,27 @@ def _joint(token: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.cumsum(step) * (1 << 32) + np.minimum(n, (1 << 32) - 1)
 
 
-def _tiled(own: Postings, num: int, den: int, tile: int) -> tuple[Postings, Iterator[pa.RecordBatch]]:
+class Pairs:
+    """Candidates and other rows on their way out of a task; pairs go packed by hash of the later line."""
+
+    def __init__(self, count: int) -> None:
+        self.count, self.held, self.size = count, [], 0
+
+    def add(self, pairs: tuple[np.ndarray, ...]) -> Iterator[tuple]:
+        self.held.append(pairs)
+        self.size += len(pairs[0])
+        if self.size > HELD:
+            yield from self.sent()
+
+    def sent(self) -> Iterator[tuple]:
+        if self.size:
+            doc, line, *rest = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            self.held, self.size = [], 0
+            for r, part in X.split(X.bucket_of(mix(mix(doc.view(U)) + line.astype(U)), self.count), self.count, doc, line, *rest):
+                yield PAIR, r, None, X.pack(*part, level=1)
+
+
+def _tiled(own: Postings, num: int, den: int, tile: int) -> tuple[Postings, Iterator[tuple]]:
     """Postings without those of long lists, and pieces of these with the tiles that each is part of."""
     start = np.flatnonzero(np.concatenate(([True], own.token[1:] != own.token[:-1])))
     size = np.diff(np.append(start, len(own.token)))
@@ -454,9 +475,8 @@ def _tiled(own: Postings, num: int, den: int, tile: int) -> tuple[Postings, Iter
     pieces = []
     for a, m in zip(start[long].tolist(), size[long].tolist(), strict=True):
         edges = [*range(a, a + m, tile // 2), a + m]
-        token = own.token[a : a + 1]
         number = np.arange(len(edges), dtype=U)
-        seed = mix(token + U(own.bits.shape[1]))
+        seed = mix(own.token[a : a + 1] + U(own.bits.shape[1]))
         name = lambda i, j: int(mix(mix(seed + number[i : i + 1]) + number[j : j + 1])[0].astype(np.int64))  # noqa: B023, E731
         for k in range(len(edges) - 1):
             # a piece meets itself and later ones whose least n is not too large
@@ -465,79 +485,65 @@ def _tiled(own: Postings, num: int, den: int, tile: int) -> tuple[Postings, Iter
             before = [i for i in range(k) if size_of[edges[k]] * num <= size_of[edges[i + 1] - 1] * den]
             pieces += [(edges[k], edges[k + 1], side, tiles) for side, tiles in ((0, [name(k, j) for j in reach]), (1, [name(i, k) for i in before])) if tiles]
 
-    def rows() -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
         for a, b, side, tiles in pieces:
             part = own.taken(np.arange(a, b))
-            if side == 2 or (part.side == 2).all():
-                part.side = np.where(part.side == 2, side, part.side).astype(np.int8)
-            yield _blob(PIECE, tiles, part.packed())
+            part.side = np.where(part.side == 2, side, part.side).astype(np.int8)
+            yield PIECE, 0, tiles, part.packed()
 
     return own.taken(~np.isin(own.token, own.token[start[long]])), rows()
 
 
-def _blob(kind: int, tiles: list[int] | None, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((kind, *(None,) * 6, tiles, data), _FOUND, strict=True)], schema=_FOUND)
-
-
-def _propose(own: Postings, num: int, den: int, first: int, only: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Pairs that pass the filters, and the lists of lines that had more than ``first``; with 0, all pairs of later lines that the filter ``only`` holds."""
+def candidates(own: Postings, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places (later line, earlier line) that pass the filters, and their bitmaps' distance; by later line and distance."""
     token, bits, n, pos, doc, line, side = (getattr(own, f) for f in own.FIELDS)
     n, pos = n.astype(np.int64), pos.astype(np.int64)
-    later, earlier, gap = [], [], []
-
-    def test(i: np.ndarray, j: np.ndarray) -> None:
-        over = need(n[i], n[j], num, den)
-        ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= over) & ((side[i] != side[j]) | (side[i] == 2))
-        i, j, over = i[ok], j[ok], over[ok]
+    # the most tokens that a partner may have, for those left after the shared one to suffice
+    most = (num + den) * (n - pos) // num - n
+    # n rises within a list: partners of i end where the length filter or the positional filter does
+    end = np.searchsorted(token, token, side="right")
+    reach = np.minimum(end, np.searchsorted(_joint(token, n), _joint(token, np.clip(np.minimum(den * n // num, most), 0, None)), side="right"))
+    width = np.maximum(reach - np.arange(len(token)) - 1, 0)
+    cut = np.cumsum(width)
+    later, earlier, gap = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a = 0
+    while a < len(token):
+        b = max(a + 1, int(np.searchsorted(cut, (cut[a - 1] if a else 0) + STEP, side="right")))
+        i = np.repeat(np.arange(a, b), width[a:b])
+        j = spread(np.arange(a + 1, b + 1), width[a:b])
+        a = b
+        ok = n[i] <= most[j]
+        i, j = i[ok], j[ok]
+        ok = ((side[i] != side[j]) | (side[i] == 2)) & ((doc[i] != doc[j]) | (line[i] != line[j]))
+        i, j = i[ok], j[ok]
         far = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-        ok = (far <= n[i] + n[j] - 2 * over) & ((doc[i] != doc[j]) | (line[i] != line[j]))
+        ok = far <= n[i] + n[j] - 2 * need(n[i], n[j], num, den)
         i, j, far = i[ok], j[ok], far[ok]
-        if len(i):
-            swap = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
-            later.append(np.where(swap, i, j))
-            earlier.append(np.where(swap, j, i))
-            gap.append(far)
-
-    # n rises within a list: partners of i end where the length filter does
-    group_end = np.searchsorted(token, token, side="right")
-    reach = np.minimum(group_end, np.searchsorted(_joint(token, n), _joint(token, den * n // num), side="right")) if len(token) else group_end
-    width = reach - np.arange(len(token)) - 1
-    live, d = np.flatnonzero(width > 0), 1
-    while len(live) and d <= 64:
-        test(live, live + d)
-        d += 1
-        live = live[width[live] >= d]
-    for i in live.tolist():
-        test(np.full(int(width[i]) - 64, i), np.arange(i + 65, i + 1 + int(width[i])))
-    if not later:
+        swap = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
+        later.append(np.where(swap, i, j))
+        earlier.append(np.where(swap, j, i))
+        gap.append(far)
+    later, earlier, gap = np.concatenate(later), np.concatenate(earlier), np.concatenate(gap)
+    order = np.lexsort((gap, later))
+    return later[order], earlier[order], gap[order]
+
+
+def _propose(own: Postings, num: int, den: int, first: int, out: Pairs) -> Iterator[tuple]:
+    """The first candidates of each line, and the lists of lines that had more."""
+    if not len(own.token):
         return
-    a, b, g = np.concatenate(later), np.concatenate(earlier), np.concatenate(gap)
-    order = np.lexsort((g, a))
-    a, b, g = a[order], b[order], g[order]
-    start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+    a, b, gap = candidates(own, num, den)
+    start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(a)))
-    take = np.flatnonzero(spread(np.zeros(len(size), np.int64), size) < first if first else bloom.contains(only, doc[a], line[a]))
-    i, j = a[take], b[take]
-    more = np.repeat(size, size)[take] > first if first else np.zeros(len(take), bool)
-    m = len(take)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(m, PAIR, np.int32)), *(pa.array(x.astype(np.int64)) for x in (doc[i], line[i], doc[j], line[j])), pa.array(more), pa.array(g[take]), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary())],
-        schema=_FOUND,
-    )
-    if more.any():
-        yield _blob(LIST, None, own.taken(np.isin(token, np.unique(token[i[more]]))).packed())
-
+    take = spread(np.zeros(len(size), np.int64), size) < first
+    yield from out.add((own.doc[a[take]], own.line[a[take]], own.doc[b[take]], own.line[b[take]], gap[take].astype(np.uint32)))
+    more = a[start[size > first]]
+    if len(more):
+        yield LIST, 0, None, own.taken(np.isin(own.token, np.unique(own.token[more]))).packed()
 
-def _every(batches: Iterable[pa.RecordBatch], num: int, den: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """All pairs of the lines that the filter ``only`` holds: those found, and those that kept lists hold."""
-    for batch in batches:
-        pairs = batch.filter(pc.equal(batch.column("kind"), PAIR)).select(list(COLUMNS))
-        yield pa.RecordBatch.from_arrays(pairs.columns, schema=_LONGS).filter(pa.array(bloom.contains(only, *(np.asarray(pairs.column(c)) for c in COLUMNS[:2]))))
-        for data in batch.filter(pc.equal(batch.column("kind"), LIST)).column("lists").to_pylist():
-            yield from (x.select(list(COLUMNS)) for x in _propose(Postings.unpacked(data), num, den, 0, only))
 
-
-def _meet(batches: Iterable[pa.RecordBatch], num: int, den: int, first: int, tile: int) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterable[pa.RecordBatch], num: int, den: int, first: int, tile: int, count: int) -> Iterator[tuple]:
+    out = Pairs(count)
     for _, held in X.runs(batches):
         by: dict[int, list] = {}
         for *_, payload in held:
@@ -566,13 +572,44 @@ def _meet(batches: Iterable[pa.RecordBatch], num: int, den: int, first: int, til
             for x in every:
                 short, pieces = _tiled(x.shared().ordered(), num, den, tile)
                 yield from pieces
-                yield from _propose(short, num, den, first)
+                yield from _propose(short, num, den, first, out)
+    yield from out.sent()
 
 
-def _tiles(batches: Iterable[pa.RecordBatch], num: int, den: int, first: int) -> Iterator[pa.RecordBatch]:
+def _tiles(batches: Iterable[pa.RecordBatch], num: int, den: int, first: int, count: int) -> Iterator[tuple]:
+    out = Pairs(count)
     for _, held in X.runs(batches, "tile"):
         parts = [Postings.unpacked(data) for _, data in held]
-        yield from _propose(Postings(*(np.concatenate([getattr(x, f) for x in parts]) for f in Postings.FIELDS)).shared().ordered(), num, den, first)
+        yield from _propose(Postings(*(np.concatenate([getattr(x, f) for x in parts]) for f in Postings.FIELDS)).shared().ordered(), num, den, first, out)
+    yield from out.sent()
+
+
+def _best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidate of least distance of each line."""
+    for _, held in X.runs(batches):
+        doc, line, other_doc, other_line, gap = (np.concatenate(x) for x in zip(*(X.unpack(p) for _, p in held), strict=True))
+        order = np.lexsort((other_line, other_doc, gap, line, doc))
+        doc, line = doc[order], line[order]
+        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])))
+        yield _longs(doc[new], line[new], other_doc[order][new], other_line[order][new])
+
+
+def _every(batches: Iterable[pa.RecordBatch], num: int, den: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """All pairs of the lines that the filter ``only`` holds: those found, and those that kept lists hold."""
+    for batch in batches:
+        for kind, data in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            if kind == PAIR:
+                pairs = X.unpack(data)[:4]
+            else:
+                own = Postings.unpacked(data)
+                a, b, _ = candidates(own, num, den)
+                pairs = [own.doc[a], own.line[a], own.doc[b], own.line[b]]
+            take = bloom.contains(only, *pairs[:2])
+            yield _longs(*(x[take] for x in pairs))
+
+
+def _longs(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], schema=_LONGS)
 
 
 # 5. and 6. verification
@@ -639,19 +676,18 @@ def later_matches(docs: DataFrame, num: int = 75, den: int = 100, least: int = 5
     reclaim(spark)
     sure = kept.where(F.col("kind") == SURE).mapInArrow(_unpacked, LONGS)
     sent = kept.where(F.col("kind") == SETS).mapInArrow(lambda it: X.rows(_postings(it, num, den, count)), X.ENVELOPE)
-    found = materialize(X.routed(sent, p).mapInArrow(lambda it: _meet(it, num, den, first, tile), FOUND))
+    found = materialize(X.routed(sent, p).mapInArrow(lambda it: X.rows(_meet(it, num, den, first, tile, count), _FOUND), FOUND))
     del sent
     reclaim(spark)
     tables, good = [kept, found], sure
     pieces = found.where(F.col("kind") == PIECE)
     if not pieces.isEmpty():
-        dealt = pieces.select(F.explode("tiles").alias("tile"), "lists").repartition(p, "tile").sortWithinPartitions("tile")
-        tables.append(materialize(dealt.mapInArrow(lambda it: _tiles(it, num, den, first), FOUND)))
+        dealt = pieces.select(F.explode("tiles").alias("tile"), "payload").repartition(p, "tile").sortWithinPartitions("tile")
+        tables.append(materialize(dealt.mapInArrow(lambda it: X.rows(_tiles(it, num, den, first, count), _FOUND), FOUND)))
         found = found.unionAll(tables[-1])
-    maybe = found.where(F.col("kind") == PAIR)
     # the most similar candidate first, all others only of lines that it leaves
-    best = maybe.groupBy(*line).agg(F.min(F.struct("gap", "other_doc", "other_line")).alias("o"))
-    best = materialize(best.select(*line, "o.other_doc", "o.other_line"))
+    pairs = found.where(F.col("kind") == PAIR).select("route", "payload").repartition(p, "route").sortWithinPartitions("route")
+    best = materialize(pairs.mapInArrow(_best, LONGS))
     tables.append(best)
     if not best.isEmpty():
         good = good.unionAll(verified := _verified(_sets_of(kept, best), best, num, den))
