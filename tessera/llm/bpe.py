@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from tessera.llm import exchange as X
 from tessera.llm.session import partitions, prepare, stable
-from tessera.llm.tokens import _IS_SEP, U, chunks, hash_spans, mix, raw
+from tessera.llm.tokens import U, chunks, hash_spans, mix, raw, separators
 
 BLOCK, REPLY = 0, 1
 #: Bytes of text in a block.
@@ -74,7 +74,7 @@ def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def word_starts(buf: np.ndarray, begins: np.ndarray, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """Where words begin and end; a newline stands after each text."""
-    space = _IS_SEP[buf]
+    space = separators(buf)
     before, after = np.empty_like(space), np.empty_like(space)
     before[0], before[1:] = True, space[:-1]
     after[-1], after[:-1] = True, space[1:]

@@ -14,9 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-#: Bytes hashed at once; a window of 64-bit values stays in cache.
-WINDOW = 1 << 17
+#: Powers that are kept at least; bytes up to which a word is hashed along with others.
+WINDOW, SHORT = 1 << 17, 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,18 +27,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _byte_values(lower: bool) -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-    if lower:
-        values[65:91] = values[97:123]
-    return values
-
-
-_VALUES = {True: _byte_values(True), False: _byte_values(False)}
-_IS_SEP = np.zeros(256, dtype=bool)
-_IS_SEP[list(SEPARATORS)] = True
 _BASE = U(0xD6E8FEB86659FD93)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
+_SIZE = U(0x9E3779B97F4A7C15)
+#: The lowest bytes of a 64-bit value, by their number.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -53,27 +45,41 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def separators(buf: np.ndarray) -> np.ndarray:
+    return (buf == 0x20) | (buf - np.uint8(0x09) < 5)
+
+
+def lowered(buf: np.ndarray) -> np.ndarray:
+    return buf + ((buf - np.uint8(0x41) < 26).view(np.uint8) << np.uint8(5))
+
+
 def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte of each word."""
     edge = np.empty(len(buf) + 2, dtype=bool)
     edge[0] = edge[-1] = True
-    edge[1:-1] = _IS_SEP[buf]
+    edge[1:-1] = separators(buf)
     at = np.flatnonzero(edge[1:] != edge[:-1])
     return at[0::2], at[1::2]
 
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    out = np.empty(len(starts), dtype=U)
-    values, a = _VALUES[lower], 0
-    while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + WINDOW, side="right")))
-        s, e = starts[a:b] - starts[a], ends[a:b] - starts[a]
-        up, down = powers(int(e[-1]) + 1)
-        sums = np.zeros(int(e[-1]) + 1, dtype=U)
-        np.cumsum(values[buf[starts[a] : ends[b - 1]]] * up[: int(e[-1])], out=sums[1:])
-        h = (sums[e] - sums[s]) * down[s]
-        out[a:b] = mix(h + (e - s).astype(U) * U(0x9E3779B97F4A7C15))
-        a = b
+    """A hash of each span's bytes: eight bytes at a time for all spans that have them, and at once for long ones."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = lowered(buf) if lower else buf
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = mix((eight[starts] & _LOWEST[np.minimum(size, 8)]) + size.astype(U) * _SIZE)
+    more, at = np.flatnonzero(size > 8), 8
+    while len(more) and at < SHORT:
+        left = size[more] - at
+        out[more] = mix((out[more] ^ (eight[starts[more] + at] & _LOWEST[np.minimum(left, 8)])) * _BASE)
+        at += 8
+        more = more[left > 8]
+    for i in more.tolist():
+        whole = np.zeros(-(-(int(size[i]) - at) // 8) * 8, np.uint8)
+        whole[: size[i] - at] = padded[starts[i] + at : ends[i]]
+        parts = whole.view("<u8").astype(U)
+        out[i] = mix(out[i : i + 1] ^ mix(parts + np.arange(1, len(parts) + 1, dtype=U) * _SIZE).sum(dtype=U))[0]
     return out
 
 
@@ -90,10 +96,15 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.where(np.asarray(column.is_null()), 0, sizes)
     begins = np.zeros(n + 1, np.int64)
     np.cumsum(sizes + 1, out=begins[1:])
-    buf = np.full(int(begins[-1]), 0x0A, dtype=np.uint8)
-    for i in range(n):
-        if sizes[i]:
+    buf = np.empty(int(begins[-1]), dtype=np.uint8)
+    buf[begins[1:] - 1] = 0x0A
+    if column.null_count or int(sizes.sum()) != int(offsets[-1] - offsets[0]):
+        for i in np.flatnonzero(sizes).tolist():
             buf[begins[i] : begins[i] + sizes[i]] = data[offsets[i] : offsets[i] + sizes[i]]
+    else:  # texts stand one after the other: all but the places of newlines, in order
+        text = np.ones(len(buf), bool)
+        text[begins[1:] - 1] = False
+        buf[text] = data[offsets[0] : offsets[-1]]
     return buf, begins
 
 
