@@ -10,23 +10,26 @@ least T = ceil(threshold * n) of them, which drives every step:
    length of their lists. Documents with fewer than T of these are settled.
 2. Documents with equal shingle sets become one representative; the index step
    runs again over representatives only.
-3. *Blocks.* Of T-1 longest lists of a document no partner can be found in
-   those alone, so partners always meet in a shorter one. Documents that meet
-   in short lists form blocks.
-4. *Search.* Blocks are cut into tiles of bounded size. In a tile each document
-   queries an inverted index: the short lists are merged and counted, documents
-   that reach T - L go on to binary probes of the L long lists, and those that
-   reach the required overlap are verified exactly. Documents already in one
-   component are not compared again, so a tile returns a spanning forest of its
-   links, never all pairs.
-   First every tile is searched within itself, then one document for each found
-   component and tile, and last the documents outside their block's largest
-   component are searched against the whole block. A block whose documents all
-   linked by then needs no further tile.
+3. *Lists.* Of T-1 longest lists of a document no partner can be found in
+   those alone, so partners always meet in a shorter one. Lists that the same
+   documents share count once.
+4. *Search.* In a tile each document queries an inverted index: the short lists
+   are merged and counted, documents that reach T - L go on to binary probes of
+   the L long lists, and those that reach the required overlap are verified
+   exactly. Documents already in one component are not compared again, so a tile
+   returns a spanning forest of its links, never all pairs.
+   First each document meets those with the same smallest document in their
+   lists, in tiles of bounded size that all hold this document. Then every list
+   that still holds several components is searched: its documents outside the
+   list's largest component query all of the list, in pairs of pieces of bounded
+   size if it is long. What is copied is bounded by the lists, whatever chains
+   of lists connect.
 
 Nulls, empty texts and texts without words have an empty set and link with
-nothing. Repeated doc_ids count as one document each time they occur with the
-same text. Columns besides ``doc_id`` and ``text`` are ignored.
+nothing; so do rows without doc_id, whose component is null. Rows that share a
+doc_id are one document, which links by any of its texts. An empty table gives
+no rows; texts may be of any length; ties do not arise, since all links count.
+Columns besides ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -88,12 +91,13 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum(dtype=U).astype(np.int64)), int(mix(s ^ U(0xA0761D6478BD642F)).sum(dtype=U).astype(np.int64))
 
 
-def _send(ids: list[int], sets: list[np.ndarray], batch: int, count: int) -> Iterator[tuple]:
+def _send(ids: list[int | None], sets: list[np.ndarray], batch: int, count: int) -> Iterator[tuple]:
     sizes = np.array([len(s) for s in sets], dtype=np.uint32)
-    flat = np.concatenate(sets) if len(sets) else np.zeros(0, U)
-    doc = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+    known = np.array([i is not None for i in ids], dtype=bool)
+    flat = np.concatenate([s for s, k in zip(sets, known, strict=True) if k] or [np.zeros(0, U)])
+    doc = np.repeat(np.arange(len(sets), dtype=np.uint32)[known], sizes[known])
     sig = np.array([_signature(s) for s in sets], dtype=np.int64).reshape(-1, 2)
-    yield count + X.route_of(batch, count), batch, BLOCK, X.pack(np.array(ids, dtype=np.int64), sizes, sig[:, 0], sig[:, 1])
+    yield count + X.route_of(batch, count), batch, BLOCK, X.pack(np.array([i or 0 for i in ids], dtype=np.int64), known, sizes, sig[:, 0], sig[:, 1])
     for b, (h, d) in X.split(X.bucket_of(flat, count), count, flat, doc):
         docs, per = np.unique(d, return_counts=True)
         yield b, batch, BLOCK, X.pack(docs, per.astype(np.uint32), h)
@@ -134,7 +138,7 @@ def _assemble(held: list[tuple], num: int, den: int) -> Iterator[tuple]:
             blocks[batch][0] = X.unpack(payload)
         else:
             blocks[batch][1].append(X.unpack(payload))
-    for (ids, sizes, s1, s2), replies in blocks.values():
+    for (ids, known, sizes, s1, s2), replies in blocks.values():
         got = np.zeros(len(ids), dtype=np.int64)
         for docs, per, _, _ in replies:
             np.add.at(got, docs, per)
@@ -150,7 +154,7 @@ def _assemble(held: list[tuple], num: int, den: int) -> Iterator[tuple]:
             edges = np.searchsorted(doc, np.arange(len(ids) + 1))
             cut = {i: (h[edges[i] : edges[i + 1]], df[edges[i] : edges[i + 1]]) for i in np.flatnonzero(live)}
         for i in range(len(ids)):
-            yield int(ids[i]), int(sizes[i]), int(s1[i]), int(s2[i]), X.pack(*cut[i]) if i in cut else None
+            yield int(ids[i]) if known[i] else None, int(sizes[i]), int(s1[i]), int(s2[i]), X.pack(*cut[i]) if i in cut else None
 
 
 def _profile(envelopes: DataFrame, count: int, num: int, den: int) -> DataFrame:
@@ -192,8 +196,8 @@ def _again(reps: DataFrame, num: int, den: int) -> DataFrame:
                 sets = [np.sort(X.unpack(x)[0]) for x in batch.column("shared").to_pylist()]
                 it = _send(batch.column("doc_id").to_pylist(), sets, b := next(number), count)
                 _, _, _, head = next(it)
-                ids, _, s1, s2 = X.unpack(head)
-                yield count + X.route_of(b, count), b, BLOCK, X.pack(ids, np.array(batch.column("n").to_pylist(), dtype=np.uint32), s1, s2)
+                ids, known, _, s1, s2 = X.unpack(head)
+                yield count + X.route_of(b, count), b, BLOCK, X.pack(ids, known, np.array(batch.column("n").to_pylist(), dtype=np.uint32), s1, s2)
                 yield from it
 
         return X.rows(items())
@@ -298,81 +302,74 @@ def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("tile", "side", "doc_id", "component", "n", "shared").repartition(p, "tile").sortWithinPartitions("tile", "doc_id").mapInArrow(tile, "a long, b long")
 
 
-def _labelled(docs: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links)
-    return docs.drop("component").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-
-
 def link_components(reps: DataFrame, num: int, den: int, tile: int = TILE) -> DataFrame:
     """``reps(doc_id, n, shared)``: edges ``(a, b)`` that connect exactly the documents linked directly or through others."""
-    postings = reps.mapInArrow(lambda it: _short_lists(it, num, den), "h long, doc_id long")
-    postings = materialize(postings)
-    heads = postings.groupBy("h").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    blocks = components(postings.join(heads, "h").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct())
+    rows_of = F.count(F.lit(1))
+    postings = materialize(reps.mapInArrow(lambda it: _short_lists(it, num, den), "h long, doc_id long"))
+    marks = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
+    lists = postings.groupBy("h").agg(F.min("doc_id").alias("head"), rows_of.alias("size"), *marks).where("size > 1")
+    lists = lists.groupBy("size", "mark0", "mark1", "head").agg(F.min("h").alias("h"))
+    members = materialize(postings.join(lists.select("h", "head", "size"), "h"))
     discard(postings)
-    docs = reps.join(blocks.select(F.col("id").alias("doc_id"), F.col("component").alias("block")), "doc_id")
-    # a number for each document within its block, by parts so that no block has to pass through one task
-    docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(4096)))
-    sizes = docs.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
-    docs = docs.join(sizes, "block").withColumn("tiles", F.ceil(F.col("size") / F.lit(tile)).cast("long"))
-    docs = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("tiles"))).withColumn("component", F.col("doc_id"))
-    docs = materialize(docs.select("block", "tiles", "slot", "doc_id", "component", "n", "shared"))
-
-    key = lambda *c: F.xxhash64(*c)
-    inner = materialize(_search(docs.withColumns({"tile": key("block", "slot"), "side": F.lit(2)}), num, den))
-    hot = docs.where("tiles > 1")
-    if hot.isEmpty():
-        return inner
-    # one document of each component and tile stands for it in the second search
-    hot = materialize(_labelled(hot, inner.join(hot.select(F.col("doc_id").alias("a")), "a")))
-    stand = hot.join(hot.groupBy("block", "slot", "component").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "doc_id")
-    spread = stand.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(tile))).cast("long").alias("groups"))
-    second = stand.join(spread, "block").withColumns({"tile": key("block", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("groups"))), "side": F.lit(2)})
-    outer = materialize(_search(second, num, den))
-    known = inner.unionAll(outer)
-    hot = materialize(_labelled(hot, known.join(hot.select(F.col("doc_id").alias("a")), "a")))
-    # the rest of each block against all of it
-    per = hot.groupBy("block", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = per.groupBy("block").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    left = materialize(hot.join(main.drop("kinds"), "block"))
-    if left.isEmpty():
-        return known
-    rest = left.where("component <> main")
-    several = rest.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("long").alias("groups"))
-    ask = (
-        rest.join(several, "block")
-        .withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.col("groups")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-        .withColumns({"tile": key("block", "group", "other"), "side": F.lit(0)})
-    )
-    among = (
-        left.join(several, "block")
-        .withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
-        .withColumns({"tile": key("block", "group", "slot"), "side": F.lit(1)})
-    )
+    # around the smallest document of any of its lists
+    home = members.groupBy("doc_id").agg(F.min("head").alias("block"))
+    docs = reps.select("doc_id", "n", "shared").join(home, "doc_id")
+    sizes = home.groupBy("block").agg(F.ceil(rows_of / F.lit(tile)).cast("long").alias("tiles"))
     cols = ["tile", "side", "doc_id", "component", "n", "shared"]
-    return known.unionAll(materialize(_search(ask.select(cols).unionAll(among.select(cols)), num, den)))
+    side, alone = F.lit(2).alias("side"), F.col("doc_id").alias("component")
+    own = docs.join(sizes, "block").select(F.xxhash64("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("tiles"))).alias("tile"), side, "doc_id", alone, "n", "shared")
+    heads = reps.join(sizes.withColumnRenamed("block", "doc_id"), "doc_id").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    heads = heads.select(F.xxhash64("doc_id", "slot").alias("tile"), side, "doc_id", alone, "n", "shared")
+    inner = materialize(_search(own.unionAll(heads), num, den))
+    # lists that still hold several components
+    found = components(inner).withColumnRenamed("id", "doc_id")
+    marked = members.join(found, "doc_id", "left").select("h", "size", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    per = marked.groupBy("h", "component").agg(rows_of.alias("c"))
+    main = per.groupBy("h").agg(F.max_by("component", F.struct("c", "component")).alias("main"), rows_of.alias("kinds")).where("kinds > 1")
+    rest = materialize(marked.join(main.drop("kinds"), "h"))
+    discard(members)
+    if rest.isEmpty():
+        return inner
+    pieces = F.ceil(F.col("size") / F.lit(tile)).cast("long")
+    rest = rest.withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit(11)), pieces)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    rest = rest.withColumns({"tile": F.xxhash64("h", F.least("piece", "other"), F.greatest("piece", "other")), "side": F.when(F.col("component") == F.col("main"), 1).otherwise(2)})
+    # pieces that hold the largest component alone have nothing to ask
+    asked = rest.groupBy("tile").agg(F.max("side").alias("most")).where("most = 2").select("tile")
+    rest = rest.join(asked, "tile").join(reps.select("doc_id", "n", "shared"), "doc_id").select(cols)
+    return inner.unionAll(materialize(_search(rest, num, den)))
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """One row ``(doc_id, n_shingles, component_id)`` for each document; documents link at ``den * overlap >= num * union``."""
+    """One row ``(doc_id, n_shingles, component_id)`` for each row; documents link at ``den * overlap >= num * union``."""
     prepare(docs.sparkSession)
     prof = materialize(profiles(stable(docs.select("doc_id", "text")), width, num, den))
+    key = ["n", "s1", "s2"]
     live = prof.where(F.col("shared").isNotNull())
-    copies = materialize(live.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
-    reps = live.join(copies.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"])
+    copies = live.groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
+    # a set's id is given once, when the table is written
+    copies = materialize(copies.withColumn("rep", F.monotonically_increasing_id()))
+    reps = live.join(copies, [*key, "doc_id"]).dropDuplicates(["rep"]).select(F.col("rep").alias("doc_id"), "n", "shared")
     again = materialize(_again(reps, num, den).where(F.col("shared").isNotNull()))
-    links = link_components(again, num, den)
-    found = components(links).select(F.col("id").alias("rep"), "component")
+    found = components(link_components(again, num, den)).withColumnRenamed("id", "rep")
     discard(again)
-    sets = copies.join(found, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    # the parts of an equal set all take its label; keys repeat, rows of the right side do not
-    joined = prof.select("doc_id", "n", "s1", "s2").join(sets, ["n", "s1", "s2"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
+    # a component's id is its smallest document
+    sets = copies.join(found, "rep", "left").withColumn("component", F.coalesce("component", -F.col("rep") - 1))
+    least = sets.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    sets = sets.join(least, "component").select(*key, "component_id")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    out = materialize(prof.select("doc_id", *key).join(sets, key, "left").select("doc_id", F.col("n").alias("n_shingles"), own))
+    discard(prof, copies)
+    # a document of several texts joins the components of all
+    several = out.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("b"), F.max("component_id").alias("c")).where("b < c")
+    several = materialize(out.join(several, "doc_id").select(F.col("component_id").alias("a"), "b"))
+    if several.isEmpty():
+        return out
+    merged = components(several).withColumnRenamed("id", "component_id")
+    return out.join(merged, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
-    """The documents whose id is the smallest of their component, columns as they were; rows that repeat an id stay together."""
+    """The documents whose id is the smallest of their component, columns as they were; rows that repeat an id stay together, rows without id stay."""
     docs = stable(docs)
     gone = materialize(jaccard_components(docs, **options).where("component_id <> doc_id").select("doc_id"))
     return bloom.without(docs, gone)
