@@ -22,8 +22,8 @@ least T = ceil(threshold * n) of them, which drives every step:
    lists, in tiles of bounded size that all hold this document. Then every list
    that still holds several components is searched: its documents outside the
    list's largest component query all of the list, in pairs of pieces of bounded
-   size if it is long. What is copied is bounded by the lists, whatever chains
-   of lists connect.
+   size if it is long. Sets are sent there only of documents whose length and
+   bitmap leave them a partner of another component in that list.
 
 Nulls, empty texts and texts without words have an empty set and link with
 nothing; so do rows without doc_id, whose component is null. Rows that share a
@@ -51,9 +51,12 @@ from tessera.llm.tokens import U, chunks, mix, words
 BLOCK, REPLY = 0, 1
 #: Documents of one side of a tile.
 TILE = 1024
+#: Documents of one side of a tile where bitmaps alone are compared.
+LIGHT = 4096
 #: Weight of a probe against a merge step in the choice of L.
 MU = 0.01
 
+BITMAP = "doc_id long, n long, m long, bits binary"
 PROFILE = "doc_id long, n long, s1 long, s2 long, shared binary"
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shared", pa.binary())])
 
@@ -286,6 +289,51 @@ def divide_skip(queries: list[tuple], index: list[tuple], num: int, den: int) ->
                 yield qid, int(ids[j])
 
 
+def _bitmaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each document the number of its shared shingles and a bitmap of them."""
+    for batch in batches:
+        sets = [X.unpack(x)[0] for x in batch.column("shared").to_pylist()]
+        bits = []
+        for h in sets:
+            out = np.zeros(64 << max(0, ceil(log2(max(len(h), 1) / 48))), bool)
+            out[(mix(h) & U(len(out) - 1)).astype(np.int64)] = True
+            bits.append(np.packbits(out).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array([len(h) for h in sets], pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n", "m", "bits"])
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    while bits.shape[1] > size:
+        bits = bits[:, : bits.shape[1] // 2] | bits[:, bits.shape[1] // 2 :]
+    return bits
+
+
+def _near(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The documents of each list that length and bitmap allow to be similar to one of another component."""
+    for _, held in X.runs(batches, "tile"):
+        _, side, h, doc, comp, n, m, bits = zip(*held, strict=True)
+        side, doc, comp, n, m = (np.array(x, np.int64) for x in (side, doc, comp, n, m))
+        width = np.array([len(x) for x in bits])
+        # bitmaps of one width stand together; rows are in order of n
+        planes = {w: np.frombuffer(b"".join(x for x in bits if len(x) == w), np.uint8).reshape(-1, w) for w in set(width.tolist())}
+        place = np.zeros(len(n), np.int64)
+        for w in planes:
+            place[width == w] = np.arange(int((width == w).sum()))
+        flag = np.zeros(len(n), bool)
+        for q in np.flatnonzero(side == 2).tolist():
+            a, b = np.searchsorted(n, -(-num * n[q] // den)), np.searchsorted(n, den * n[q] // num, side="right")
+            other = a + np.flatnonzero(comp[a:b] != comp[q])
+            for w in np.unique(width[other]).tolist():
+                at = other[width[other] == w]
+                size = min(w, int(width[q]))
+                own = _folded(planes[int(width[q])][place[q]][None], size)
+                far = np.bitwise_count(_folded(planes[w][place[at]], size) ^ own).sum(axis=1, dtype=np.int64)
+                hit = at[far <= m[at] + m[q] - 2 * -(-num * (n[at] + n[q]) // (num + den))]
+                if len(hit):
+                    flag[hit] = flag[q] = True
+        if flag.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.int64)[flag]), pa.array(doc[flag])], names=["h", "doc_id"])
+
+
 def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
     """``rows(tile, side, doc_id, component, n, shared)``: links found in each tile. Side 0 queries, 1 is searched, 2 does both."""
 
@@ -330,15 +378,24 @@ def link_components(reps: DataFrame, num: int, den: int, tile: int = TILE) -> Da
     discard(members)
     if rest.isEmpty():
         return inner
-    pieces = F.ceil(F.col("size") / F.lit(tile)).cast("long")
-    rest = rest.withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit(11)), pieces)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
-    rest = rest.withColumns({"tile": F.xxhash64("h", F.least("piece", "other"), F.greatest("piece", "other")), "side": F.when(F.col("component") == F.col("main"), 1).otherwise(2)})
-    # pieces that hold the largest component alone have nothing to ask
-    asked = rest.groupBy("tile").agg(F.max("side").alias("most")).where("most = 2").select("tile")
-    rest = rest.join(asked, "tile").join(reps.select("doc_id", "n", "shared"), "doc_id").select(cols)
+    bitmaps = materialize(reps.mapInArrow(_bitmaps, BITMAP))
+    flagged = _tiled(rest, "size", LIGHT).join(bitmaps, "doc_id").select("tile", "side", "h", "doc_id", "component", "n", "m", "bits")
+    flagged = flagged.repartition(partitions(reps.sparkSession), "tile").sortWithinPartitions("tile", "n", "doc_id").mapInArrow(lambda it: _near(it, num, den), "h long, doc_id long")
+    rest = materialize(rest.drop("size").join(flagged.distinct(), ["h", "doc_id"]))
+    if rest.isEmpty():
+        return inner
+    rest = rest.join(rest.groupBy("h").agg(rows_of.alias("size")), "h")
+    rest = _tiled(rest, "size", tile).join(reps.select("doc_id", "n", "shared"), "doc_id").select(cols)
     return inner.unionAll(materialize(_search(rest, num, den)))
 
 
+def _tiled(rows: DataFrame, size: str, tile: int) -> DataFrame:
+    """``rows(h, doc_id, component, main)`` of each list dealt to pairs of pieces of about ``tile``; those outside the largest component ask."""
+    pieces = F.ceil(F.col(size) / F.lit(tile)).cast("long")
+    out = rows.withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit(11)), pieces)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    return out.withColumns({"tile": F.xxhash64("h", F.least("piece", "other"), F.greatest("piece", "other")), "side": F.when(F.col("component") == F.col("main"), 1).otherwise(2)})
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """One row ``(doc_id, n_shingles, component_id)`` for each row; documents link at ``den * overlap >= num * union``."""
     prepare(docs.sparkSession)
