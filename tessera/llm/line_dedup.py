@@ -157,11 +157,14 @@ def words_wide(n: np.ndarray) -> np.ndarray:
 
 
 def bitmaps(key: np.ndarray, n: np.ndarray, wide: int) -> np.ndarray:
-    """One row of ``wide`` words for each run of n keys."""
+    """One row of ``wide`` words for each run of n keys: bits that an odd number of them fall on.
+
+    Keys that two sets share cancel out, so bitmaps differ in no more bits than the sets in keys.
+    """
     bit = mix(key) & U(64 * wide - 1)
     out = np.zeros(len(n) * wide, dtype=U)
     owner = np.repeat(np.arange(len(n)), n)
-    np.bitwise_or.at(out, owner * wide + (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
+    np.bitwise_xor.at(out, owner * wide + (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
     return out.reshape(-1, wide)
 
 
@@ -400,7 +403,7 @@ def _postings(batches: Iterable[pa.RecordBatch], num: int, den: int, count: int)
 def _fold(bits: np.ndarray, wide: int) -> np.ndarray:
     while bits.shape[1] > wide:
         half = bits.shape[1] // 2
-        bits = bits[:, :half] | bits[:, half:]
+        bits = bits[:, :half] ^ bits[:, half:]
     return bits
 
 

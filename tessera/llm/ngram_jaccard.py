@@ -51,8 +51,8 @@ from tessera.llm.tokens import U, chunks, mix, words
 BLOCK, REPLY = 0, 1
 #: Documents of one side of a tile.
 TILE = 1024
-#: Documents of one side of a tile where bitmaps alone are compared.
-LIGHT = 4096
+#: Documents of one side of a tile where bitmaps alone are compared; shingles to 64 bits of these.
+LIGHT, SPARSE = 4096, 24
 #: Weight of a probe against a merge step in the choice of L.
 MU = 0.01
 
@@ -290,20 +290,22 @@ def divide_skip(queries: list[tuple], index: list[tuple], num: int, den: int) ->
 
 
 def _bitmaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document the number of its shared shingles and a bitmap of them."""
+    """For each document the number of its shared shingles and a bitmap: bits that an odd number of them fall on.
+
+    Shingles that two documents share cancel out, so bitmaps differ in no more bits than the sets in shingles.
+    """
     for batch in batches:
         sets = [X.unpack(x)[0] for x in batch.column("shared").to_pylist()]
         bits = []
         for h in sets:
-            out = np.zeros(64 << max(0, ceil(log2(max(len(h), 1) / 48))), bool)
-            out[(mix(h) & U(len(out) - 1)).astype(np.int64)] = True
-            bits.append(np.packbits(out).tobytes())
+            size = 64 << max(0, ceil(log2(max(len(h), 1) / SPARSE)))
+            bits.append(np.packbits(np.bincount((mix(h) & U(size - 1)).astype(np.int64), minlength=size) & 1 > 0).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array([len(h) for h in sets], pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n", "m", "bits"])
 
 
 def _folded(bits: np.ndarray, size: int) -> np.ndarray:
     while bits.shape[1] > size:
-        bits = bits[:, : bits.shape[1] // 2] | bits[:, bits.shape[1] // 2 :]
+        bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
     return bits
 
 
