@@ -74,9 +74,17 @@ def build(rows: DataFrame, count: int | None = None) -> np.ndarray | None:
     return out.ravel()
 
 
-def maybe_in(ids: DataFrame, *columns: str) -> Column:
-    """False for rows whose ``columns`` surely match no row of ``ids``, nulls included."""
-    bits = ids.sparkSession.sparkContext.broadcast(build(ids))
+def semi(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The ``rows`` whose ``column`` is among ``ids``, and a few others by chance."""
+    bits = build(ids)
+    if bits is None:
+        return rows.join(ids, column, "left_semi")
+    return rows.where(maybe_in(ids, column, bits=bits))
+
+
+def maybe_in(ids: DataFrame, *columns: str, bits: np.ndarray | None = None) -> Column:
+    """False for rows whose ``columns`` surely match no row of ``ids``, nulls included; ``bits`` is their filter if it is made."""
+    bits = ids.sparkSession.sparkContext.broadcast(build(ids) if bits is None else bits)
     known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))
 
     @F.pandas_udf("boolean")

@@ -362,22 +362,21 @@ def link_components(reps: DataFrame, num: int, den: int, tile: int = TILE) -> Da
     members = materialize(postings.join(lists.select("h", "head", "size"), "h"))
     discard(postings)
     # around the smallest document of any of its lists
-    home = members.groupBy("doc_id").agg(F.min("head").alias("block"))
-    docs = reps.select("doc_id", "n", "shared").join(home, "doc_id")
+    home = materialize(members.groupBy("doc_id").agg(F.min("head").alias("block")))
     sizes = home.groupBy("block").agg(F.ceil(rows_of / F.lit(tile)).cast("long").alias("tiles"))
     cols = ["tile", "side", "doc_id", "component", "n", "shared"]
-    side, alone = F.lit(2).alias("side"), F.col("doc_id").alias("component")
-    own = docs.join(sizes, "block").select(F.xxhash64("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("tiles"))).alias("tile"), side, "doc_id", alone, "n", "shared")
-    heads = reps.join(sizes.withColumnRenamed("block", "doc_id"), "doc_id").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    heads = heads.select(F.xxhash64("doc_id", "slot").alias("tile"), side, "doc_id", alone, "n", "shared")
-    inner = materialize(_search(own.unionAll(heads), num, den))
+    own = home.join(sizes, "block").select("doc_id", F.xxhash64("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("tiles"))).alias("tile"))
+    slots = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("slot")
+    heads = sizes.select(F.col("block").alias("doc_id"), slots).select("doc_id", F.xxhash64("doc_id", "slot").alias("tile"))
+    around = own.unionAll(heads).join(reps.select("doc_id", "n", "shared"), "doc_id")
+    inner = materialize(_search(around.withColumns({"side": F.lit(2), "component": F.col("doc_id")}), num, den))
     # lists that still hold several components
     found = components(inner).withColumnRenamed("id", "doc_id")
     marked = members.join(found, "doc_id", "left").select("h", "size", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     per = marked.groupBy("h", "component").agg(rows_of.alias("c"))
     main = per.groupBy("h").agg(F.max_by("component", F.struct("c", "component")).alias("main"), rows_of.alias("kinds")).where("kinds > 1")
     rest = materialize(marked.join(main.drop("kinds"), "h"))
-    discard(members)
+    discard(members, home)
     if rest.isEmpty():
         return inner
     bitmaps = materialize(reps.mapInArrow(_bitmaps, BITMAP))
@@ -401,13 +400,15 @@ def _tiled(rows: DataFrame, size: str, tile: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """One row ``(doc_id, n_shingles, component_id)`` for each row; documents link at ``den * overlap >= num * union``."""
     prepare(docs.sparkSession)
-    prof = materialize(profiles(stable(docs.select("doc_id", "text")), width, num, den))
+    prof = profiles(stable(docs.select("doc_id", "text")), width, num, den)
+    # a row's number is given once, when the table is written; that of a set's first row names the set
+    prof = materialize(prof.withColumn("rep", F.monotonically_increasing_id()))
     key = ["n", "s1", "s2"]
     live = prof.where(F.col("shared").isNotNull())
-    copies = live.groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
-    # a set's id is given once, when the table is written
-    copies = materialize(copies.withColumn("rep", F.monotonically_increasing_id()))
-    reps = live.join(copies, [*key, "doc_id"]).dropDuplicates(["rep"]).select(F.col("rep").alias("doc_id"), "n", "shared")
+    copies = live.groupBy(*key).agg(F.min(F.struct("doc_id", "rep")).alias("o")).select(*key, "o.doc_id", "o.rep")
+    copies = materialize(copies)
+    # a row that the filter lets through by chance is one more set that links with its equal
+    reps = bloom.semi(live, copies.select("rep"), "rep").select(F.col("rep").alias("doc_id"), "n", "shared")
     again = materialize(_again(reps, num, den).where(F.col("shared").isNotNull()))
     found = components(link_components(again, num, den)).withColumnRenamed("id", "rep")
     discard(again)
