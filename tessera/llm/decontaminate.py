@@ -15,17 +15,21 @@ against itself. A retrieved item is verified against the passage by word
 n-grams of its question and of its answer: the last line of an item of several
 lines (five words at least), or else its last third of words, is the answer.
 
-Items are indexed in parts of at most ``part`` items, so that what is sent to
-the executors is bounded however large the benchmark; statistics are those of
-a part. Null or wordless texts and items match nothing; repeated items each
-match; repeated documents each get rows; columns other than the ids and texts
-are ignored; an empty side gives no rows.
+Items are indexed in parts of about ``part`` items, so that what is sent to
+the executors is bounded however large the benchmark; number of items, mean
+length and document frequencies are those of all items, so that parts find
+what one index would. Each part takes a scan of the texts. Null or wordless
+texts and items match nothing; an item without id matches with a null id, as
+does a document without one, which ``clean`` keeps; repeated items each match;
+repeated documents each get rows; texts of any length are searched whole;
+columns other than the ids and texts are ignored; an empty side gives no rows.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
@@ -53,24 +57,34 @@ def grams(h: np.ndarray) -> np.ndarray:
     return np.unique(mix(sum(h[j : len(h) - GRAM + 1 + j] * _STEPS[j] for j in range(GRAM))))
 
 
+@dataclass
+class Statistics:
+    """Number and mean length of all items, and in how many of them each of some words occurs (words in rising order)."""
+
+    items: int
+    mean: float
+    words: np.ndarray
+    df: np.ndarray
+
+
 class Index:
     """BM25 over items, with the maxima of blocks of items."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], share: float, every: Statistics | None = None) -> None:
         buf, begins = raw(pa.array([t or "" for _, t in items], pa.string()))
         starts, ends = spans(buf)
         h = hash_spans(buf, starts, ends)
         at = np.searchsorted(starts, begins)
         lengths = np.diff(at)
         n = len(items)
-        mean = max(1.0, float(lengths.mean()))
+        mean = max(1.0, every.mean if every else float(lengths.mean()))
         self.longest = int(lengths.max())
         self.words, term = np.unique(h, return_inverse=True)
         item = np.repeat(np.arange(n), lengths)
         pair, tf = np.unique(term * n + item, return_counts=True)
         term, item = pair // n, pair % n
-        df = np.bincount(term, minlength=len(self.words))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        df = every.df[np.searchsorted(every.words, self.words)] if every else np.bincount(term, minlength=len(self.words))
+        idf = np.log(1 + ((every.items if every else n) - df + 0.5) / (df + 0.5))
         score = idf[term] * tf / (tf + K1 * (1 - B + B * lengths[item] / mean))
         need = share * np.bincount(item, score, minlength=n)
         need[lengths == 0] = np.inf
@@ -197,19 +211,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, question: f
     spark: SparkSession = prepare(docs.sparkSession)
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", F.lower("text").alias("text"))
     parts = max(1, ceil(items.count() / part))
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
-    dealt = dealt if parts == 1 else materialize(dealt)
+    dealt, words, whole = items.withColumn("part", F.lit(0)), None, None
+    if parts > 1:
+        dealt = materialize(items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))))
+        words = materialize(dealt.mapInArrow(_item_words, "part long, h long, n long"))
+        whole = (dealt.count(), float(words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
+        words = materialize(words.join(words.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h").select("part", "h", "df").distinct())
     out = None
     for k in range(parts):
-        held = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in dealt.where(F.col("part") == k).collect())  # one part
+        rows = dealt.where(F.col("part") == k).select("item_id", "text").collect()  # one part
+        held = sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         if not held:
             continue
-        index = spark.sparkContext.broadcast(Index(held, share))
+        every = None
+        if whole:
+            df = sorted((r["h"] & 0xFFFFFFFFFFFFFFFF, r["df"]) for r in words.where(F.col("part") == k).collect())  # the words of one part
+            every = Statistics(whole[0], whole[1] / whole[0], np.array([h for h, _ in df], U), np.array([n for _, n in df], np.int64))
+        index = spark.sparkContext.broadcast(Index(held, share, every))
         found = docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(lambda it, x=index: X.rows(_find(it, x.value, question, answer), _OUT), SCHEMA)
         out = found if out is None else out.unionAll(found)
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
 
+def _item_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item's distinct words with their number of occurrences."""
+    for batch in batches:
+        buf, begins = raw(batch.column("text"))
+        starts, ends = spans(buf)
+        h, at = hash_spans(buf, starts, ends), np.searchsorted(starts, begins)
+        for i, k in enumerate(batch.column("part").to_pylist()):
+            distinct, n = np.unique(h[at[i] : at[i + 1]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)] * len(n), pa.int64()), pa.array(distinct.view(np.int64)), pa.array(n.astype(np.int64))], names=["part", "h", "n"])
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
     """The documents that hold no item, columns as they were."""
     return bloom.without(docs, materialize(leaks(docs, benchmark, **options).select("doc_id").distinct()))

@@ -11,12 +11,13 @@ and backward sums. Fitting uses whole texts of about ``per_lang`` documents a
 language, chosen by a hash of the id; every language is learned that has a word
 in a text to learn from. Languages are fitted one after another, and beyond
 ``WIDE`` of them texts are scored in smaller blocks. Scoring covers every word
-of every text; words longer than LONGEST bytes are scored in
-stretches of that length.
+of every text over all pieces of the vocabulary; words longer than LONGEST bytes,
+and such that are too unlikely for plain numbers, are summed in logarithms.
 
 Null texts and texts without a letter are ``und`` with score 0. Rows without
 doc_id or lang are not learned from. If no language can be learned, all is
-``und``. Repeated rows are scored each time.
+``und``. Repeated rows are scored each time, ties go to the language that sorts
+first, and an empty table gives no rows. Columns besides those three are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ from tessera.llm.bpe import vocabulary
 from tessera.llm.session import prepare
 from tessera.llm.tokens import U, chunks, hash_spans, mix, powers, raw, spans
 
-#: Bytes of the longest piece used, and of a stretch.
-PIECE, LONGEST = 8, 64
+#: Bytes of the longest word summed in plain numbers, and the least such sum.
+LONGEST, LEAST = 64, 1e-250
 #: Words held with their scores by a task; bytes of words summed over at once, and of texts.
 CACHE, STEP, BLOCK_BYTES = 300_000, 1 << 16, 2 << 20
 #: Languages up to which these hold; with more they fall in proportion.
@@ -53,7 +54,7 @@ class Pieces:
     BITS = 20
 
     def __init__(self, path: str) -> None:
-        words = sorted(w for w in vocabulary(path) if len(w) <= PIECE)
+        words = sorted(vocabulary(path))
         self.size = len(words)
         buf = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum([len(w) for w in words])
@@ -63,6 +64,7 @@ class Pieces:
         for i, s in enumerate((self.keys >> U(64 - self.BITS)).astype(np.int64)):
             self.next[i], self.slot[s] = self.slot[s], i
         self.lengths = np.array([len(w) for w in words])
+        self.longest = int(self.lengths.max())
 
     @staticmethod
     def _hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -95,8 +97,10 @@ class Pieces:
         owner = np.repeat(np.arange(len(words)), sizes)
         offset = np.arange(len(buf)) - begin[owner]
         out = []
-        for n in range(1, PIECE + 1):
-            at = np.flatnonzero(offset + n <= sizes[owner])
+        left = sizes[owner] - offset
+        at = np.arange(len(buf))
+        for n in range(1, min(self.longest, int(sizes.max())) + 1):
+            at = at[left[at] >= n]
             h = mix((sums[at + n] - sums[at]) * down[at] + U((n * 0x9E3779B97F4A7C15) % (1 << 64)))
             piece = self.find(h)
             hit = piece >= 0
@@ -138,6 +142,24 @@ def forward(table: Pieces, words: list[bytes], p: np.ndarray, growth: float = 24
     return sizes, alpha, at
 
 
+def log_sums(table: Pieces, word: bytes, logs: np.ndarray, back: bool = False) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """ln of the sums over all segmentations up to each byte, or from it on, by language; and the edges (end, length, piece)."""
+    lattice = table.lattice([word])[1]
+    end, size, piece = (np.concatenate(x) for x in zip(*((e, np.full(len(e), n), p) for n, (_, e, p) in enumerate(lattice, 1)), strict=True))
+    to = end - size if back else end
+    order = np.argsort(to, kind="stable")
+    cut = np.searchsorted(to[order], np.arange(len(word) + 2))
+    out = np.full((len(word) + 1, logs.shape[1]), -np.inf)
+    out[len(word) if back else 0] = 0
+    for e in range(len(word) - 1, -1, -1) if back else range(1, len(word) + 1):
+        k = order[cut[e] : cut[e + 1]]
+        if len(k):
+            x = out[end[k] if back else (end - size)[k]] + logs[piece[k]]
+            most = np.maximum(x.max(axis=0), -1e300)
+            out[e] = most + np.log(np.exp(x - most).sum(axis=0))
+    return out, (end, size, piece)
+
+
 def _narrow(most: int, langs: int) -> int:
     return max(1, most * WIDE // max(WIDE, langs))
 
@@ -151,10 +173,17 @@ def _steps(words: list[bytes], order: np.ndarray, langs: int = 1) -> Iterator[np
 def word_scores(table: Pieces, words: list[bytes], p: np.ndarray, growth: float = 24.0) -> np.ndarray:
     """ln probability of each word in each language."""
     out = np.empty((len(words), p.shape[1]))
-    order = np.argsort([len(w) for w in words], kind="stable")
+    length = np.array([len(w) for w in words])
+    order = np.argsort(length, kind="stable")
+    order, rest = order[: np.searchsorted(length[order], LONGEST, side="right")], list(np.flatnonzero(length > LONGEST))
     for part in _steps(words, order, p.shape[1]):  # words of like length together
         sizes, alpha, _ = forward(table, [words[i] for i in part], p, growth)
-        out[part] = np.log(np.maximum(alpha[sizes, np.arange(len(part))], 1e-290)) - sizes[:, None] * np.log(growth)
+        sums = alpha[sizes, np.arange(len(part))]
+        out[part] = np.log(np.maximum(sums, LEAST)) - sizes[:, None] * np.log(growth)
+        rest += part[(sums < LEAST).any(axis=1)].tolist()
+    logs = np.log(p) if rest else None
+    for i in rest:
+        out[i] = log_sums(table, words[i], logs)[0][-1]
     return out
 
 
@@ -162,28 +191,33 @@ def expected_counts(table: Pieces, words: list[bytes], weights: np.ndarray, p: n
     """Expected number of each piece in the words of one language."""
     out = np.zeros(table.size)
     scaled = p * growth ** table.lengths[:, None]
-    order = np.argsort([len(w) for w in words], kind="stable")
+    length = np.array([len(w) for w in words])
+    order = np.argsort(length, kind="stable")
+    order, rest = order[: np.searchsorted(length[order], LONGEST, side="right")], list(np.flatnonzero(length > LONGEST))
     for part in _steps(words, order):
         sizes, alpha, at = forward(table, [words[i] for i in part], p, growth)
+        low = alpha[sizes, np.arange(len(part)), 0] < LEAST
+        rest += part[low].tolist()
         beta = np.zeros_like(alpha)
         beta[sizes, np.arange(len(part))] = 1
         whole = alpha[sizes, np.arange(len(part)), 0]
-        share = np.where(whole > 0, weights[part] / np.maximum(whole, 1e-290), 0)
+        share = np.where(low, 0, weights[part] / np.maximum(whole, LEAST))
         for e in range(len(at) - 1, 0, -1):
             for n, owner, piece in at[e]:
                 step = scaled[piece] * beta[e, owner]
                 beta[e - n, owner] += step
                 np.add.at(out, piece, (alpha[e - n, owner] * step)[:, 0] * share[owner])
+    logs = np.log(p) if rest else None
+    for i in rest:
+        ahead, (end, size, piece) = log_sums(table, words[i], logs)
+        behind, _ = log_sums(table, words[i], logs, back=True)
+        np.add.at(out, piece, weights[i] * np.exp(ahead[end - size, 0] + logs[piece, 0] + behind[end, 0] - ahead[-1, 0]))
     return out
 
 
 def words_of(text: str) -> list[bytes]:
-    """Lower-case letter runs, each with a space before it, in stretches of LONGEST bytes."""
-    out = []
-    for w in _LETTERS.findall(text.lower()):
-        b = (" " + w).encode()
-        out += [b[i : i + LONGEST] for i in range(0, len(b), LONGEST)]
-    return out
+    """Lower-case letter runs, each with a space before it."""
+    return [(" " + w).encode() for w in _LETTERS.findall(text.lower())]
 
 
 def fit(table: Pieces, texts: Iterable[tuple[str, list[str]]], rounds: int = 3, floor: float = 0.02) -> tuple[list[str], np.ndarray] | None:
@@ -237,10 +271,11 @@ def _score(batches: Iterable[pa.RecordBatch], path: str, langs: list[str], p: np
             order = np.argsort(merged)
             known, values, has = merged[order], np.concatenate([values, score[new]])[order], np.concatenate([has, letters[new]])[order]
         cut = np.searchsorted(starts, begins)
-        sums = np.zeros((len(h) + 1, len(langs)))
-        np.cumsum(score[back], axis=0, out=sums[1:])
         seen = np.concatenate([[0], np.cumsum(letters[back])])
-        total, n = sums[cut[1:]] - sums[cut[:-1]], seen[cut[1:]] - seen[cut[:-1]]
+        total, n = np.zeros((len(chunk), len(langs))), seen[cut[1:]] - seen[cut[:-1]]
+        some = cut[1:] > cut[:-1]
+        if some.any():  # text by text, so that a score does not depend on the block
+            total[some] = np.add.reduceat(score[back], cut[:-1][some], axis=0)
         top = total - total.max(axis=1, keepdims=True)
         posterior = np.exp(top)
         posterior /= posterior.sum(axis=1, keepdims=True)
@@ -282,7 +317,6 @@ def identify(docs: DataFrame, path: str, **options: int) -> DataFrame:
 
 
 
-
 def accept(docs: DataFrame, path: str, least: float = 0.5, **options: int) -> DataFrame:
     """The rows of ``docs`` in a learned language with a score of ``least`` or more, columns as they were."""
     prepare(docs.sparkSession)

@@ -6,8 +6,8 @@ capacity is highest (each dimension as a share of its total).
 
 *Large groups* hold more than 1/64 of a shard's fair share in some dimension;
 there are at most 64 * 3 * shards of them whatever the input, so they are placed
-one after the other, largest first. One that exceeds a sixteenth of a fair share
-is cut into parts by doc_id, since no placement of it as a whole could balance.
+one after the other, largest first. Only one that exceeds a whole fair share is cut into
+parts, by doc_id, since no shard could take it as a whole and stay near equal.
 *All other groups* are dealt by text hash into slices of bounded size. Each
 slice packs its groups on its own against its part of what capacity the large
 groups left, so slices run in parallel and their sums balance.
@@ -32,9 +32,9 @@ from tessera.llm import exchange as X
 from tessera.llm.session import materialize, partitions, prepare
 
 #: A large group's least part of a fair share; the part above which a group is cut; rows of a slice.
-LARGE, CUT, SLICE_ROWS = 1 / 64, 1 / 16, 50_000
+LARGE, CUT, SLICE_ROWS = 1 / 64, 1, 50_000
 #: How much each dimension counts in the dot product: the law is about bytes.
-WEIGHTS = np.array([4.0, 1.0, 1.0])
+WEIGHTS = np.array([16.0, 1.0, 1.0])
 OVERHEAD = 16
 WORD = r"[^\x20\x09-\x0D]+"
 _OUT = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("text_crc32", pa.int64()), ("shard", pa.int32()), ("slice", pa.int64()), ("place", pa.int64())])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,9 @@ import pytest
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, hmm, langid, line_dedup, ngram_jaccard, quality, topk
+from tessera.llm import bloom, bpe, decontaminate, exchange, hmm, langid, line_dedup, ngram_jaccard, quality, topk
 from tessera.llm import exchange as X
 from tessera.llm.tokens import words
 
@@ -116,14 +118,16 @@ def test_block_max_wand_finds_all_above_threshold(items, query):
 def test_forward_sums_all_segmentations():
     table = langid.pieces(public.path("byte_bpe_multi_50k.tiktoken"))
     p = np.random.default_rng(1).random((table.size, 2)) / table.size
-    vocab = {w: i for i, w in enumerate(sorted(w for w in bpe.vocabulary(public.path("byte_bpe_multi_50k.tiktoken")) if len(w) <= langid.PIECE))}
+    vocab = {w: i for i, w in enumerate(sorted(bpe.vocabulary(public.path("byte_bpe_multi_50k.tiktoken"))))}
 
+    @cache
     def brute(word, k):
         if not word:
             return 1.0
-        return sum(p[vocab[word[:n]], k] * brute(word[n:], k) for n in range(1, min(len(word), langid.PIECE) + 1) if word[:n] in vocab)
+        return sum(p[vocab[word[:n]], k] * brute(word[n:], k) for n in range(1, min(len(word), table.longest) + 1) if word[:n] in vocab)
 
-    names = [b" the", b" nation", "é".encode(), b"x"]
+    # the longest pieces, and words on both sides of the border to sums in logarithms
+    names = [b" the", b" nation", "é".encode(), b"x", max(vocab, key=len), b" internationalization" * 3, b" internationalization" * 4]
     got = np.exp(langid.word_scores(table, names, p))
     for i, w in enumerate(names):
         assert got[i] == pytest.approx([brute(w, 0), brute(w, 1)], rel=1e-9)
@@ -132,8 +136,11 @@ def test_forward_sums_all_segmentations():
 def test_expected_piece_counts_cover_each_word():
     table = langid.pieces(public.path("byte_bpe_multi_50k.tiktoken"))
     q = np.full((table.size, 1), 1 / table.size)
-    got = langid.expected_counts(table, [b" the", b" cat"], np.array([2.0, 3.0]), q)
-    assert (got * table.lengths).sum() == pytest.approx(4 * 2 + 4 * 3)
+    long = b" abc" * 20
+    got = langid.expected_counts(table, [b" the", b" cat", long], np.array([2.0, 3.0, 1.0]), q)
+    assert (got * table.lengths).sum() == pytest.approx(4 * 2 + 4 * 3 + 80)
+    # a word counts alike by plain sums and by logarithms
+    assert np.allclose(2 * langid.expected_counts(table, [long[:64]], np.array([1.0]), q), _by_logs(table, long[:64], q))
 
 
 @pytest.mark.parametrize("lengths", [[3], [1, 4, 2, 4], [1, 1]])
@@ -191,3 +198,34 @@ def test_prefix_and_overlap_bounds():
     a, b = np.meshgrid(n, n)
     over = line_dedup.need(a, b, 75, 100)
     assert (100 * over >= 75 * (a + b - over)).all() and (100 * (over - 1) < 75 * (a + b - over + 1)).all()
+
+
+def _by_logs(table, word, q):
+    ahead, (end, size, piece) = langid.log_sums(table, word, np.log(q))
+    behind, _ = langid.log_sums(table, word, np.log(q), back=True)
+    out = np.zeros(table.size)
+    np.add.at(out, piece, 2 * np.exp(ahead[end - size, 0] + np.log(q)[piece, 0] + behind[end, 0] - ahead[-1, 0]))
+    return out
+
+
+def test_hash_of_equal_words_alike():
+    texts = ["a" * 1000 + "b", "Z" * 300 + " z", "", None, "A" * 1000 + "B", "é" * 700, "a" * 1000 + "c", "short words of all sizes, eightsix and nineteens"]
+    h, at = words(pa.array(texts))
+    plain = [w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))]
+    assert len(h) == len(plain) == at[-1] and len(set(h.tolist())) == len(set(plain))
+    assert all((h[i] == h[j]) == (plain[i] == plain[j]) for i in range(len(h)) for j in range(i))
+
+
+def test_pack_keeps_arrays():
+    arrays = [np.arange(5), np.array([], np.uint16), np.array([1.5, -2.0]), np.array([True, False]), np.array([2**63], np.uint64), np.arange(7, dtype=np.uint32)]
+    for level in (None, 1):
+        back = exchange.unpack(exchange.pack(*arrays, level=level))
+        assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(arrays, back, strict=True))
+
+
+def test_bloom_filter_by_size(spark):
+    assert bloom.contains(None, np.arange(3)).all()
+    for n in (3, 50_000):
+        bits = bloom.build(spark.range(n).select((F.col("id") * 7).alias("id")))
+        assert len(bits) * 8 >= min(n * bloom.PER_ROW, bloom.LEAST) and bloom.contains(bits, np.arange(n) * 7).all()
+        assert bloom.contains(bits, np.arange(n) * 7 + 3).mean() < 0.05
