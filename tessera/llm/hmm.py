@@ -20,7 +20,9 @@ word goes once for a block, however often it occurs, so no word is hot.
 
 Null and empty texts consist of END alone. Rows without doc_id count as held
 out. Without training texts the score is the base score. Repeated rows are
-trained on and scored each time; other columns are ignored.
+trained on and scored each time; other columns are ignored; an empty table
+gives no rows. A text is never cut: a recursion goes over whole texts, and
+needs some 100 bytes for each of a text's words.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ from tessera.llm import exchange as X
 from tessera.llm.session import discard, materialize, partitions, prepare, reclaim, stable
 from tessera.llm.tokens import U, chunks, words
 
-#: States; tokens of the prior of each; bytes of text in a block.
-STATES, PRIOR, BLOCK_BYTES = 6, 50.0, 8 << 20
+#: States; tokens of the prior of each; bytes of text in a block; tokens of it that a recursion goes over at once.
+STATES, PRIOR, BLOCK_BYTES, STEP = 6, 50.0, 32 << 20, 1_400_000
+#: Bytes of text that are counted at once.
+COUNT_BYTES = 8 << 20
 #: Counts of a bucket; words that a block asks for; its expected counts of them; a block; emissions for it; sums of a task.
 COUNTS, WANT, GOT, BLOCK, EMIT, SUMS = range(6)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -162,7 +166,7 @@ def first_model(base: np.ndarray, states: int, seed: int = 11) -> Model:
 
 def _count(batches: Iterable[pa.RecordBatch], count: int) -> Iterator[tuple]:
     number = X.batch_ids()
-    for chunk in chunks(batches, "text", BLOCK_BYTES):
+    for chunk in chunks(batches, "text", COUNT_BYTES):
         batch = next(number)
         h, n = np.unique(words(chunk.column("text"))[0], return_counts=True)
         for b, (x, c) in X.split(X.bucket_of(h, count), count, h, n.astype(np.int64)):
@@ -289,11 +293,23 @@ def _gathered(held: list[tuple], totals: Totals, chain: Chain | None) -> Iterato
         yield batch, ids, valid, *with_ends(back.astype(np.int32), at, kinds), sizes, n, model
 
 
+def _stretches(symbols: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Whole sequences of about STEP symbols together: the first and the last, symbols, and where each begins."""
+    a = 0
+    while a < len(at) - 1:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + STEP, side="right")) - 1)
+        yield a, b, symbols[at[a] : at[b]], at[a : b + 1] - at[a]
+        a = b
+
+
 def _expect(batches: Iterable[pa.RecordBatch], totals: Totals, chain: Chain) -> Iterator[tuple]:
     sums = None
     for _, held in X.runs(batches, "batch"):
         for batch, _, _, symbols, at, sizes, _, model in _gathered(held, totals, chain):
-            start, move, emit = expected(model, symbols, at)
+            start = move = emit = 0.0
+            for _, _, part, begins in _stretches(symbols, at):
+                for_part = expected(model, part, begins)
+                start, move, emit = start + for_part[0], move + for_part[1], emit + for_part[2]
             own = np.concatenate([start, move.ravel(), emit.sum(axis=0), emit[-1]])
             sums = own if sums is None else sums + own
             edges = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
@@ -337,7 +353,7 @@ def _finish(held: list[tuple], totals: Totals, chain: Chain | None) -> Iterator[
         n = np.diff(at)
         base = np.add.reduceat(np.log10(count + 1.0)[symbols], at[:-1]) - n * whole
         known = np.add.reduceat((count > 0)[symbols].astype(np.int64), at[:-1])
-        score = forward(model, symbols, at)[0] if model else base
+        score = np.concatenate([forward(model, part, begins)[0] for _, _, part, begins in _stretches(symbols, at)]) if model else base
         for i in range(len(ids)):
             yield int(ids[i]) if valid[i] else None, batch % 2 == 1, int(n[i]), int(known[i]), totals.tokens, float(base[i]), float(score[i])
 
