@@ -12,9 +12,10 @@ by state, whose size is fixed.
 
 *Training.* Baum-Welch on ``sample`` training texts, the first by a hash of the
 id, gives a first guess; ``passes`` over all training texts follow. In a pass
-each block of texts asks the buckets for the emissions of its distinct words,
-runs the scaled forward-backward recursion and sends expected counts back. A
-word goes once for a block, however often it occurs, so no word is hot.
+each block of texts asks the buckets for the expected counts of its distinct
+words, runs the scaled forward-backward recursion and sends new ones back. How
+a word's count parts among states goes to 16 bits, by which the model is defined.
+A word goes once for a block, however often it occurs, so no word is hot.
 
 *Scoring.* The same exchange, then the scaled forward recursion.
 
@@ -41,7 +42,7 @@ from tessera.llm.session import discard, materialize, partitions, prepare, recla
 from tessera.llm.tokens import U, chunks, words
 
 #: States; tokens of the prior of each; bytes of text in a block; tokens of it that a recursion goes over at once.
-STATES, PRIOR, BLOCK_BYTES, STEP = 6, 50.0, 32 << 20, 1_400_000
+STATES, PRIOR, BLOCK_BYTES, STEP = 6, 50.0, 12 << 20, 1_400_000
 #: Bytes of text that are counted at once.
 COUNT_BYTES = 8 << 20
 #: Counts of a bucket; words that a block asks for; its expected counts of them; a block; emissions for it; sums of a task.
@@ -87,6 +88,17 @@ class Model:
     emit: np.ndarray  # symbol by state
 
 
+def shares(expected: np.ndarray) -> np.ndarray:
+    """How expected counts (word by state) part among states, to 16 bits: half the bytes of floats, and most are 0 or 1."""
+    return np.rint(expected * (65535 / np.maximum(expected.sum(axis=1, keepdims=True), 1e-300))).astype(np.uint16)
+
+
+def counts_of(shares: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Expected counts of words of which so many are counted."""
+    parts = shares.astype(np.float64)
+    return parts * (total / np.maximum(parts.sum(axis=1), 1))[:, None]
+
+
 def with_ends(symbols: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Sequences with END after each; where they begin, one more at the end."""
     n = len(at) - 1
@@ -239,8 +251,8 @@ def first_guess(docs: DataFrame, states: int, sample: int, rounds: int) -> Chain
     return Chain(model.start, model.move, emit.sum(axis=0), emit[-1], (h, emit[:-1]))
 
 
-def _emissions(key: int, held: list[tuple], totals: Totals, chain: Chain | None, count: int, last: bool) -> Iterator[tuple]:
-    """What blocks ask for, from a bucket's counts and the expected counts that blocks sent to it."""
+def _emissions(key: int, held: list[tuple], totals: Totals, chain: Chain | None, count: int) -> Iterator[tuple]:
+    """What blocks ask for, expected counts by state and counts, from a bucket's counts and the expected counts that blocks sent to it."""
     table, c = np.zeros(0, U), np.zeros(0, np.int64)
     asked, got = {}, {}
     for _, batch, kind, payload in held:
@@ -251,7 +263,7 @@ def _emissions(key: int, held: list[tuple], totals: Totals, chain: Chain | None,
             at = np.minimum(np.searchsorted(table, h), max(len(table) - 1, 0))
             asked[batch] = begin, at, table[at] == h if len(table) else np.zeros(len(h), bool)
         else:
-            got[batch] = X.unpack(payload)[0]
+            got[batch] = X.unpack(payload)
     k = len(chain.start) if chain else 0
     sums = np.zeros((len(table), k))
     if chain and chain.guess and len(table) and len(chain.guess[0]):
@@ -259,13 +271,12 @@ def _emissions(key: int, held: list[tuple], totals: Totals, chain: Chain | None,
         at = np.minimum(np.searchsorted(h, table), len(h) - 1)
         hit = h[at] == table
         sums[hit] = e[at[hit]]
-    for batch, e in got.items():  # words of training texts all have counts, each once
-        sums[asked[batch][1]] += e.reshape(-1, k)
+    for batch, (e, n) in got.items():  # words of training texts all have counts, each once
+        sums[asked[batch][1]] += counts_of(e.reshape(-1, k), n)
     for batch, (begin, at, hit) in asked.items():
         n, e = np.zeros(len(at), np.int64), np.zeros((len(at), k))
         n[hit], e[hit] = c[at[hit]], sums[at[hit]]
-        emit = chain.emissions(e, totals.base(n)).astype(np.float32).ravel() if chain else np.zeros(0, np.float32)
-        yield count + X.route_of(batch, count), batch, EMIT, X.pack(begin, emit, n if last else n[:0], level=1)
+        yield count + X.route_of(batch, count), batch, EMIT, X.pack(begin, shares(e).ravel(), e.sum(axis=1).astype(np.float32), n, level=1)
 
 
 def _gathered(held: list[tuple], totals: Totals, chain: Chain | None) -> Iterator[tuple]:
@@ -283,11 +294,12 @@ def _gathered(held: list[tuple], totals: Totals, chain: Chain | None) -> Iterato
         n, model = np.zeros(kinds, np.int64), None
         emit = np.zeros((kinds + 1, k))
         for part in parts:
-            (a,), e, c = X.unpack(part)
+            (a,), e, total, c = X.unpack(part)
             if k:
-                emit[a : a + len(e) // k] = e.reshape(-1, k)
+                emit[a : a + len(c)] = counts_of(e.reshape(-1, k), total)
             n[a : a + len(c)] = c
         if chain:
+            emit[:-1] = chain.emissions(emit[:-1], totals.base(n))
             emit[-1] = chain.emissions(chain.end[None], totals.base(np.array([totals.ends])))[0]
             model = Model(chain.start, chain.move, emit)
         yield batch, ids, valid, *with_ends(back.astype(np.int32), at, kinds), sizes, n, model
@@ -310,19 +322,20 @@ def _expect(batches: Iterable[pa.RecordBatch], totals: Totals, chain: Chain) ->
             for _, _, part, begins in _stretches(symbols, at):
                 for_part = expected(model, part, begins)
                 start, move, emit = start + for_part[0], move + for_part[1], emit + for_part[2]
-            own = np.concatenate([start, move.ravel(), emit.sum(axis=0), emit[-1]])
+            parts, n = shares(emit[:-1]), np.rint(emit[:-1].sum(axis=1)).astype(np.uint32)
+            own = np.concatenate([start, move.ravel(), counts_of(parts, n).sum(axis=0) + emit[-1], emit[-1]])
             sums = own if sums is None else sums + own
             edges = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
             for b in np.flatnonzero(sizes).tolist():
-                yield b, batch, GOT, X.pack(emit[edges[b] : edges[b + 1]].astype(np.float32).ravel(), level=1)
+                yield b, batch, GOT, X.pack(parts[edges[b] : edges[b + 1]].ravel(), n[edges[b] : edges[b + 1]], level=1)
     if sums is not None:
         yield -1, 0, SUMS, X.pack(sums)
 
 
-def _asked(buckets: list[DataFrame], totals: Totals, chain: Chain | None, p: int, last: bool = False) -> DataFrame:
+def _asked(buckets: list[DataFrame], totals: Totals, chain: Chain | None, p: int) -> DataFrame:
     met = X.routed(reduce(DataFrame.unionAll, buckets), p)
     shared = met.sparkSession.sparkContext.broadcast((totals, chain))
-    return met.mapInArrow(lambda it: X.rows(r for key, held in X.runs(it) for r in _emissions(key, held, *shared.value, 4 * p, last)), X.ENVELOPE)
+    return met.mapInArrow(lambda it: X.rows(r for key, held in X.runs(it) for r in _emissions(key, held, *shared.value, 4 * p)), X.ENVELOPE)
 
 
 def train(docs: DataFrame, totals: Totals, table: DataFrame, blocks: DataFrame, states: int = STATES, sample: int = 600, rounds: int = 8, passes: int = 3) -> tuple[Chain, DataFrame | None]:
@@ -369,7 +382,7 @@ def score(docs: DataFrame, **options: int) -> DataFrame:
     blocks = materialize(plain.mapInArrow(lambda it: X.rows(_blocks(it, 4 * p), fields), "route long, batch long, kind int, part boolean, payload binary"))
     chain, got = train(docs, totals, table, blocks, **options) if totals.tokens else (None, None)
     every = blocks.drop("part")
-    emissions = _asked([table, every.where(f"kind = {WANT}"), *([got] if got else [])], totals, chain, p, last=True)
+    emissions = _asked([table, every.where(f"kind = {WANT}"), *([got] if got else [])], totals, chain, p)
     shared = spark.sparkContext.broadcast((totals, chain))
     kind = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
     met = X.routed(every.where(f"kind = {BLOCK}").unionAll(emissions), p)
