@@ -5,6 +5,12 @@ line_dedup       lines that match an earlier line go, and documents of which not
 ngram_jaccard    of documents that link through shared shingles the one of smallest id stays
 decontamination  documents that hold question and answer of a benchmark item go
 bpe              the ids of each text, and the bytes that they decode to
+
+Documents without a text, or whose text has no letter, go in the first stage, so later stages see none. Rows without
+doc_id are kept by the three stages that compare documents, since nothing can be said of them as documents; the last
+stage encodes them under a null id. Rows that repeat a doc_id are one document to those stages and stay or go
+together. Texts of any length are worked on whole. A null source passes through; a null lang only keeps the row from
+being learned from. Columns besides ``COLUMNS`` are dropped, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, langid, line_dedup, ngram_jaccard
-from tessera.llm.session import materialize
+from tessera.llm.session import discard, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A language below this posterior is not recognised.
@@ -68,5 +74,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
