@@ -1,15 +1,15 @@
 """BM25 full-text top-k over a table of queries, on one index or by shard.
 
-The index is two tables: postings (term, doc_idx, tf, dl, group) and term and
-corpus statistics by group, a group being the whole corpus or a shard. Texts
-stay out of it; they are joined to the few rows that are left.
+The index is tokens or stored postings (term, doc_idx, tf, dl, group), and
+lengths and statistics by group, a group being the whole corpus or a shard.
+Texts stay out of it; they are joined to the few rows that are left.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -21,25 +21,60 @@ K1, B = 1.5, 0.75
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # shard, doc_idx, term, tf
+    tokens: DataFrame  # shard, doc_idx, dl, term, tf: one row an occurrence (tf 1), or one a posting of a stored index
     lengths: DataFrame  # shard, doc_idx, dl
-    terms: DataFrame  # shard, term, df
     stats: DataFrame  # shard, n, avgdl
 
+    @property
+    def postings(self) -> DataFrame:
+        return _counted(self.tokens)
+
+    @property
+    def terms(self) -> DataFrame:
+        return _document_frequency(self.postings)
+
+
+def _counted(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("shard", "doc_idx", "dl", "term").agg(F.sum("tf").alias("tf"))
 
-def term_frequency(corpus: DataFrame, shard: Column | None = None) -> DataFrame:
-    tokens = corpus.select((shard if shard is not None else F.lit(0).cast("long")).alias("shard"), "doc_idx", F.explode(T.index_tokens(F.col("text"))).alias("term"))
-    return tokens.groupBy("shard", "doc_idx", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+def _document_frequency(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def build(corpus: DataFrame, shard: Column | None = None) -> Index:
     """``corpus(doc_idx, text)``. Empty documents count for n and the mean length."""
     place = (shard if shard is not None else F.lit(0).cast("long")).alias("shard")
-    lengths = corpus.select(place, "doc_idx", F.size(T.index_tokens(F.coalesce("text", F.lit("")))).cast("long").alias("dl"))
-    tf = term_frequency(corpus, shard)
-    terms = tf.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("df"))
+    cut = corpus.select(place, "doc_idx", T.index_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    lengths = cut.select("shard", "doc_idx", F.size("t").cast("long").alias("dl"))
+    tokens = cut.select("shard", "doc_idx", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"), F.lit(1).cast("long").alias("tf"))
     stats = lengths.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return Index(tf, lengths, terms, stats)
+    return Index(tokens, lengths, stats)
+
+
+def term_frequency(corpus: DataFrame, shard: Column | None = None) -> DataFrame:
+    return build(corpus, shard).postings.select("shard", "doc_idx", "term", "tf")
+
+
+def store(index: Index, path: str) -> None:
+    """Write an index: postings sorted by term, so that a lookup reads few row groups, lengths, and statistics."""
+    index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """A stored index; one that is not whole is an error."""
+    tables = {}
+    for name, columns in (("postings", {"shard", "doc_idx", "dl", "term", "tf"}), ("lengths", {"shard", "doc_idx", "dl"}), ("stats", {"shard", "n", "avgdl"})):
+        tables[name] = spark.read.parquet(f"{path}/{name}")
+        if missing := columns - set(tables[name].columns):
+            raise ValueError(f"{name} of the index lacks {sorted(missing)}")
+    index = Index(tables["postings"], tables["lengths"], tables["stats"])
+    counted = index.lengths.groupBy("shard").agg(F.count(F.lit(1)).alias("held"))
+    if not index.stats.join(counted, "shard", "full").where("n IS NULL OR held IS NULL OR n <> held").isEmpty():
+        raise ValueError("the index's statistics and documents do not agree")
+    return index
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -54,17 +89,22 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def scores(index: Index, queries: DataFrame) -> DataFrame:
     """qid, shard, doc_idx, score for every document that shares a term with the query.
 
-    Postings are cut to the queries' terms first, so term and length lookups see only what can score.
+    Tokens are cut to the queries' terms before they are counted, so only what can score is shuffled. A table of
+    terms that is small enough goes to the tokens by broadcast, which Spark decides by its size.
     """
     q = query_terms(queries)
-    met = index.postings.join(q, "term")
-    weight = index.terms.join(q.select("term").distinct(), "term", "left_semi").join(index.stats, "shard")
-    weight = weight.select("shard", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
-    met = met.join(weight, ["shard", "term"]).join(index.lengths, ["shard", "doc_idx"])
+    met = _counted(index.tokens.join(q.select("term").distinct(), "term", "left_semi"))
+    weight = _document_frequency(met).join(index.stats, "shard").select("shard", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
+    met = met.join(weight, ["shard", "term"]).join(q, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
     return met.groupBy("qid", "shard", "doc_idx").agg(F.sum(part).alias("score"))
 
 
+def candidate_counts(found: DataFrame) -> DataFrame:
+    """``scores``: how many documents each query can choose from, as the search log tells."""
+    return found.groupBy("qid").agg(F.count(F.lit(1)).alias("candidates"))
+
+
 def ranked(hits: DataFrame, k: Column | int, *keys: str) -> DataFrame:
     """The first k of each query by score to six places, then doc_idx."""
     order = Window.partitionBy("qid", *keys).orderBy(F.round("score", 6).desc(), "doc_idx")

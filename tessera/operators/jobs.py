@@ -100,5 +100,15 @@ def feedback_of(feedback: DataFrame, ids: DataFrame) -> DataFrame:
     return feedback.join(ids, "job_id", "left_semi")
 
 
+def newest_feedback(feedback: DataFrame) -> DataFrame:
+    """Feedback with its rank within its job, newest first."""
+    return feedback.withColumn("rk", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("created_at"), F.desc("id"))))
+
+
+def store(jobs: DataFrame, path: str) -> None:
+    """Write jobs in order of status and time: row groups' bounds then serve as the index by status."""
+    jobs.repartitionByRange("status", "created_at").sortWithinPartitions("status", "created_at").write.mode("overwrite").parquet(path)
+
+
 def delete_feedback(feedback: DataFrame, ids: DataFrame) -> DataFrame:
     return feedback.join(ids, "id", "left_anti")

@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import duration
+from tessera.sources.corpus import PART_ROWS, numbered
 
 # Seconds between attempts, between boots, between health checks, and of a query in line.
 RATE_SECONDS, BOOT_SECONDS, HEALTH_SECONDS, QUERY_SECONDS = 30, 10, 60, 45
+# Feedback entries and status lines that a client keeps.
+FEEDBACK_KEPT, STATUS_KEPT = 200, 1
 # End of fixed values.
 
 
@@ -33,12 +36,10 @@ def rate_limit(log: DataFrame, key: str = "user_id", seconds: int = RATE_SECONDS
 def queue_position(jobs: DataFrame) -> DataFrame:
     """Each user's place in the line of queued jobs, from 0; 0 also for none.
 
-    The line is the whole table's: places come from a running count by day, so that no task orders all of it.
+    The line is the whole table's: its places are counted by parts, so that no task orders all of it.
     """
-    line = jobs.where(F.col("status") == "queued").withColumn("day", F.to_date("created_at"))
-    days = line.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-    before = days.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    placed = line.join(before, "day").withColumn("place", F.row_number().over(Window.partitionBy("day").orderBy("created_at", "id")) - 1 + F.col("before"))
+    line = jobs.where(F.col("status") == "queued")
+    placed = numbered(line, F.unix_micros(F.col("created_at").cast("timestamp")), "place", "id")
     first = placed.groupBy("user_id").agg(F.min("place").alias("place"))
     return jobs.select("user_id").distinct().join(first, "user_id", "left").select("user_id", F.coalesce("place", F.lit(0)).cast("long").alias("position"))
 
@@ -50,14 +51,16 @@ def queue_depth(jobs: DataFrame, inflight: Column | None = None) -> DataFrame:
 
 
 def inflight_depth(log: DataFrame, delta: Column, key: str | None = None) -> DataFrame:
-    """``log`` with the running sum of ``delta``: of each key, or of everything, by days so that no task orders all of it."""
+    """``log`` with the running sum of ``delta``: of each key, or of everything, by stretches so that no task orders all of it."""
     if key is not None:
         return log.withColumn("depth", F.sum(delta).over(_ordered(key).rowsBetween(Window.unboundedPreceding, 0)))
-    log = log.withColumns({"_day": F.to_date("ts"), "_delta": delta})
-    days = log.groupBy("_day").agg(F.sum("_delta").alias("d"))
-    before = days.select("_day", F.coalesce(F.sum("d").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.sum("_delta").over(_ordered("_day").rowsBetween(Window.unboundedPreceding, 0))
-    return log.withColumn("_within", within).join(before, "_day").withColumn("depth", F.col("_within") + F.col("_before")).drop("_day", "_delta", "_within", "_before")
+    # rows get their place in the whole log, and stretches of it are summed each on its own
+    log = numbered(log.withColumn("_delta", delta), F.unix_micros(F.col("ts").cast("timestamp")), "_at", "event_id")
+    log = log.withColumn("_stretch", F.floor(F.col("_at") / F.lit(PART_ROWS)))
+    sums = log.groupBy("_stretch").agg(F.sum("_delta").alias("d"))
+    before = sums.select("_stretch", F.coalesce(F.sum("d").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.sum("_delta").over(Window.partitionBy("_stretch").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    return log.withColumn("_within", within).join(before, "_stretch").withColumn("depth", F.col("_within") + F.col("_before")).drop("_at", "_stretch", "_delta", "_within", "_before")
 
 
 def mailbox(log: DataFrame, arrival: Column, poll: Column, key: str = "user_id") -> DataFrame:
@@ -120,3 +123,26 @@ def poll_view(jobs: DataFrame, users: DataFrame) -> DataFrame:
     done = jobs.where(F.col("status") == "done").groupBy("user_id").agg(F.count(F.lit(1)).alias("pending"))
     seen = users.join(queue_position(jobs), "user_id", "left").join(done, "user_id", "left").join(F.broadcast(depth.select("depth")), F.lit(True), "left")
     return seen.select("user_id", F.col("depth").alias("queue_depth"), F.coalesce("position", F.lit(0)).cast("long").alias("position"), F.coalesce("pending", F.lit(0)).alias("pending"))
+
+
+def has_queued(jobs: DataFrame) -> DataFrame:
+    """One row: whether any job is queued."""
+    return jobs.agg(F.coalesce(F.bool_or(F.col("status") == "queued"), F.lit(False)).alias("has_queued"))
+
+
+def poll_with_response(jobs: DataFrame, log: DataFrame, arrival: Column, poll: Column) -> DataFrame:
+    """Each poll of ``log``: the depth of the line, the user's place in it, and the response that the poll takes."""
+    taken = mailbox(log, arrival, poll).withColumn("user_id", F.col("user_id").cast("string"))
+    seen = taken.join(queue_position(jobs), "user_id", "left").join(F.broadcast(queue_depth(jobs).select("depth")), F.lit(True), "left")
+    return seen.select("user_id", "event_id", F.col("depth").alias("queue_depth"), F.coalesce("position", F.lit(0)).cast("long").alias("position"), "response_id")
+
+
+def unlock_sessions(attempts: DataFrame, unlocked: Column, new_id: Column) -> DataFrame:
+    """A session row ``session_id, user_id, opened_at`` for each attempt that unlocks; every attempt mints its own id."""
+    return attempts.where(unlocked).select(new_id.alias("session_id"), "user_id", F.col("ts").alias("opened_at"))
+
+
+def capped(log: DataFrame, cap: int, key: str = "user_id") -> DataFrame:
+    """Each key's newest ``cap`` rows with their rank: histories that are prepended to and cut."""
+    order = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("event_id"))
+    return log.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= cap)

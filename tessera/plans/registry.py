@@ -28,7 +28,7 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], C
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tessera.plans import retrieval, services, streams, texts  # noqa: F401  they register on import
+    from tessera.plans import retrieval, services, streams, texts, worker  # noqa: F401  they register on import
 
     return dict(QUERIES)
 

@@ -102,6 +102,11 @@ def search_hits(t: Tables) -> DataFrame:
     return _hits(t).withColumn("score_bm25", F.round("score_bm25", 4))
 
 
+@query(f"WITH {D.bm25()} SELECT qid, count(*) AS candidates FROM scores GROUP BY qid")
+def candidate_counts(t: Tables) -> DataFrame:
+    return bm25.candidate_counts(bm25.scores(bm25.build(corpus(t)), questions(t)))
+
+
 @query(f"""WITH {D.bm25(queries=_RARE)}, {HITS}, l AS (SELECT qid, count(*) AS n, string_agg(row_id, ',' ORDER BY rk) AS ids FROM hits GROUP BY qid)
 SELECT q.qid, CAST(coalesce(n, 0) AS BIGINT) AS num_results, CASE WHEN trim(q.text) = '' THEN 'Empty query.' ELSE 'Found ' || coalesce(n, 0) || ' result(s).' END AS message, coalesce(ids, '') AS row_ids FROM qs q LEFT JOIN l USING (qid)""")
 def search_envelope(t: Tables) -> DataFrame:
@@ -124,14 +129,13 @@ fold AS (
 kept AS (SELECT s.qid, CAST(s.rk AS BIGINT) AS rk, CAST(s.pos AS BIGINT) AS pos, s.sent FROM sent2 s JOIN fold f ON f.qid = s.qid AND f.k = s.k WHERE f.keep)"""
 
 
-def _kept(t: Tables) -> tuple[DataFrame, DataFrame]:
-    hits = _hits(t)
-    return context.kept_sentences(context.candidates(hits, questions(t))), hits
+def _kept(t: Tables) -> DataFrame:
+    return context.kept_sentences(context.candidates(_hits(t), questions(t)))
 
 
 @query(f"WITH RECURSIVE {D.bm25()}, {HITS}, {CONTEXT} SELECT qid, rk, pos, sent FROM kept")
 def context_sentences(t: Tables) -> DataFrame:
-    return _kept(t)[0]
+    return _kept(t).drop("told")
 
 
 BLOCKS = """docs AS (SELECT qid, rk, string_agg(sent, chr(10) || '- ' ORDER BY pos) AS snips FROM kept GROUP BY qid, rk),
@@ -142,7 +146,7 @@ blocks AS (SELECT qid, string_agg('<doc id="' || row_id || '" url="' || source |
 @query(f"WITH RECURSIVE {D.bm25()}, {HITS}, {CONTEXT}, {BLOCKS} SELECT qid, context FROM blocks")
 def context_blocks(t: Tables) -> DataFrame:
     """Scores are left out of the compared text: the engines round halves differently."""
-    return context.blocks(*_kept(t)).select("qid", F.regexp_replace("context", ' score="[0-9.]+"', "").alias("context"))
+    return context.blocks(_kept(t)).select("qid", F.regexp_replace("context", ' score="[0-9.]+"', "").alias("context"))
 
 
 _PROMPT = D.quoted(f"{answer.SYSTEM_PROMPT}\n\n{answer.QUESTION_HEAD}\n")
@@ -151,7 +155,7 @@ _DOCS = D.quoted(f"\n\n{answer.DOCUMENTS_HEAD}\n")
 
 @query(f"WITH RECURSIVE {D.bm25()}, {HITS}, {CONTEXT}, {BLOCKS} SELECT q.qid, {_PROMPT} || q.text || {_DOCS} || coalesce(context, '') AS prompt FROM (SELECT qid, {D.strip('text')} AS text FROM qs) q LEFT JOIN blocks USING (qid)")
 def prompt_build(t: Tables) -> DataFrame:
-    found = context.blocks(*_kept(t)).select("qid", F.regexp_replace("context", ' score="[0-9.]+"', "").alias("context"))
+    found = context.blocks(_kept(t)).select("qid", F.regexp_replace("context", ' score="[0-9.]+"', "").alias("context"))
     asked = questions(t).select("qid", T.truncate_question(F.col("text"))[0].alias("text"))
     return asked.join(found, "qid", "left").select("qid", answer.prompt(F.col("text"), F.col("context")).alias("prompt"))
 
@@ -212,3 +216,18 @@ def ask(t: Tables) -> DataFrame:
     """The model is a function; here one that counts the documents of its prompt."""
     c = corpus(t)
     return service.ask(c, bm25.build(c), questions(t), lambda p: f"documents: {p.count('<doc id=')}").select("qid", "answer")
+
+
+@query("SELECT item_id AS qid, 'documents: 0' AS a, 'documents: 0' AS b FROM benchmark")
+def ab_answers(t: Tables) -> DataFrame:
+    """Both answers to each question; of a corpus that holds none of their words."""
+    none = corpus(t).withColumn("text", F.lit("~"))
+    return service.compare(none, bm25.build(none), questions(t), lambda p: f"documents: {p.count('<doc id=')}")
+
+
+@query(f"WITH {D.bm25()} SELECT qid, count(*) AS answers FROM topk GROUP BY qid")
+def chat_references_found(t: Tables) -> DataFrame:
+    """The references of chat where the answer adds nothing to the question."""
+    c = corpus(t)
+    _, references = service.chat(c, bm25.build(c), questions(t), lambda p: "")
+    return references.groupBy("qid").agg(F.count(F.lit(1)).alias("answers"))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.operators.stateful import RATE_SECONDS, epoch
@@ -77,13 +78,9 @@ def mailbox(log: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").transformWithStateInPandas(_Mailbox(), "user_id long, event_id long, response_id long", "Append", "None")
 
 
-def replay(source: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """All that a stream makes of what is there now, as a table."""
-    run = source.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    if run.exception():
-        raise run.exception()
-    return source.sparkSession.table(name)
+def polled(source: DataFrame, path: str, checkpoint: str, seconds: int = 15) -> StreamingQuery:
+    """Run a stream every ``seconds`` seconds into a folder."""
+    return source.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=f"{seconds} seconds").start()
 
 
 def replay_to(source: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -96,7 +96,7 @@ def test_context_stops_at_five_and_wants_news(spark):
     q = spark.createDataFrame([(1, "apple")], "qid long, text string")
     kept = context.kept_sentences(context.candidates(hits, q)).orderBy("rk", "pos").collect()
     assert [(r["rk"], r["pos"]) for r in kept] == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (2, 5), (2, 6)]
-    block = context.blocks(context.kept_sentences(context.candidates(hits, q)), hits).first()["context"]
+    block = context.blocks(context.kept_sentences(context.candidates(hits, q))).first()["context"]
     assert block.startswith('<doc id="r1" url="s" score="2.3') and block.count("<doc") == 2
     assert context.candidates(hits, spark.createDataFrame([(1, "of a")], "qid long, text string")).isEmpty()
 
