@@ -654,8 +654,9 @@ def _similar(batch: pa.RecordBatch, num: int, den: int) -> np.ndarray:
     return den * common >= num * (size - common)
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(kept: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose sets are similar."""
+    sets = materialize(_sets_of(kept, pairs))  # both sides are joined to it
     own = pairs.select(*COLUMNS).join(sets, ["doc_id", "line"])
     others = sets.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("rare").alias("other_rare"), F.col("often").alias("other_often"))
 
@@ -663,7 +664,9 @@ def _verified(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
         for batch in batches:
             yield batch.select(list(COLUMNS)).filter(pa.array(_similar(batch, num, den), pa.bool_()))
 
-    return materialize(own.join(others, ["other_doc", "other_line"]).mapInArrow(check, LONGS))
+    out = materialize(own.join(others, ["other_doc", "other_line"]).mapInArrow(check, LONGS))
+    discard(sets)
+    return out
 
 
 def later_matches(docs: DataFrame, num: int = 75, den: int = 100, least: int = 5, first: int = FIRST, tile: int = TILE) -> DataFrame:
@@ -693,14 +696,14 @@ def later_matches(docs: DataFrame, num: int = 75, den: int = 100, least: int = 5
     best = materialize(pairs.mapInArrow(_best, LONGS))
     tables.append(best)
     if not best.isEmpty():
-        good = good.unionAll(verified := _verified(_sets_of(kept, best), best, num, den))
+        good = good.unionAll(verified := _verified(kept, best, num, den))
         left = materialize(best.select(*line).join(verified.select(*line), line, "left_anti"))
         tables += [verified, left]
         if not left.isEmpty():
             asked = spark.sparkContext.broadcast(bloom.build(left))  # it lets some others propose too
             every = found.where(F.col("kind") != PIECE).mapInArrow(lambda it: _every(it, num, den, asked.value), LONGS)
             others = materialize(every.distinct())
-            good = good.unionAll(verified := _verified(_sets_of(kept, others), others, num, den))
+            good = good.unionAll(verified := _verified(kept, others, num, den))
             tables += [others, verified]
     first_of = good.groupBy(*line).agg(F.min(F.struct("other_doc", "other_line")).alias("o"))
     out = materialize(first_of.select(*line, "o.other_doc", "o.other_line"))
