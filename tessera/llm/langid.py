@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import vocabulary
+from tessera.llm.exchange import release
 from tessera.llm.session import prepare
 from tessera.llm.tokens import U, chunks, hash_spans, mix, powers, raw, spans
 
@@ -44,6 +45,8 @@ CACHE, STEP, BLOCK_BYTES = 300_000, 1 << 16, 2 << 20
 #: Languages up to which these hold; with more they fall in proportion.
 WIDE = 64
 UND = "und"
+#: Probability of a piece where no language is spoken, by an equal share; in a language an unknown piece has ``floor`` by it.
+NONE = 0.1
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -238,10 +241,14 @@ def fit(table: Pieces, texts: Iterable[tuple[str, list[str]]], rounds: int = 3,
 
 
 def _score(batches: Iterable[pa.RecordBatch], path: str, langs: list[str], p: np.ndarray, least: float | None = None) -> Iterator[pa.RecordBatch]:
-    """Predictions; or, with ``least``, the rows themselves whose language is known with that score."""
+    """Predictions; or, with ``least``, the rows themselves whose language is known with that score.
+
+    The last column of ``p`` may be one of no language, for which ``langs`` has no name.
+    """
     table = pieces(path)
-    known, values, has = np.zeros(0, U), np.zeros((0, len(langs))), np.zeros(0, bool)
-    for chunk in chunks(batches, "text", _narrow(BLOCK_BYTES, len(langs))):
+    wide = p.shape[1]
+    known, values, has = np.zeros(0, U), np.zeros((0, wide)), np.zeros(0, bool)
+    for chunk in chunks(batches, "text", _narrow(BLOCK_BYTES, wide)):
         column = chunk.column("text")
         buf, begins = raw(column)
         starts, ends = spans(buf)
@@ -256,7 +263,7 @@ def _score(batches: Iterable[pa.RecordBatch], path: str, langs: list[str], p: np
             got = words_of(data[starts[w] : ends[w]].decode("utf-8", "replace"))
             runs += got
             owner += [i] * len(got)
-        score, letters = np.zeros((len(distinct), len(langs))), np.zeros(len(distinct), bool)
+        score, letters = np.zeros((len(distinct), wide)), np.zeros(len(distinct), bool)
         if len(known):
             old = known[at] == distinct
             score[old], letters[old] = values[at[old]], has[at[old]]
@@ -264,7 +271,7 @@ def _score(batches: Iterable[pa.RecordBatch], path: str, langs: list[str], p: np
             kinds = {w: k for k, w in enumerate(dict.fromkeys(runs))}
             np.add.at(score, owner, word_scores(table, list(kinds), p)[[kinds[w] for w in runs]])
             letters[owner] = True
-        if len(known) + len(new) > _narrow(CACHE, len(langs)):
+        if len(known) + len(new) > _narrow(CACHE, wide):
             known, values, has = distinct, score, letters
         elif len(new):
             merged = np.concatenate([known, distinct[new]])
@@ -272,7 +279,7 @@ def _score(batches: Iterable[pa.RecordBatch], path: str, langs: list[str], p: np
             known, values, has = merged[order], np.concatenate([values, score[new]])[order], np.concatenate([has, letters[new]])[order]
         cut = np.searchsorted(starts, begins)
         seen = np.concatenate([[0], np.cumsum(letters[back])])
-        total, n = np.zeros((len(chunk), len(langs))), seen[cut[1:]] - seen[cut[:-1]]
+        total, n = np.zeros((len(chunk), wide)), seen[cut[1:]] - seen[cut[:-1]]
         some = cut[1:] > cut[:-1]
         if some.any():  # text by text, so that a score does not depend on the block
             total[some] = np.add.reduceat(score[back], cut[:-1][some], axis=0)
@@ -281,12 +288,14 @@ def _score(batches: Iterable[pa.RecordBatch], path: str, langs: list[str], p: np
         posterior /= posterior.sum(axis=1, keepdims=True)
         best = posterior.argmax(axis=1)
         if least is not None:
-            yield chunk.filter(pa.array((n > 0) & (posterior.max(axis=1) >= least)))
+            yield chunk.filter(pa.array((n > 0) & (best < len(langs)) & (posterior.max(axis=1) >= least)))
             continue
         names = [langs[b] if m else UND for b, m in zip(best, n, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [chunk.column("doc_id").cast(pa.int64()), pa.array(names, pa.string()), pa.array(np.where(n > 0, posterior.max(axis=1), 0.0))], schema=_OUT
         )
+    del known, values, has
+    release()
 
 
 def held_out(doc_id: Column, mod: int = 4, remainder: int = 2) -> Column:
@@ -318,10 +327,15 @@ def identify(docs: DataFrame, path: str, **options: int) -> DataFrame:
 
 
 def accept(docs: DataFrame, path: str, least: float = 0.5, **options: int) -> DataFrame:
-    """The rows of ``docs`` in a learned language with a score of ``least`` or more, columns as they were."""
+    """The rows of ``docs`` in a learned language with a score of ``least`` or more, columns as they were.
+
+    Beside the learned languages stands one of no language, in which each piece has the ``NONE``-fold of an equal
+    share: texts that it explains better, such as letters thrown together or scripts not learned, are in none of them.
+    """
     prepare(docs.sparkSession)
     model = learn(docs, path, **options)
     if model is None:
         return docs.where(F.lit(False))
     langs, p = model
+    p = np.column_stack([p, np.full(len(p), NONE / len(p))])
     return docs.mapInArrow(lambda it: _score(it, path, langs, p, least), docs.schema)

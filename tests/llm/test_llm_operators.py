@@ -262,6 +262,8 @@ def test_langid(spark, odd, empty):
     assert all(0 <= r["score"] <= 1 for r in out.values())
     kept = langid.accept(df, path)
     assert kept.columns == df.columns and kept.count() == len(rows) + 3
+    none = [(2001, "слово о полку и быстрая лиса", None), (2002, "快速的棕色狐狸跳过懒狗", None), (2003, "qzx wvkj xqpt zzkw jqxv bnqk", None), (2004, "Himmel über Wolken", None)]
+    assert [r["doc_id"] for r in langid.accept(df.unionByName(spark.createDataFrame(none, df.schema)), path).where("doc_id > 2000").collect()] == [2004]
     assert langid.identify(empty, path).count() == 0
     assert {r["lang_pred"] for r in langid.identify(odd[1].withColumn("lang", F.lit(None).cast("string")), path).collect()} == {"und"}
 
