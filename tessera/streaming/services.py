@@ -41,20 +41,26 @@ class _Limiter(StatefulProcessor):
 
 class _Mailbox(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getListState("waiting", "response_id long")
+        self.waiting = handle.getMapState("waiting", "place long", "response_id long")
+        self.ends = handle.getValueState("ends", "head long, tail long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        """Only what comes and goes is touched, however many responses wait."""
         log = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        held = [r[0] for r in self.waiting.get()] if self.waiting.exists() else []
+        head, tail = self.ends.get() if self.ends.exists() else (0, 0)
         taken = []
         for event, kind in zip(log["event_id"], log["kind"], strict=True):
             if kind == "arrival":
-                held.append(int(event))
-            else:
-                taken.append((key[0], int(event), held.pop(0) if held else None))
-        self.waiting.clear()
-        for r in held:
-            self.waiting.appendValue((r,))
+                self.waiting.updateValue((tail,), (int(event),))
+                tail += 1
+                continue
+            response = None
+            if head < tail:
+                response = self.waiting.getValue((head,))[0]
+                self.waiting.removeKey((head,))
+                head += 1
+            taken.append((key[0], int(event), response))
+        self.ends.update((head, tail))
         yield pd.DataFrame(taken, columns=["user_id", "event_id", "response_id"]).astype({"response_id": "Int64"})
 
     def close(self) -> None:

@@ -168,3 +168,22 @@ def test_chat_and_compare(spark):
     assert [r["row_id"] for r in refs.orderBy("rk").collect()] == ["0", "1"]
     both = service.compare(c, index, q, lambda p: str("alternate phrasing" in p)).first()
     assert (both["a"], both["b"]) == ("False", "True")
+
+
+def test_mailbox_stream_keeps_responses_between_batches(spark, tmp_path):
+    import datetime as dt
+
+    from tessera.streaming import services
+
+    kinds = ["arrival", "arrival", "poll"], ["poll", "poll", "arrival"], ["poll"]
+    event = 0
+    schema = "user_id long, event_id long, ts timestamp, kind string"
+    for batch in kinds:
+        rows = []
+        for kind in batch:
+            event += 1
+            rows.append((1, event, dt.datetime(2024, 1, 1, 0, 0, event), kind))
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    got = services.replay_to(services.mailbox(log), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert {r["event_id"]: r["response_id"] for r in got.collect()} == {3: 1, 4: 2, 5: None, 7: 6}
