@@ -248,6 +248,26 @@ def test_quality(spark, odd, empty):
     assert quality.classify(empty, labels).count() == 0
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    # more than 20,000 labelled rows; one kind of bad text is only among the last by a hash of their ids
+    n = 28_000
+    learned = spark.range(n).where(~quality.held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").toArrow()["id"].to_pylist()
+    assert len(learned) > 22_000
+    late = set(learned[20_000:])
+    text = lambda i: "A plain sentence %d about the casino." % (i % 97) if i in late else "win win win!!! $$$ %d" % (i % 97) if i % 9 == 0 else "A plain sentence %d about the weather." % (i % 97)
+    rows = [(i, text(i), int(i not in late and i % 9 > 0)) for i in range(n)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    out = {r["doc_id"]: r for r in quality.classify(table.select("doc_id", "text"), table.select("doc_id", "quality")).collect()}
+    assert [i for i, _, q in rows if out[i]["predicted"] != q] == []
+    # the same model as from all those rows in memory
+    at = set(learned)
+    own = [r for r in rows if r[0] in at]
+    model = quality.fit(quality.features(pa.array([t for _, t, _ in own])), np.array([q for *_, q in own]))
+    few = own[::500] + own[-5:]
+    strength = model.strength(quality.features(pa.array([t for _, t, _ in few])).astype(float))
+    assert [out[i]["score"] for i, *_ in few] == pytest.approx(1 / (1 + np.exp(-strength - math.log(0.3 / 0.7))), abs=1e-4)
+
+
 def test_langid(spark, odd, empty):
     words = {"aa": "wolken himmel regen straße über".split(), "bb": "ciel nuage pluie été très".split()}
     rng = random.Random(5)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from functools import cache
@@ -186,6 +187,26 @@ def test_quality_learns_from_pairs():
     assert np.isfinite(quality.features(column([None, "", "x" * 300_000]))).all()
 
 
+def test_quality_fits_all_pairs(monkeypatch):
+    rng = random.Random(4)
+    kinds = ("plain words make sentences here and there".split(), "buy now win cash $$$ here and there".split())
+    good = np.array([int(i % 5 > 0) for i in range(300)])
+    x = quality.features(column([" ".join(rng.choice(kinds[rng.random() < (0.4, 0.6)[1 - k]]) for _ in range(9)) for k in good])).astype(float)
+    model = quality.fit(x, good, 500)
+    # at the optimum the gradient over all 240 x 60 pairs is that of the ridge
+    z = model.expanded(x)
+    s = z @ model.weights
+    wrong = 1 / (1 + np.exp(s[good == 1][:, None] - s[good == 0][None, :]))
+    gradient = wrong.mean(axis=1) @ z[good == 1] / 240 - wrong.mean(axis=0) @ z[good == 0] / 60
+    assert gradient == pytest.approx(1e-3 * model.weights, abs=1e-6)
+    assert np.abs(model.weights).max() > 1e-2
+    assert model.cut == pytest.approx(np.quantile(s, 0.2), abs=1e-9)
+    # through finer cells, too
+    monkeypatch.setattr(quality, "FEW", 1, raising=False)
+    monkeypatch.setattr(quality, "CELLS", 5, raising=False)
+    assert quality.fit(x, good, 500).cut == model.cut
+
+
 def test_best_keeps_ties_in_order():
     scores, ids = np.array([1, 5, 5, 2, 5, 5.0]), np.arange(10, 16)
     assert ids[topk._best(scores, ids, 3)].tolist() == [11, 12, 14]
