@@ -11,6 +11,7 @@ after an executor was lost makes the same rows.
 from __future__ import annotations
 
 import ctypes
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,29 +28,52 @@ _FIELDS = pa.schema([("route", pa.int64()), ("batch", pa.int64()), ("kind", pa.i
 FLUSH = 8 << 20
 
 
+_COUNT, _ARRAY = struct.Struct("<I"), struct.Struct("<4sQ")
+#: Kept between calls, since making them takes longer than most payloads: names of types and their reverse, compressors by level, the decompressor.
+_names: dict[np.dtype, bytes] = {}
+_types: dict[bytes, np.dtype] = {}
+_deflate: dict[int, zstandard.ZstdCompressor] = {}
+_inflate: list[zstandard.ZstdDecompressor] = []
+
+
 def pack(*arrays: np.ndarray, level: int | None = None) -> bytes:
     """Arrays as bytes. Before compression the bytes of numbers are sorted by place value: high ones are alike."""
-    parts = [np.array([len(arrays)], "<u4").tobytes()]
+    parts = [_COUNT.pack(len(arrays))]
     for a in arrays:
-        a = np.ascontiguousarray(a).ravel()
-        parts += [a.dtype.str.encode().ljust(4), np.array([a.size], "<u8").tobytes()]
-        parts.append(a.tobytes() if level is None or a.itemsize == 1 else a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
+        kind = a.dtype
+        if kind not in _names:
+            _names[kind] = kind.str.encode().ljust(4)
+        parts.append(_ARRAY.pack(_names[kind], a.size))
+        if level is None or kind.itemsize == 1 or not a.size:
+            parts.append(a.tobytes())
+        else:
+            parts.append(np.ascontiguousarray(a).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes())
     data = b"".join(parts)
-    return data if level is None else zstandard.compress(data, level)
+    if level is None:
+        return data
+    if level not in _deflate:
+        _deflate[level] = zstandard.ZstdCompressor(level=level)
+    return _deflate[level].compress(data)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     planes = data[:4] == b"\x28\xb5\x2f\xfd"
     if planes:
-        data = zstandard.decompress(data)
-    out, at = [], 4
-    for _ in range(int(np.frombuffer(data, "<u4", 1)[0])):
-        kind, n = np.dtype(data[at : at + 4].decode().strip()), int(np.frombuffer(data, "<u8", 1, at + 4)[0])
+        if not _inflate:
+            _inflate.append(zstandard.ZstdDecompressor())
+        data = _inflate[0].decompress(data)
+    out, at = [], _COUNT.size
+    for _ in range(_COUNT.unpack_from(data)[0]):
+        name, n = _ARRAY.unpack_from(data, at)
+        if name not in _types:
+            _types[name] = np.dtype(name.decode().strip())
+        kind = _types[name]
+        at += _ARRAY.size
         if planes and kind.itemsize > 1:
-            out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * kind.itemsize, at + 12).reshape(kind.itemsize, -1).T).ravel().view(kind))
+            out.append(np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, -1).T.copy().view(kind).ravel())
         else:
-            out.append(np.frombuffer(data, kind, n, at + 12))
-        at += 12 + n * kind.itemsize
+            out.append(np.frombuffer(data, kind, n, at))
+        at += n * kind.itemsize
     return out
 
 

@@ -127,19 +127,14 @@ class Head:
 
 def token_sets(h: np.ndarray, line: np.ndarray, head: Head) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (line, key) in order of line and key. Keys sort words by rarity and are equal for equal words only."""
-    # words get numbers in the order of their keys, so that lines and numbers sort as one value
-    number = head.ranks(h)
-    often = number >= 0
-    number[often] += 1 << 31
-    rare, number[~often] = np.unique(h[~often] >> U(1), return_inverse=True)
-    joint = np.sort((line << 32) | number)
+    # each word is looked up once; words get numbers in the order of their keys, so that lines and numbers sort as one value
+    coded = pa.array(h).dictionary_encode()
+    distinct = np.asarray(coded.dictionary)
+    rank = head.ranks(distinct)
+    key, number = np.unique(np.where(rank >= 0, FREQUENT | (rank.astype(U) << RANK), distinct >> U(1)), return_inverse=True)
+    joint = np.sort((line << 32) | number[np.asarray(coded.indices)])
     joint = joint[np.concatenate(([True], joint[1:] != joint[:-1]))] if len(joint) else joint
-    number = joint & 0xFFFFFFFF
-    often = number >= 1 << 31
-    key = np.empty(len(joint), U)
-    key[often] = FREQUENT | ((number[often] - (1 << 31)).astype(U) << RANK)
-    key[~often] = rare[number[~often]]
-    return key, joint >> 32
+    return key[joint & 0xFFFFFFFF], joint >> 32
 
 
 def prefix(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -219,8 +214,7 @@ def frequent_words(docs: DataFrame, most: int = HEAD) -> Head:
     They are taken by whole bins of counts, as many as hold ``most`` words or fewer.
     """
     p = partitions(docs.sparkSession)
-    count = 4 * p
-    counted = X.routed(docs.select("doc_id", "text").mapInArrow(lambda it: X.rows(_count(it, count)), X.ENVELOPE), p)
+    counted = X.routed(docs.select("doc_id", "text").mapInArrow(lambda it: X.rows(_count(it, p)), X.ENVELOPE), p)
     table = materialize(counted.mapInArrow(lambda it: X.rows(_heaviest(it, most), _KEPT), KEPT))
     tasks = [X.unpack(r["payload"])[0] for r in table.where(F.col("kind") == HIST).collect()]  # one row of fixed size for each task
     bins = np.sum([np.zeros(64 * BINS, np.int64), *tasks], axis=0)
@@ -253,11 +247,6 @@ class Sets:
     def taken(self, at: np.ndarray) -> Sets:
         return Sets(self.doc[at], self.line[at], self.n[at], self.key[spread(self.begin[at], self.n[at])])
 
-    def cut(self, a: int, b: int) -> Sets:
-        """Sets a .. b - 1, where they stand without gaps."""
-        end = self.begin[b - 1] + self.n[b - 1] if b > a else 0
-        return Sets(self.doc[a:b], self.line[a:b], self.n[a:b], self.key[self.begin[a] if b > a else 0 : end])
-
     def signatures(self) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.add.reduceat(mix(self.key ^ salt), self.begin) if len(self) else np.zeros(0, U) for salt in (_ONE, _TWO))
 
@@ -267,6 +256,19 @@ class Sets:
         rare = self.n - (np.add.reduceat(often.astype(np.int64), self.begin) if len(self) else 0)
         return [self.doc, self.line.astype(np.uint32), self.n.astype(np.uint32), rare.astype(np.uint32), self.key[~often], (self.key[often] >> RANK).astype(np.uint16)]
 
+    def cut(self, a: int, b: int) -> Sets:
+        """Sets a .. b - 1, where they stand without gaps."""
+        return Sets(self.doc[a:b], self.line[a:b], self.n[a:b], self.key[self.begin[a] : self.begin[b - 1] + self.n[b - 1]])
+
+    @staticmethod
+    def parts(arrays: list[np.ndarray], edges: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """The arrays of the sets between each two edges that differ."""
+        _, _, n, rare, hashes, ranks = arrays
+        both = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[edges]
+        eight = np.concatenate([[0], np.cumsum(rare, dtype=np.int64)])[edges]
+        for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+            yield [*(x[edges[k] : edges[k + 1]] for x in arrays[:4]), hashes[eight[k] : eight[k + 1]], ranks[both[k] - eight[k] : both[k + 1] - eight[k + 1]]]
+
     @classmethod
     def of(cls, arrays: list[np.ndarray]) -> Sets:
         doc, line, n, rare, hashes, ranks = arrays
@@ -325,12 +327,13 @@ def _line_sets(batches: Iterable[pa.RecordBatch], head: Head, least: int, count:
         copies = np.flatnonzero(to != np.arange(len(sets)))
         copies = copies[np.argsort(place[to[copies]], kind="stable")]
         doc, line, of = sets.doc[copies], sets.line[copies].astype(np.uint32), place[to[copies]]
-        one, two, sets = one[kept], two[kept], sets.taken(kept)
+        one, two, sets = one[kept], two[kept], sets.taken(kept).arrays()
         edges = np.searchsorted(bucket, np.arange(count + 1))
         ends = np.searchsorted(of, edges)
+        parts = Sets.parts(sets, edges)
         for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
             a, z, c, d = edges[b], edges[b + 1], ends[b], ends[b + 1]
-            yield b, batch, SETS, X.pack(one[a:z], two[a:z], *sets.cut(a, z).arrays(), doc[c:d], line[c:d], (of[c:d] - a).astype(np.uint32), level=1)
+            yield b, batch, SETS, X.pack(one[a:z], two[a:z], *next(parts), doc[c:d], line[c:d], (of[c:d] - a).astype(np.uint32), level=1)
 
 
 def _collapse(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
@@ -338,7 +341,7 @@ def _collapse(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     for _, held in X.runs(batches):
         blobs = [X.unpack(p) for *_, p in held]
         del held
-        sets = Sets.joined([Sets.of(x[2:8]) for x in blobs])
+        sets = Sets.of([np.concatenate([x[k] for x in blobs]) for k in range(2, 8)])
         base = np.cumsum([0, *(len(x[0]) for x in blobs)])
         one, two, doc, line, of = (np.concatenate([x[k] for x in blobs]) for k in (0, 1, 8, 9, 10))
         of = of.astype(np.int64) + np.repeat(base[:-1], [len(x[10]) for x in blobs])
@@ -382,22 +385,26 @@ def _together(parts: Iterable[Sets], most: int) -> Iterator[Sets]:
 
 
 def _postings(batches: Iterable[pa.RecordBatch], num: int, den: int, count: int) -> Iterator[tuple]:
-    """For each bucket of tokens the postings of all widths of bitmap: the widths, then six arrays for each."""
-    for whole in _together(_packed_sets(batches), PACKED):
-        out: dict[int, list] = {}
-        wides = words_wide(whole.n)
-        for wide in np.unique(wides).tolist():
-            sets = whole.taken(np.flatnonzero(wides == wide))
-            bits = bitmaps(sets.key, sets.n, wide)
-            p = prefix(sets.n, num, den)
-            who = np.repeat(np.arange(len(sets)), p)
-            pos = spread(np.zeros(len(p), np.int64), p)
-            token = sets.key[sets.begin[who] + pos]
-            for r, (t, w, q) in X.split(X.bucket_of(mix(token), count), count, token, who, pos):
-                out.setdefault(r, [[]])[0].append(wide)
-                out[r] += [t, bits[w].ravel(), sets.n[w].astype(np.uint32), q.astype(np.uint32), sets.doc[w], sets.line[w].astype(np.uint32)]
-        for r in sorted(out):
-            yield r, 0, 0, X.pack(np.array(out[r][0], np.int64), *out.pop(r)[1:], level=1)
+    """For each bucket of tokens the postings in order of bitmap width: six arrays, the bitmaps one after the other."""
+    for sets in _together(_packed_sets(batches), PACKED):
+        wides = words_wide(sets.n)
+        sets, wides = sets.taken(by := np.argsort(wides, kind="stable")), wides[by]
+        edges = np.flatnonzero(np.concatenate(([True], wides[1:] != wides[:-1], [True])))
+        bits = np.concatenate([bitmaps((x := sets.cut(a, b)).key, x.n, int(wides[a])).ravel() for a, b in zip(edges[:-1], edges[1:], strict=True)])
+        p = prefix(sets.n, num, den)
+        who = np.repeat(np.arange(len(sets)), p)
+        token = sets.key[spread(sets.begin, p)]
+        bucket = X.bucket_of(mix(token), count)
+        by = np.argsort(bucket.astype(np.uint16) if count <= 65536 else bucket, kind="stable")
+        edges = np.searchsorted(bucket[by], np.arange(count + 1))
+        who, wide = who[by], wides[who[by]]
+        bits = bits[spread((np.cumsum(wides) - wides)[who], wide)].view(np.uint8)  # as bytes: those of a bitmap are of one kind
+        ends = np.concatenate([[0], np.cumsum(8 * wide)])[edges]
+        pos = spread(np.zeros(len(p), np.int64), p)[by].astype(np.uint32)
+        token, n, doc, line = token[by], sets.n[who].astype(np.uint32), sets.doc[who], sets.line[who].astype(np.uint32)
+        for r in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+            at = slice(edges[r], edges[r + 1])
+            yield r, 0, 0, X.pack(token[at], bits[ends[r] : ends[r + 1]], n[at], pos[at], doc[at], line[at], level=1)
 
 
 def _fold(bits: np.ndarray, wide: int) -> np.ndarray:
@@ -407,6 +414,16 @@ def _fold(bits: np.ndarray, wide: int) -> np.ndarray:
     return bits
 
 
+def _shared(token: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Whether a posting's token, of those in order, has others that it is paired with."""
+    if not len(token):
+        return np.zeros(0, bool)
+    start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    size = np.diff(np.append(start, len(token)))
+    ones, twos = (np.add.reduceat((side == k).astype(np.int64), start) for k in (1, 2))
+    return np.repeat(np.where(twos > 0, size > 1, (ones > 0) & (ones < size)), size)
+
+
 class Postings:
     """Postings of lists, in order of token and number of tokens. Pairs are made of those of side 2, or of one side with the other."""
 
@@ -423,13 +440,8 @@ class Postings:
         return self.taken(np.lexsort((self.n, self.token)))
 
     def shared(self) -> Postings:
-        """Without tokens that have one posting alone, or postings of one side alone."""
-        if not len(self.token):
-            return self
-        _, back, n = np.unique(self.token, return_inverse=True, return_counts=True)
-        ones = np.bincount(back, self.side == 1)
-        twos = np.bincount(back, self.side == 2)
-        return self.taken((np.where(twos > 0, n > 1, (ones > 0) & (ones < n)))[back])
+        """Without tokens that have one posting alone, or postings of one side alone, where tokens are in order."""
+        return self.taken(_shared(self.token, self.side))
 
     def packed(self) -> bytes:
         return X.pack(np.array([self.bits.shape[1]]), *(getattr(self, f).ravel() for f in self.FIELDS), level=1)
@@ -447,6 +459,17 @@ def _joint(token: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.cumsum(step) * (1 << 32) + np.minimum(n, (1 << 32) - 1)
 
 
+def _bits_at(bits: np.ndarray, begin: np.ndarray, wide: np.ndarray, own: int) -> np.ndarray:
+    """The bitmaps that begin in these places, folded to ``own`` words."""
+    if (wide == own).all():
+        return bits[begin[:, None] + np.arange(own)]
+    out = np.empty((len(begin), own), U)
+    for w in np.unique(wide).tolist():
+        at = wide == w
+        out[at] = _fold(bits[begin[at, None] + np.arange(w)], own)
+    return out
+
+
 class Pairs:
     """Candidates and other rows on their way out of a task; pairs go packed by hash of the later line."""
 
@@ -504,7 +527,8 @@ def candidates(own: Postings, num: int, den: int) -> tuple[np.ndarray, np.ndarra
     # the most tokens that a partner may have, for those left after the shared one to suffice
     most = (num + den) * (n - pos) // num - n
     # n rises within a list: partners of i end where the length filter or the positional filter does
-    end = np.searchsorted(token, token, side="right")
+    start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    end = np.repeat(np.append(start[1:], len(token)), np.diff(np.append(start, len(token))))
     reach = np.minimum(end, np.searchsorted(_joint(token, n), _joint(token, np.clip(np.minimum(den * n // num, most), 0, None)), side="right"))
     width = np.maximum(reach - np.arange(len(token)) - 1, 0)
     cut = np.cumsum(width)
@@ -548,34 +572,35 @@ def _propose(own: Postings, num: int, den: int, first: int, out: Pairs) -> Itera
 def _meet(batches: Iterable[pa.RecordBatch], num: int, den: int, first: int, tile: int, count: int) -> Iterator[tuple]:
     out = Pairs(count)
     for _, held in X.runs(batches):
-        by: dict[int, list] = {}
-        for *_, payload in held:
-            wides, *arrays = X.unpack(payload)
-            for k, wide in enumerate(wides.tolist()):
-                by.setdefault(wide, []).append(arrays[6 * k : 6 * k + 6])
+        blobs = [X.unpack(payload) for *_, payload in held]
         del held
-        lists = {}
-        for wide in sorted(by):
-            token, bits, *rest = (np.concatenate(x) for x in zip(*by.pop(wide), strict=True))
-            lists[wide] = Postings(token, bits.reshape(-1, wide), *rest, np.full(len(token), 2, np.int8))
-        # many tokens of prefixes belong to one line alone
-        _, back, n = np.unique(np.concatenate([x.token for x in lists.values()]), return_inverse=True, return_counts=True)
-        met, at = n[back] > 1, 0
-        for wide, x in lists.items():
-            lists[wide] = x.taken(met[at : at + len(x.token)])
-            at += len(x.token)
-        for wide, own in lists.items():
-            every = [own]
+        fields = {}
+        for k in (1, 0, 2, 3, 4, 5):  # bitmaps first: they hold the payloads
+            fields[k] = np.concatenate([x[k] for x in blobs])
+            for x in blobs:
+                x[k] = None
+        token, bits, n, pos, doc, line = (fields.pop(k) for k in range(6))
+        bits, wide = bits.view(U), words_wide(n.astype(np.int64))
+        begin = np.cumsum(wide) - wide
+        # many tokens of prefixes belong to one line alone; bitmaps are read of what is left only
+        _, back, met = np.unique(token, return_inverse=True, return_counts=True)
+        every = np.flatnonzero(met[back] > 1)
+        every = every[np.argsort((back[every] << 32) | n[every])]
+        size, widths = n[every].astype(np.int64), wide[every]
+        for own in np.unique(widths).tolist():
             # lines of the next wider bitmap join those of this one that they can be similar to
-            if (more := lists.get(2 * wide)) is not None:
-                fields = [np.concatenate([getattr(own, f), _fold(more.bits, wide) if f == "bits" else getattr(more, f)]) for f in own.FIELDS[:-1]]
-                both = Postings(*fields, np.concatenate([np.zeros(len(own.token), np.int8), np.ones(len(more.token), np.int8)]))
-                size, border = both.n.astype(np.int64), BITS * wide
-                every.append(both.taken((size * den >= num * border) & (size * num <= den * border)))
-            for x in every:
-                short, pieces = _tiled(x.shared().ordered(), num, den, tile)
-                yield from pieces
-                yield from _propose(short, num, den, first, out)
+            border = BITS * own
+            near = every[((widths == own) | (widths == 2 * own)) & (size * den >= num * border) & (size * num <= den * border)]
+            same = every[widths == own]
+            for at, side in ((same, np.full(len(same), 2, np.int8)), (near, (wide[near] > own).astype(np.int8))):
+                take = _shared(token[at], side)
+                at, side = at[take], side[take]
+                if len(at):
+                    held = Postings(token[at], _bits_at(bits, begin[at], wide[at], own), n[at], pos[at], doc[at], line[at], side)
+                    short, pieces = _tiled(held, num, den, tile)
+                    yield from pieces
+                    yield from _propose(short, num, den, first, out)
+        del token, bits, n, pos, doc, line, back
     yield from out.sent()
 
 
@@ -583,7 +608,7 @@ def _tiles(batches: Iterable[pa.RecordBatch], num: int, den: int, first: int, co
     out = Pairs(count)
     for _, held in X.runs(batches, "tile"):
         parts = [Postings.unpacked(data) for _, data in held]
-        yield from _propose(Postings(*(np.concatenate([getattr(x, f) for x in parts]) for f in Postings.FIELDS)).shared().ordered(), num, den, first, out)
+        yield from _propose(Postings(*(np.concatenate([getattr(x, f) for x in parts]) for f in Postings.FIELDS)).ordered().shared(), num, den, first, out)
     yield from out.sent()
 
 
@@ -674,22 +699,22 @@ def later_matches(docs: DataFrame, num: int = 75, den: int = 100, least: int = 5
     spark = prepare(docs.sparkSession)
     docs = stable(docs.select("doc_id", "text"))
     p, line = partitions(spark), ["doc_id", "line"]
-    count = 4 * p
+    count = 2 * p
     order = spark.sparkContext.broadcast(frequent_words(docs))  # at most HEAD words
     met = X.routed(docs.mapInArrow(lambda it: X.rows(_line_sets(it, order.value, least, count)), X.ENVELOPE), p)
     kept = materialize(met.mapInArrow(lambda it: X.rows(_collapse(it), _KEPT), KEPT))
     del met
     reclaim(spark)
     sure = kept.where(F.col("kind") == SURE).mapInArrow(_unpacked, LONGS)
-    sent = kept.where(F.col("kind") == SETS).mapInArrow(lambda it: X.rows(_postings(it, num, den, count)), X.ENVELOPE)
-    found = materialize(X.routed(sent, p).mapInArrow(lambda it: X.rows(_meet(it, num, den, first, tile, count), _FOUND), FOUND))
+    sent = kept.where(F.col("kind") == SETS).mapInArrow(lambda it: X.rows(_postings(it, num, den, 2 * count)), X.ENVELOPE)
+    found = materialize(X.routed(sent, p).mapInArrow(lambda it: X.rows(_meet(it, num, den, first, tile, p), _FOUND), FOUND))
     del sent
     reclaim(spark)
     tables, good = [kept, found], sure
     pieces = found.where(F.col("kind") == PIECE)
     if not pieces.isEmpty():
         dealt = pieces.select(F.explode("tiles").alias("tile"), "payload").repartition(p, "tile").sortWithinPartitions("tile")
-        tables.append(materialize(dealt.mapInArrow(lambda it: X.rows(_tiles(it, num, den, first, count), _FOUND), FOUND)))
+        tables.append(materialize(dealt.mapInArrow(lambda it: X.rows(_tiles(it, num, den, first, p), _FOUND), FOUND)))
         found = found.unionAll(tables[-1])
     # the most similar candidate first, all others only of lines that it leaves
     pairs = found.where(F.col("kind") == PAIR).select("route", "payload").repartition(p, "route").sortWithinPartitions("route")

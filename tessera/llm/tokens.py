@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Powers that are kept at least; bytes up to which a word is hashed along with others.
 WINDOW, SHORT = 1 << 17, 256
+#: Words that are hashed at once: their values stay in a processor's cache.
+AT_ONCE = 1 << 15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,6 +69,12 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: boo
     padded = np.zeros(len(buf) + 8, np.uint8)
     padded[: len(buf)] = lowered(buf) if lower else buf
     eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    if len(starts) <= AT_ONCE:
+        return _hashed(padded, eight, starts, ends)
+    return np.concatenate([_hashed(padded, eight, starts[a : a + AT_ONCE], ends[a : a + AT_ONCE]) for a in range(0, len(starts), AT_ONCE)])
+
+
+def _hashed(padded: np.ndarray, eight: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     size = ends - starts
     out = mix((eight[starts] & _LOWEST[np.minimum(size, 8)]) + size.astype(U) * _SIZE)
     more, at = np.flatnonzero(size > 8), 8

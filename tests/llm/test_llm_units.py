@@ -250,3 +250,50 @@ def test_bloom_filter_by_size(spark):
         bits = bloom.build(spark.range(n).select((F.col("id") * 7).alias("id")))
         assert len(bits) * 8 >= min(n * bloom.PER_ROW, bloom.LEAST) and bloom.contains(bits, np.arange(n) * 7).all()
         assert bloom.contains(bits, np.arange(n) * 7 + 3).mean() < 0.05
+
+
+def test_line_dedup_looks_each_word_up_once():
+    """A block's words are looked up among the frequent ones once each, however often they occur; sets are those of brute force."""
+    rng = np.random.default_rng(3)
+    vocabulary = np.sort(rng.integers(1, 1 << 63, 50).astype(np.uint64) << np.uint64(1))
+    h = vocabulary[rng.integers(0, 50, 5000)]
+    line = np.sort(rng.integers(0, 300, 5000))
+    asked = []
+
+    class Head(line_dedup.Head):
+        def ranks(self, x):
+            asked.extend(x.tolist())
+            return super().ranks(x)
+
+    head = Head(vocabulary[::5], np.arange(10)[::-1].copy())
+    key, at = line_dedup.token_sets(h, line, head)
+    assert sorted(asked) == sorted(set(h.tolist()))
+    rank = dict(zip(vocabulary[::5].tolist(), range(9, -1, -1), strict=True))
+    of = {x: int(line_dedup.FREQUENT) | rank[x] << 40 if x in rank else x >> 1 for x in h.tolist()}
+    assert list(zip(at.tolist(), key.tolist(), strict=True)) == sorted({(i, of[x]) for i, x in zip(line.tolist(), h.tolist(), strict=True)})
+
+
+def test_line_dedup_postings_of_all_widths_go_together():
+    """A bucket's postings are six arrays whatever the widths of their bitmaps, and hold each set's prefix with its own bitmap."""
+    rng = np.random.default_rng(4)
+    n = np.array([3, 100, 7, 1, 500, 49, 48, 2000, 5], np.int64)
+    key = np.concatenate([np.sort(rng.choice(1 << 40, k, replace=False)) for k in n]).astype(np.uint64)
+    sets = line_dedup.Sets(np.arange(len(n)), np.arange(len(n)) + 7, n, key)
+    batch = pa.RecordBatch.from_pydict({"payload": [exchange.pack(*sets.arrays(), level=1)]})
+    got = []
+    for _, _, _, payload in line_dedup._postings([batch], 75, 100, 5):
+        arrays = exchange.unpack(payload)
+        assert len(arrays) == 6
+        token, bits, size, pos, doc, line = arrays
+        bits, a = bits.view(np.uint64), 0
+        for row in zip(token.tolist(), size.tolist(), pos.tolist(), doc.tolist(), line.tolist(), strict=True):
+            wide = int(line_dedup.words_wide(np.array([row[1]]))[0])
+            got.append((*row, bits[a : a + wide].tolist()))
+            a += wide
+        assert a == len(bits)
+    want = []
+    for i, k in enumerate(n.tolist()):
+        own = key[sets.begin[i] : sets.begin[i] + k]
+        (bits,) = line_dedup.bitmaps(own, n[i : i + 1], int(line_dedup.words_wide(n[i : i + 1])[0])).tolist()
+        want += [(int(own[j]), k, j, i, i + 7, bits) for j in range(int(line_dedup.prefix(n[i : i + 1], 75, 100)[0]))]
+    assert sorted(got) == sorted(want)
